@@ -1,0 +1,5 @@
+"""Streaming.
+
+The analysed workload has no streaming part: no stream source, watermark, time window or
+stateful operator. Nothing is built here, by design (see README, "Not built").
+"""
