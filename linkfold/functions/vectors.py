@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,17 +33,47 @@ def vector_scale(a, divisor) -> Column:
     return F.transform(_col(a), lambda x: x / d)
 
 
+def _num(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)" if v != v or v in (float("inf"), float("-inf")) \
+        else f"{float(v)!r}D"
+
+
 def centers_literal(centers: list[tuple[int, list[float]]]) -> Column:
-    """``array<struct<cid int, center array<double>>>`` literal of a few centroids."""
-    return F.array(*[F.struct(F.lit(int(cid)).alias("cid"),
-                              F.array(*[F.lit(float(v)) for v in vec]).alias("center"))
-                     for cid, vec in centers])
+    """``array<struct<cid int, center array<double>>>`` constant of a few centroids.
+
+    Passed as one JSON string that constant folding parses once at planning time: the
+    plan carries a single array literal, whatever ``k`` and the dimension."""
+    js = json.dumps([{"cid": int(c), "center": [float(v) for v in vec]} for c, vec in centers])
+    return F.from_json(F.lit(js), "array<struct<cid:int,center:array<double>>>")
+
+
+UNROLL_LIMIT = 4096  # k * dim up to which distances may be spelled out as plain arithmetic
+
+
+def _sq_dist_sql(features: str, vec: list[float]) -> str:
+    terms = [f"({features}[{i}] - {_num(v)}) * ({features}[{i}] - {_num(v)})" for i, v in enumerate(vec)]
+    return " + ".join(terms) if terms else "0D"
 
 
-def nearest(features, centers: list[tuple[int, list[float]]], digits: int = 9) -> Column:
+def nearest(features, centers: list[tuple[int, list[float]]], digits: int = 9,
+            unroll: bool = False) -> Column:
     """``struct<key, cid, dist>`` of the closest centroid. Distances are compared rounded
     to ``digits`` places and ties go to the lowest ``cid``, so the winner does not depend
-    on summation order."""
+    on summation order.
+
+    ``unroll=True`` (with ``k * dim <= UNROLL_LIMIT`` and ``features`` given by name)
+    spells the distances out as arithmetic on array elements and centroid constants, so
+    whole-stage code generation compiles them; the higher-order form is interpreted per
+    row but costs no compilation. Compiling the unrolled form takes seconds, so it only
+    pays off on large inputs (``kmeans`` decides from the point count).
+    """
+    dims = len(centers[0][1]) if centers else 0
+    if unroll and isinstance(features, str) and len(centers) * dims <= UNROLL_LIMIT:
+        f = f"`{features}`"
+        cands = ", ".join(
+            f"named_struct('key', round(sqrt({_sq_dist_sql(f, vec)}), {digits}), 'cid', {int(cid)}, "
+            f"'dist', sqrt({_sq_dist_sql(f, vec)}))" for cid, vec in centers)
+        return F.expr(f"array_min(array({cands}))")
     cs = centers_literal(centers)
     cand = F.transform(cs, lambda c: F.struct(
         F.round(euclidean_distance(features, c["center"]), digits).alias("key"),

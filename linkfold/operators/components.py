@@ -1,8 +1,9 @@
 """The fixpoint loop: rounds until no new pair appears.
 
-Each round is two jobs: one aggregate action over the per-key stats (``new_pairs`` and
-the size of the mirrored set, which sizes the hot-key threshold), and the round itself,
-written as a Parquet table in the checkpoint folder. The next round reads that table, so
+Each round is two jobs: one aggregate action over the per-key stats (``new_pairs``, the
+size of the mirrored set, which sizes the hot-key threshold and gives the previous
+round's pair count, and the largest degree), and the round itself, written as a Parquet
+table in the checkpoint folder. The next round reads that table, so
 the plan never grows with the round number, and the previous table is deleted.
 
 At the fixpoint the pair table is a star forest: one row ``(node, root)`` per non-root
@@ -58,35 +59,38 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
     step-by-step view) and returns whatever state that is.
     """
     spark = g.sparkSession
-    trace: list[tuple[int, int, int]] = []
+    trace: list[list[int]] = []
     prev_path: str | None = None
-    prev_pairs = None
     limit = rounds if rounds is not None else max_rounds
     for r in range(1, limit + 1):
         first = r == 1
         s = mirror(g, first)
         stats = round_stats(s).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            new_pairs, rows = stats_summary(stats)
+            new_pairs, rows, max_deg = stats_summary(stats)
+            if not first:
+                # the mirrored set of round r is exactly twice the pairs of round r - 1
+                trace[-1][2] = rows // 2
             if new_pairs == 0 and not first:
-                trace.append((r, 0, prev_pairs))
-                return ComponentsResult(g, trace)
+                trace.append([r, 0, rows // 2])
+                return ComponentsResult(g, [tuple(t) for t in trace])
             threshold = hot_threshold(rows, hot_degree=hot_degree,
                                       min_hot_degree=min_hot_degree, max_hot_keys=max_hot_keys)
             path = new_scratch_path(spark, f"cc-r{r}")
-            nxt = write_table(round_output(s, stats, strategy, threshold), path)
-            pairs = nxt.count()
+            nxt = write_table(round_output(s, stats, strategy, threshold, max_degree=max_deg), path)
         finally:
             stats.unpersist()
         if prev_path is not None:
             drop_path(spark, prev_path)
-        prev_path, prev_pairs, g = path, pairs, nxt
-        trace.append((r, new_pairs, pairs))
+        prev_path, g = path, nxt
+        trace.append([r, new_pairs, -1])
         if new_pairs == 0 and rounds is None:
-            return ComponentsResult(g, trace)
-    if rounds is None:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds; raise max_rounds")
-    return ComponentsResult(g, trace)
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds; raise max_rounds")
+    trace[-1][2] = g.count()   # only the last round's size is not known from a later round
+    return ComponentsResult(g, [tuple(t) for t in trace])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",

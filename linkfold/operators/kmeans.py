@@ -112,27 +112,42 @@ class KMeansResult:
     trace: list[tuple[int, int, float]] = field(default_factory=list)  # (step, switches, sum_dist)
 
 
+UNROLL_MIN_WORK = 5_000_000_000   # n * k * dim above which compiled distances pay off
+
+
 def kmeans(points: DataFrame, init: DataFrame | Centers, max_steps: int = 100,
            digits: int = 9) -> KMeansResult:
-    """K6: Lloyd steps until no point switches cluster or ``max_steps`` is reached."""
+    """K6: Lloyd steps until no point switches cluster or ``max_steps`` is reached.
+
+    ``points`` is persisted (memory and disk) for the loop: each step rescans it. A lost
+    block is recomputed from the source scan, so no step depends on executor state.
+    """
+    from pyspark import StorageLevel
     cur = collect_centers(init) if isinstance(init, DataFrame) else sorted(init)
-    prev: Centers | None = None
-    dims = _dims(cur)
-    step, trace = 0, []
+    pts = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _loop(points, pts, cur, _dims(cur), max_steps, digits)
+    finally:
+        pts.unpersist()
+
+
+def _loop(points, pts, cur: Centers, dims: int, max_steps: int, digits: int) -> KMeansResult:
+    old = None          # nearest-centroid expression of the previous step
+    step, trace, unroll = 0, [], False
+    sums = [F.sum(F.col("features")[i]).alias(f"_s{i}") for i in range(dims)]
     while True:
-        best = nearest("features", cur)
+        best = nearest("features", cur, unroll=unroll)
         cols = [best["cid"].alias("cid"), best["dist"].alias("dist"), "features"]
-        if prev is not None:
-            old = nearest("features", prev)
+        if old is not None:
             cols.append((old["cid"] != best["cid"]).cast("int").alias("_sw"))
         else:
             cols.append(F.lit(1).alias("_sw"))
-        assigned = points.select(*cols)
-        sums = [F.sum(F.col("features")[i]).alias(f"_s{i}") for i in range(dims)]
+        assigned = pts.select(*cols)
         rows = assigned.groupBy("cid").agg(
             F.count(F.lit(1)).alias("n"), F.sum("dist").alias("sum_dist"),
             F.sum("_sw").alias("sw"), *sums).collect()   # at most k rows
         n = sum(r["n"] for r in rows)
+        unroll = n * len(cur) * dims >= UNROLL_MIN_WORK
         moved = sum(r["sw"] for r in rows)
         total = sum(r["sum_dist"] for r in rows)
         trace.append((step, int(moved), float(total)))
@@ -141,5 +156,5 @@ def kmeans(points: DataFrame, init: DataFrame | Centers, max_steps: int = 100,
             return KMeansResult(assign(points, cur), cur, err, step, trace)
         nxt = sorted((int(r["cid"]), [round(r[f"_s{i}"] / r["n"], digits) for i in range(dims)])
                      for r in rows)
-        prev, cur = cur, nxt
+        old, cur = best, nxt
         step += 1

@@ -46,12 +46,12 @@ def round_stats(s: DataFrame) -> DataFrame:
     return key_stats(s, "n1", "n2")
 
 
-def stats_summary(stats: DataFrame) -> tuple[int, int]:
-    """``(new_pairs, mirrored_rows)`` in one aggregate action over the stats."""
+def stats_summary(stats: DataFrame) -> tuple[int, int, int]:
+    """``(new_pairs, mirrored_rows, max_degree)`` in one aggregate action over the stats."""
     row = stats.agg(
         F.sum(F.when(F.col("mn") < F.col("n1"), F.col("deg") - 1)).alias("new_pairs"),
-        F.sum("deg").alias("rows")).first()
-    return int(row["new_pairs"] or 0), int(row["rows"] or 0)
+        F.sum("deg").alias("rows"), F.max("deg").alias("max_deg")).first()
+    return int(row["new_pairs"] or 0), int(row["rows"] or 0), int(row["max_deg"] or 0)
 
 
 def _cold_join(s: DataFrame, qual: DataFrame) -> DataFrame:
@@ -93,10 +93,18 @@ _COLD = {"join": _cold_join, "collect": _cold_collect,
 
 
 def round_output(s: DataFrame, stats: DataFrame, strategy: str, threshold: int,
-                 dedup: bool = True) -> DataFrame:
-    """The pairs a round emits (de-duplicated unless ``dedup=False``)."""
+                 dedup: bool = True, max_degree: int | None = None) -> DataFrame:
+    """The pairs a round emits (de-duplicated unless ``dedup=False``).
+
+    With ``max_degree <= threshold`` (known from the stats action) no key is hot and the
+    broadcast side is left out of the plan altogether.
+    """
     if strategy not in _COLD:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
+    if max_degree is not None and max_degree <= threshold:
+        cold_q = stats.where(F.col("mn") < F.col("n1"))
+        out = _COLD[strategy](s, cold_q)
+        return out.distinct() if dedup else out
     hot_rows, cold_rows = split_hot(s, stats, "n1", threshold, ["mn"])
     hot_q = stats.where((F.col("deg") > threshold) & (F.col("mn") < F.col("n1")))
     hot_out = (hot_rows.where((F.col("mn") < F.col("n1")) & (F.col("n2") != F.col("mn")))
@@ -115,5 +123,6 @@ def cc_round(g: DataFrame, strategy: str = "join", *, first_round: bool = True,
     """
     s = mirror(g, first_round)
     stats = round_stats(s)
-    _, rows = stats_summary(stats)
-    return round_output(s, stats, strategy, hot_threshold(rows, **threshold_opts), dedup=dedup)
+    _, rows, max_deg = stats_summary(stats)
+    return round_output(s, stats, strategy, hot_threshold(rows, **threshold_opts), dedup=dedup,
+                        max_degree=max_deg)

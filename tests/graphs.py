@@ -1,0 +1,54 @@
+"""Small edge lists for tests and a plain union-find to check answers against."""
+
+import random
+
+# fixed values: the example graph of the CCF paper and two hand-made graphs
+EXAMPLE = [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H")]
+TWO_GRAPHS = [(1, 2), (1, 3), (2, 3), (2, 4), (2, 5), (3, 4), (4, 5), (4, 6), (5, 7), (5, 8),
+              (7, 8), (13, 14), (13, 15), (13, 9), (14, 15), (15, 10), (9, 10)]
+INLINE_12 = [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H"),
+             ("A", "H"), ("G", "H"), ("I", "H"), ("L", "H"), ("M", "H"), ("Z", "J")]
+INLINE_9 = [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H"),
+            ("A", "H"), ("G", "H"), ("I", "H")]
+
+
+def union_find(edges):
+    """{node: smallest id of its component} for every node with a non-self edge partner."""
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is None or b is None:
+            continue
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    nodes = {x for e in edges if None not in e for x in e if e[0] != e[1]}
+    return {x: find(x) for x in nodes}
+
+
+def membership_of(edges):
+    """Expected ``(node, component)`` rows without roots."""
+    return sorted((n, r) for n, r in union_find(edges).items() if n != r)
+
+
+def random_graph(n_nodes, n_edges, seed):
+    rnd = random.Random(seed)
+    return [(rnd.randrange(n_nodes), rnd.randrange(n_nodes)) for _ in range(n_edges)]
+
+
+def chain(n):
+    ids = list(range(n))
+    random.Random(7).shuffle(ids)
+    return [(ids[i], ids[i + 1]) for i in range(n - 1)]
+
+
+def hub(n, centre=10**6):
+    """One node linked to ``n`` others plus a short tail: a hot key in every round."""
+    return [(centre, i) for i in range(1, n + 1)] + [(n + i, n + i + 1) for i in range(1, 5)]
