@@ -1,6 +1,6 @@
 """The fixpoint loop: rounds until no new pair appears.
 
-Each round is two jobs: one aggregate action over the per-key stats (``new_pairs``, the
+The input is first written once as canonical undirected edges. Each round is two jobs: one aggregate action over the per-key stats (``new_pairs``, the
 size of the mirrored set, which sizes the hot-key threshold and gives the previous
 round's pair count, and the largest degree), and the round itself, written as a Parquet
 table in the checkpoint folder. The next round reads that table, so
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.operators.keyed import DEFAULT_MAX_HOT_KEYS, DEFAULT_MIN_HOT_DEGREE, hot_threshold
-from linkfold.operators.pairs import as_pairs
+from linkfold.operators.pairs import as_pairs, canonical_pairs, mirror_canonical
 from linkfold.operators.rounds import mirror, round_output, round_stats, stats_summary
 from linkfold.storage import drop_path, new_scratch_path, write_table
 
@@ -60,11 +60,14 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
     """
     spark = g.sparkSession
     trace: list[list[int]] = []
-    prev_path: str | None = None
+    # round 0: the input, de-duplicated as undirected edges and written once, so the
+    # source is scanned once and every round's mirrored set is a narrow union of scans
+    prev_path = new_scratch_path(spark, "cc-r0")
+    g = write_table(canonical_pairs(g), prev_path)
     limit = rounds if rounds is not None else max_rounds
     for r in range(1, limit + 1):
         first = r == 1
-        s = mirror(g, first)
+        s = mirror_canonical(g) if first else mirror(g, False)
         stats = round_stats(s).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             new_pairs, rows, max_deg = stats_summary(stats)
@@ -89,6 +92,8 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
     else:
         if rounds is None:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds; raise max_rounds")
+    if not trace:
+        return ComponentsResult(g, [])
     trace[-1][2] = g.count()   # only the last round's size is not known from a later round
     return ComponentsResult(g, [tuple(t) for t in trace])
 

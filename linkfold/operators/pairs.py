@@ -40,6 +40,17 @@ def mirror_distinct(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
     return mirror_union(df, a, b).distinct()
 
 
+def canonical_pairs(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
+    """Each undirected edge once as ``(least, greatest)``; a self-loop stays ``(x, x)``."""
+    return df.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
+
+
+def mirror_canonical(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
+    """The mirrored set of a canonical pair table, as a narrow union: equal to
+    ``mirror_distinct`` of the original edges (self-loops appear once)."""
+    return df.select(a, b).union(reverse_pairs(df.where(F.col(a) != F.col(b)), a, b))
+
+
 def dedup_pairs(df: DataFrame) -> DataFrame:
     """Distinct rows (partial de-duplication before the shuffle, final after it)."""
     return df.distinct()
