@@ -36,12 +36,21 @@ class ComponentsResult:
     def rounds(self) -> int:
         return len(self.trace)
 
-    def membership(self, include_roots: bool = False) -> DataFrame:
-        """``(node, component)``; roots have a row of their own only if asked for."""
+    def membership(self, include_roots: bool = False, vertices: DataFrame | None = None,
+                   vertex_col: str = "node") -> DataFrame:
+        """``(node, component)``; roots have a row of their own only if asked for.
+
+        ``vertices`` (with ``include_roots``) adds every listed node that is in no pair
+        as its own one-node component.
+        """
         m = self.pairs.select(F.col("n1").alias("node"), F.col("n2").alias("component"))
         if include_roots:
             roots = m.select(F.col("component").alias("node"), "component").distinct()
             m = m.union(roots)
+            if vertices is not None:
+                v = vertices.select(F.col(vertex_col).alias("node")).distinct()
+                lone = v.join(m.select("node"), "node", "left_anti")
+                m = m.union(lone.select("node", F.col("node").alias("component")))
         return m
 
     def trace_df(self, spark) -> DataFrame:

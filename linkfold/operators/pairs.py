@@ -46,9 +46,12 @@ def canonical_pairs(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
 
 
 def mirror_canonical(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
-    """The mirrored set of a canonical pair table, as a narrow union: equal to
-    ``mirror_distinct`` of the original edges (self-loops appear once)."""
-    return df.select(a, b).union(reverse_pairs(df.where(F.col(a) != F.col(b)), a, b))
+    """The mirrored set of a canonical pair table in one scan: equal to
+    ``mirror_distinct`` of the original edges (a self-loop appears once)."""
+    fwd = F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    back = F.struct(F.col(b).alias("x"), F.col(a).alias("y"))
+    both = F.when(F.col(a) != F.col(b), F.array(fwd, back)).otherwise(F.array(fwd))
+    return df.select(F.explode(both).alias("_p")).select(F.col("_p.x").alias(a), F.col("_p.y").alias(b))
 
 
 def dedup_pairs(df: DataFrame) -> DataFrame:

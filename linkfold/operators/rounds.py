@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkfold.operators.keyed import hot_threshold, key_stats, split_hot
-from linkfold.operators.pairs import mirror_distinct, mirror_union, relabel_case
+from linkfold.operators.pairs import mirror_distinct, mirror_explode, relabel_case
 
 STRATEGIES = ("join", "collect", "sorted", "window")
 
 
 def mirror(g: DataFrame, first_round: bool) -> DataFrame:
     """The map step. After round one every pair has ``n1 > n2``, so a pair set and its
-    reverse cannot overlap and the union needs no de-duplication."""
-    return mirror_distinct(g) if first_round else mirror_union(g)
+    reverse cannot overlap: both directions come from one scan, with no de-duplication."""
+    return mirror_distinct(g) if first_round else mirror_explode(g)
 
 
 def round_stats(s: DataFrame) -> DataFrame:

@@ -129,3 +129,10 @@ def test_max_rounds_raises(spark):
 def test_include_roots(spark):
     res = connected_components(edges_df(spark, [(2, 1), (3, 2)]))
     assert rows(res.membership(include_roots=True), "node", "component") == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_isolated_vertices(spark):
+    res = connected_components(edges_df(spark, [(2, 1), (7, 7)]))
+    v = spark.createDataFrame([(1,), (2,), (7,), (9,)], "node long")
+    got = rows(res.membership(include_roots=True, vertices=v), "node", "component")
+    assert got == [(1, 1), (2, 1), (7, 7), (9, 9)]
