@@ -38,13 +38,24 @@ def _num(v: float) -> str:
         else f"{float(v)!r}D"
 
 
-def centers_literal(centers: list[tuple[int, list[float]]]) -> Column:
-    """``array<struct<cid int, center array<double>>>`` constant of a few centroids.
+CENTERS_TYPE = "array<struct<cid:int,center:array<double>>>"
+
+
+def centers_json(centers: list[tuple[int, list[float]]]) -> str:
+    return json.dumps([{"cid": int(c), "center": [float(v) for v in vec]} for c, vec in centers])
 
-    Passed as one JSON string that constant folding parses once at planning time: the
-    plan carries a single array literal, whatever ``k`` and the dimension."""
-    js = json.dumps([{"cid": int(c), "center": [float(v) for v in vec]} for c, vec in centers])
-    return F.from_json(F.lit(js), "array<struct<cid:int,center:array<double>>>")
+
+def centers_sql(centers: list[tuple[int, list[float]]] | None = None, param: str | None = None) -> str:
+    """SQL for the ``array<struct<cid int, center array<double>>>`` constant of a few
+    centroids: one JSON string (inline, or bound to the named parameter ``param``) that
+    constant folding parses once at planning time, so the plan carries a single array
+    literal whatever ``k`` and the dimension."""
+    src = f":{param}" if param else "'" + centers_json(centers) + "'"
+    return f"from_json({src}, '{CENTERS_TYPE}')"
+
+
+def centers_literal(centers: list[tuple[int, list[float]]]) -> Column:
+    return F.expr(centers_sql(centers))
 
 
 UNROLL_LIMIT = 4096  # k * dim up to which distances may be spelled out as plain arithmetic
@@ -55,31 +66,44 @@ def _sq_dist_sql(features: str, vec: list[float]) -> str:
     return " + ".join(terms) if terms else "0D"
 
 
+def nearest_sql(features: str, centers: list[tuple[int, list[float]]] | None = None,
+                digits: int = 9, unroll: bool = False, param: str | None = None) -> str:
+    """SQL text of ``nearest`` over the column named ``features``.
+
+    The centroids come inline or, with ``param``, from a named query parameter holding
+    their JSON, so the text of a step is the same whatever the centroids are."""
+    f = f"`{features}`"
+    if unroll and centers and len(centers) * len(centers[0][1]) <= UNROLL_LIMIT:
+        cands = ", ".join(
+            f"named_struct('key', round(sqrt({_sq_dist_sql(f, vec)}), {digits}), 'cid', {int(cid)}, "
+            f"'dist', sqrt({_sq_dist_sql(f, vec)}))" for cid, vec in centers)
+        return f"array_min(array({cands}))"
+    dist = f"sqrt(aggregate(zip_with({f}, c.center, (x, y) -> (x - y) * (x - y)), 0D, (a, v) -> a + v))"
+    return (f"array_min(transform(transform({centers_sql(centers, param)}, "
+            f"c -> named_struct('cid', c.cid, 'dist', {dist})), "
+            f"d -> named_struct('key', round(d.dist, {digits}), 'cid', d.cid, 'dist', d.dist)))")
+
+
 def nearest(features, centers: list[tuple[int, list[float]]], digits: int = 9,
             unroll: bool = False) -> Column:
     """``struct<key, cid, dist>`` of the closest centroid. Distances are compared rounded
     to ``digits`` places and ties go to the lowest ``cid``, so the winner does not depend
     on summation order.
 
-    ``unroll=True`` (with ``k * dim <= UNROLL_LIMIT`` and ``features`` given by name)
-    spells the distances out as arithmetic on array elements and centroid constants, so
-    whole-stage code generation compiles them; the higher-order form is interpreted per
-    row but costs no compilation. Compiling the unrolled form takes seconds, so it only
-    pays off on large inputs (``kmeans`` decides from the point count).
+    ``unroll=True`` (with ``k * dim <= UNROLL_LIMIT``) spells the distances out as
+    arithmetic on array elements and centroid constants, so whole-stage code generation
+    compiles them; the higher-order form is interpreted per row but costs no compilation.
+    Compiling the unrolled form takes seconds, so it only pays off on large inputs
+    (``kmeans`` decides from the point count). Built from one SQL text: a single call
+    into the JVM, however many centroids and dimensions.
     """
-    dims = len(centers[0][1]) if centers else 0
-    if unroll and isinstance(features, str) and len(centers) * dims <= UNROLL_LIMIT:
-        f = f"`{features}`"
-        cands = ", ".join(
-            f"named_struct('key', round(sqrt({_sq_dist_sql(f, vec)}), {digits}), 'cid', {int(cid)}, "
-            f"'dist', sqrt({_sq_dist_sql(f, vec)}))" for cid, vec in centers)
-        return F.expr(f"array_min(array({cands}))")
+    if isinstance(features, str):
+        return F.expr(nearest_sql(features, centers, digits, unroll))
     cs = centers_literal(centers)
-    cand = F.transform(cs, lambda c: F.struct(
-        F.round(euclidean_distance(features, c["center"]), digits).alias("key"),
-        c["cid"].alias("cid"),
-        euclidean_distance(features, c["center"]).alias("dist")))
-    return F.array_min(cand)
+    dists = F.transform(cs, lambda c: F.struct(
+        c["cid"].alias("cid"), euclidean_distance(features, c["center"]).alias("dist")))
+    return F.array_min(F.transform(dists, lambda d: F.struct(
+        F.round(d["dist"], digits).alias("key"), d["cid"].alias("cid"), d["dist"].alias("dist"))))
 
 
 def distances_to(features, centers: list[tuple[int, list[float]]]) -> Column:

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.functions.vectors import distances_to, nearest
+from linkfold.functions.vectors import centers_json, distances_to, nearest, nearest_sql
 
 Centers = list[tuple[int, list[float]]]
 
@@ -131,21 +131,34 @@ def kmeans(points: DataFrame, init: DataFrame | Centers, max_steps: int = 100,
         pts.unpersist()
 
 
+def _step_sql(dims: int, digits: int, unroll_cur: str | None, unroll_old: str | None,
+              first: bool) -> str:
+    """One step as SQL text over ``{pts}``: the centroids of this step and the previous
+    one are the parameters ``:cur`` and ``:old`` (JSON), so without unrolling the text is
+    identical from step to step and is planned in one call."""
+    best = unroll_cur or nearest_sql("features", digits=digits, param="cur")
+    old = unroll_old or nearest_sql("features", digits=digits, param="old")
+    sw = "1" if first else f"CAST(({old}).cid <> b.cid AS INT)"
+    sums = ", ".join(f"sum(features[{i}]) AS _s{i}" for i in range(dims))
+    return (f"SELECT b.cid AS cid, count(1) AS n, sum(b.dist) AS sum_dist, sum(sw) AS sw"
+            f"{', ' if sums else ''}{sums} "
+            f"FROM (SELECT b, {sw} AS sw, features FROM (SELECT {best} AS b, features FROM {{pts}})) "
+            f"GROUP BY b.cid")
+
+
 def _loop(points, pts, cur: Centers, dims: int, max_steps: int, digits: int) -> KMeansResult:
-    old = None          # nearest-centroid expression of the previous step
+    spark = pts.sparkSession
+    prev: Centers | None = None
     step, trace, unroll = 0, [], False
-    sums = [F.sum(F.col("features")[i]).alias(f"_s{i}") for i in range(dims)]
     while True:
-        best = nearest("features", cur, unroll=unroll)
-        cols = [best["cid"].alias("cid"), best["dist"].alias("dist"), "features"]
-        if old is not None:
-            cols.append((old["cid"] != best["cid"]).cast("int").alias("_sw"))
-        else:
-            cols.append(F.lit(1).alias("_sw"))
-        assigned = pts.select(*cols)
-        rows = assigned.groupBy("cid").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("dist").alias("sum_dist"),
-            F.sum("_sw").alias("sw"), *sums).collect()   # at most k rows
+        first = prev is None
+        ucur = nearest_sql("features", cur, digits, unroll=True) if unroll else None
+        uold = nearest_sql("features", prev, digits, unroll=True) if unroll and not first else None
+        args = {"cur": centers_json(cur)}
+        if not first:
+            args["old"] = centers_json(prev)
+        q = _step_sql(dims, digits, ucur, uold, first)
+        rows = spark.sql(q, args=args, pts=pts).collect()   # at most k rows
         n = sum(r["n"] for r in rows)
         unroll = n * len(cur) * dims >= UNROLL_MIN_WORK
         moved = sum(r["sw"] for r in rows)
@@ -156,5 +169,5 @@ def _loop(points, pts, cur: Centers, dims: int, max_steps: int, digits: int) ->
             return KMeansResult(assign(points, cur), cur, err, step, trace)
         nxt = sorted((int(r["cid"]), [round(r[f"_s{i}"] / r["n"], digits) for i in range(dims)])
                      for r in rows)
-        old, cur = best, nxt
+        prev, cur = cur, nxt
         step += 1

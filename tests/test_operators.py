@@ -151,3 +151,19 @@ def test_switches_and_error(spark):
     assert km.switches(pts, [(0, [0.0]), (1, [4.0])], [(0, [0.0]), (1, [0.9])]).first()[0] == 1
     e = km.error(km.assign(pts, [(0, [0.0]), (1, [4.0])])).first()[0]
     assert abs(e - math.sqrt(1.0) / 3) < 1e-12
+
+
+def test_kmeans_unrolled_distances_match(spark, monkeypatch):
+    """The compiled (spelled-out) distance form gives the same steps and assignment."""
+    pts = embedding_vectors(spark, SF0001)
+    c0 = km.collect_centers(km.init_by_ids(pts, [0, 1, 2]))
+    want = km.kmeans(pts, c0, max_steps=4)
+    monkeypatch.setattr(km, "UNROLL_MIN_WORK", 0)
+    got = km.kmeans(pts, c0, max_steps=4)
+    assert got.trace == want.trace or (
+        [t[:2] for t in got.trace] == [t[:2] for t in want.trace]
+        and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got.trace, want.trace)))
+    assert got.centers == want.centers
+    a = {r.id: r.cid for r in got.assignment.collect()}
+    b = {r.id: r.cid for r in want.assignment.collect()}
+    assert a == b
