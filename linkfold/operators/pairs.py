@@ -28,11 +28,15 @@ def mirror_union(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
     return df.select(a, b).union(reverse_pairs(df, a, b))
 
 
+def _pair_struct(a: str, b: str, first: str, second: str) -> str:
+    """SQL for a ``struct<a, b>`` holding columns ``first`` and ``second``."""
+    return f"named_struct('{a}', `{first}`, '{b}', `{second}`)"
+
+
 def mirror_explode(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
     """Both directions of every row in one pass: one row in, two rows out."""
-    both = F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")),
-                             F.struct(F.col(b).alias("x"), F.col(a).alias("y"))))
-    return df.select(both.alias("_p")).select(F.col("_p.x").alias(a), F.col("_p.y").alias(b))
+    fwd, back = _pair_struct(a, b, a, b), _pair_struct(a, b, b, a)
+    return df.selectExpr(f"inline(array({fwd}, {back}))")
 
 
 def mirror_distinct(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
@@ -48,10 +52,8 @@ def canonical_pairs(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
 def mirror_canonical(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
     """The mirrored set of a canonical pair table in one scan: equal to
     ``mirror_distinct`` of the original edges (a self-loop appears once)."""
-    fwd = F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
-    back = F.struct(F.col(b).alias("x"), F.col(a).alias("y"))
-    both = F.when(F.col(a) != F.col(b), F.array(fwd, back)).otherwise(F.array(fwd))
-    return df.select(F.explode(both).alias("_p")).select(F.col("_p.x").alias(a), F.col("_p.y").alias(b))
+    fwd, back = _pair_struct(a, b, a, b), _pair_struct(a, b, b, a)
+    return df.selectExpr(f"inline(if(`{a}` <> `{b}`, array({fwd}, {back}), array({fwd})))")
 
 
 def dedup_pairs(df: DataFrame) -> DataFrame:

@@ -45,9 +45,10 @@ def new_scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet at ``path`` and return the scan of what was written."""
+    """Write ``df`` as Parquet at ``path`` and return the scan of what was written
+    (with the schema already known, so reading it back starts no inference job)."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
