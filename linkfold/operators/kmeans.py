@@ -38,15 +38,29 @@ def init_by_ids(points: DataFrame, ids: list[int]) -> DataFrame:
                          F.col("features").alias("center"))
 
 
+# Fixed values of the seeded sample order: a multiplicative congruential hash of the id,
+# computed with 64-bit integer arithmetic that every SQL engine evaluates alike.
+SAMPLE_MULTIPLIER = 1103515245
+SAMPLE_MODULUS = 2147483648   # 2^31
+
+
+def sample_order(id_col: str = "id", seed: int = 42):
+    """``((id mod 2^31) * 1103515245 + seed) mod 2^31``: a seeded pseudo-random order of
+    the ids (a bijection on ids below 2^31; ties beyond that are broken by the id)."""
+    m = F.lit(SAMPLE_MODULUS)
+    return F.pmod(F.pmod(F.col(id_col), m) * SAMPLE_MULTIPLIER + F.lit(seed), m)
+
+
 def sample_k(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """O6: ``k`` distinct rows in a seeded hash order (top-k by hash: each task keeps k)."""
-    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+    """O6: ``k`` distinct rows in a seeded hash order (top-k: each task keeps ``k``)."""
+    return points.orderBy(sample_order("id", seed), "id").limit(k)
 
 
 def init_by_sample(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     s = sample_k(points, k, seed)
     from pyspark.sql import Window
-    return s.select((F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed)), "id")) - 1)
+    # at most k rows: a window over them is bounded by the parameter
+    return s.select((F.row_number().over(Window.orderBy(sample_order("id", seed), "id")) - 1)
                     .alias("cid"), F.col("features").alias("center"))
 
 

@@ -208,6 +208,9 @@ SQL: dict[str, str] = {
     "top_components": (f"select component, count(*) + 1 as n_nodes from ({_membership('e3')}) "
                        f"group by component order by n_nodes desc, component limit 20"),
     # k-means and vectors
+    "sample_k": ("select vec_id as id from embeddings order by "
+                 "((((vec_id % 2147483648) + 2147483648) % 2147483648) * 1103515245 + 42) % 2147483648, "
+                 "vec_id limit 3"),
     "kmeans_init": _km_ctes(0) + "\n" + _km_long("select cid, center from c0"),
     "kmeans_assign": _km_ctes(0) + "\nselect id, cid, round(dist, 6) as dist from a0",
     "nearest_centroid": _km_ctes(0) + "\nselect id, cid from a0",

@@ -35,7 +35,7 @@ def con():
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"partition_profile", "sample_k"}
+    assert set(QUERIES) - set(SQL) == {"partition_profile"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
