@@ -205,9 +205,8 @@ def q_relabel_ordered(spark, sf):
 
 def q_sql_function_relabel(spark, sf):
     fn = register_relabel(spark)
-    view = new_scratch_path(spark, "v").rsplit("-", 1)[-1]
-    _with_min(spark, sf).createOrReplaceTempView(f"lf_min_{view}")
-    return spark.sql(f"SELECT {fn}(n1, mn, n2) AS n1, mn AS n2 FROM lf_min_{view} WHERE mn < n1")
+    return spark.sql(f"SELECT {fn}(n1, mn, n2) AS n1, mn AS n2 FROM {{m}} WHERE mn < n1",
+                     m=_with_min(spark, sf))
 
 
 def q_edges_join_min(spark, sf):
