@@ -100,6 +100,19 @@ def test_hot_round_plan_broadcasts_and_does_not_shuffle_hot_rows(spark):
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
 
 
+def test_star_hub_hot_under_default_thresholds(spark):
+    """A hub above the default hot degree (100k), not the smallest id: round one's
+    whole output comes from the hub's row group, matched against the broadcast stats."""
+    n, hub_id = 200_000, 10**9
+    e = spark.range(n).select(F.lit(hub_id).alias("src"), F.col("id").alias("dst"))
+    plan = cc_round(as_pairs(e), "join")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    res = connected_components(e)
+    assert [t[1:] for t in res.trace] == [(n - 1, n), (0, n)]
+    sizes = component_sizes(res.membership()).collect()
+    assert [(r["component"], r["n_nodes"]) for r in sizes] == [(0, n + 1)]
+
+
 def test_hot_threshold_bound():
     assert hot_threshold(10**9, max_hot_keys=1000, min_hot_degree=10) == 10**6
     assert hot_threshold(100, max_hot_keys=1000, min_hot_degree=10) == 10
