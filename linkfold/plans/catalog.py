@@ -320,6 +320,10 @@ def q_kmeans_init(spark, sf):
     return _long_centers(km.init_by_ids(_points(spark, sf), KMEANS_INIT_IDS))
 
 
+def q_kmeans_init_sample(spark, sf):
+    return _long_centers(km.init_by_sample(_points(spark, sf), 3))
+
+
 def q_kmeans_assign(spark, sf):
     a = km.assign(_points(spark, sf), _c0(spark, sf))
     return a.select("id", F.col("cid").cast("int").alias("cid"), _r("dist"))
@@ -462,6 +466,7 @@ QUERIES: dict[str, Query] = {
     "top_components": q_top_components,
     # k-means and vectors
     "kmeans_init": q_kmeans_init,
+    "kmeans_init_sample": q_kmeans_init_sample,
     "kmeans_assign": q_kmeans_assign,
     "nearest_centroid": q_nearest_centroid,
     "cluster_counts": q_cluster_counts,

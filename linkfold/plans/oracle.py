@@ -102,6 +102,10 @@ def _km_ctes(steps: int) -> str:
     return "with " + ",\n".join(ctes)
 
 
+# the seeded sample order of the k-means operator, in DuckDB integer arithmetic
+_SAMPLE_ORDER = "((((({id}) % 2147483648) + 2147483648) % 2147483648) * 1103515245 + 42) % 2147483648, {id}"
+
+
 def _km_long(center_sql: str, col: str = "value") -> str:
     return (f"select cast(cid as integer) as cid, cast(i - 1 as integer) as dim, "
             f"round(center[i], 6) as {col} from ({center_sql}) x, generate_series(1, len(center)) g(i)")
@@ -208,9 +212,12 @@ SQL: dict[str, str] = {
     "top_components": (f"select component, count(*) + 1 as n_nodes from ({_membership('e3')}) "
                        f"group by component order by n_nodes desc, component limit 20"),
     # k-means and vectors
-    "sample_k": ("select vec_id as id from embeddings order by "
-                 "((((vec_id % 2147483648) + 2147483648) % 2147483648) * 1103515245 + 42) % 2147483648, "
-                 "vec_id limit 3"),
+    "sample_k": f"select vec_id as id from embeddings order by {_SAMPLE_ORDER.format(id='vec_id')} limit 3",
+    "kmeans_init_sample": (
+        f"with s as (select vec_id as id, cast(embedding as double[]) as f from embeddings "
+        f"order by {_SAMPLE_ORDER.format(id='vec_id')} limit 3), "
+        f"c as (select row_number() over (order by {_SAMPLE_ORDER.format(id='id')}) - 1 as cid, "
+        f"f as center from s)\n" + _km_long("select cid, center from c")),
     "kmeans_init": _km_ctes(0) + "\n" + _km_long("select cid, center from c0"),
     "kmeans_assign": _km_ctes(0) + "\nselect id, cid, round(dist, 6) as dist from a0",
     "nearest_centroid": _km_ctes(0) + "\nselect id, cid from a0",
