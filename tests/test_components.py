@@ -113,6 +113,52 @@ def test_star_hub_hot_under_default_thresholds(spark):
     assert [(r["component"], r["n_nodes"]) for r in sizes] == [(0, n + 1)]
 
 
+def _live_plan(plan: str) -> str:
+    """The executed plan without the subtrees under cached relations (computed once, by
+    the round's stats action, not by the round itself)."""
+    keep, skip = [], None
+    for line in plan.splitlines():
+        lvl = len(line) - len(line.lstrip(" :+-|"))
+        if skip is not None and lvl > skip:
+            continue
+        skip = None
+        keep.append(line)
+        if "InMemoryRelation" in line:
+            skip = lvl
+    return "\n".join(keep)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_round_plan_shape_at_scale_settings(spark, tmp_path, hot):
+    """With broadcasts off for data-sized sides (as on big inputs): one scan, the pair
+    shuffle for the join and the distinct shuffle; hot keys add two bounded broadcasts
+    and a second scan, and their rows are joined map-side."""
+    from linkfold.operators.rounds import mirror, round_output, round_stats, stats_summary
+    e = hub(60) + random_graph(40, 30, 5)
+    rows_ = sorted({(min(a, b), max(a, b)) for a, b in e if a != b})
+    spark.createDataFrame(rows_, "n1 long, n2 long").write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g"))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                            "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        s = mirror(g, False)
+        stats = round_stats(s).persist()
+        _, n, mx = stats_summary(stats)
+        opts = {"min_hot_degree": 8, "max_hot_keys": 1000} if hot else {}
+        out = round_output(s, stats, "join", hot_threshold(n, **opts), max_degree=mx)
+        plan = _live_plan(out._jdf.queryExecution().executedPlan().toString())
+        stats.unpersist()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("FileScan parquet") == (2 if hot else 1)
+    assert plan.count("BroadcastExchange") == (2 if hot else 0)
+    assert ("BroadcastHashJoin" in plan) == hot and plan.count("SortMergeJoin") == 1
+
+
 def test_hot_threshold_bound():
     assert hot_threshold(10**9, max_hot_keys=1000, min_hot_degree=10) == 10**6
     assert hot_threshold(100, max_hot_keys=1000, min_hot_degree=10) == 10

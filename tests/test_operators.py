@@ -167,3 +167,20 @@ def test_kmeans_unrolled_distances_match(spark, monkeypatch):
     a = {r.id: r.cid for r in got.assignment.collect()}
     b = {r.id: r.cid for r in want.assignment.collect()}
     assert a == b
+
+
+def test_kmeans_step_plan_has_one_exchange_and_no_join(spark):
+    """Points never meet the centroids in a join: one partial + final aggregation."""
+    from linkfold.functions.vectors import centers_json
+    pts = embedding_vectors(spark, SF0001).select("features")
+    c0 = km.collect_centers(km.init_by_ids(embedding_vectors(spark, SF0001), [0, 1, 2]))
+    q = km._step_sql(len(c0[0][1]), 9, None, None, first=False)
+    saved = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.sql(q, args={"cur": centers_json(c0), "old": centers_json(c0)}, pts=pts)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sum(r["sw"] for r in df.collect()) == 0   # same centroids: nobody moves
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", saved)
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Cartesian" not in plan
