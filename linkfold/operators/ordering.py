@@ -9,7 +9,8 @@
   clustering by the group the rows are globally range-sorted, numbered, and each row is
   equi-joined to its predecessor by index (a unique key: no skew).
 * ``partition_profile`` and ``secondary_sort``: the partition layout tools of the analysed
-  code (``glom``, custom partitioner + sort).
+  code (``glom``, composite-key partitioner + sort), the latter range-partitioned so a hub
+  key spans partitions.
 """
 
 from __future__ import annotations
@@ -32,9 +33,7 @@ def row_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
     ``order_cols`` are numbered in an arbitrary order.
     """
     spark = df.sparkSession
-    ordered = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
-               else df.repartitionByRange(*order_cols))
-    tagged = ordered.sortWithinPartitions(*order_cols).withColumn(
+    tagged = secondary_sort(df, order_cols, num_partitions).withColumn(
         "_mid", F.monotonically_increasing_id())
     table = write_table(tagged, new_scratch_path(spark, "rowindex"))
     pid = F.shiftright("_mid", 33).alias("_pid")
@@ -69,9 +68,17 @@ def partition_profile(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
-def secondary_sort(df: DataFrame, key: str, value: str,
+def secondary_sort(df: DataFrame, order_cols: list[str],
                    num_partitions: int | None = None) -> DataFrame:
-    """Hash-partition on ``key`` and sort each partition on ``(key, value)``: the
-    composite-key shuffle sort. A window over the same keys reuses this layout."""
-    parts = (df.repartition(num_partitions, key) if num_partitions else df.repartition(key))
-    return parts.sortWithinPartitions(key, value)
+    """The composite-key shuffle sort: rows of one key together and sorted by the rest
+    of ``order_cols`` inside each partition.
+
+    The analysed code hash-partitions on the first key part alone, which puts every row
+    of a hub key into one task. Range partitioning on the whole composite key keeps each
+    key's rows contiguous and sorted but lets a key that is a large share of all rows
+    span several partitions, so consumers take a group's head from the group statistics
+    (``attach_group_min``) rather than from the first row of a partition.
+    """
+    parts = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+             else df.repartitionByRange(*order_cols))
+    return parts.sortWithinPartitions(*order_cols)

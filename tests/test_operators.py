@@ -184,3 +184,17 @@ def test_kmeans_step_plan_has_one_exchange_and_no_join(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", saved)
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Cartesian" not in plan
+
+
+def test_secondary_sort_splits_a_hub_and_sorts_partitions(spark):
+    from linkfold.operators.ordering import secondary_sort
+    rows_ = [(1, v) for v in range(2000)] + [(k, 0) for k in range(2, 50)]
+    df = spark.createDataFrame(rows_, "k long, v long")
+    out = secondary_sort(df, ["k", "v"], 4).select(F.spark_partition_id().alias("p"), "k", "v")
+    got = [tuple(r) for r in out.collect()]
+    parts = {}
+    for p, k, v in got:
+        parts.setdefault(p, []).append((k, v))
+    assert all(rs == sorted(rs) for rs in parts.values())
+    assert len({p for p, k, _ in got if k == 1}) > 1        # the hub spans partitions
+    assert sorted((k, v) for _, k, v in got) == sorted(rows_)
