@@ -69,8 +69,8 @@ def attach_group_min(df: DataFrame, key: str, value: str, out: str = "mn",
     (``cold='window'``) or a shuffle join with the stats (``cold='join'``).
     """
     stats = key_stats(df, key, value)
-    n_rows = stats.agg(F.sum("deg")).first()[0] or 0
-    threshold = hot_threshold(n_rows, **threshold_opts)
+    # the sum of the degrees is the row count: a scan with no shuffle sizes the threshold
+    threshold = hot_threshold(df.count(), **threshold_opts)
     hot_rows, cold_rows = split_hot(df, stats, key, threshold, ["mn"])
     hot_part = hot_rows.select(*df.columns, F.col("mn").alias(out))
     if cold == "window":
