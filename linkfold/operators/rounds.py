@@ -119,10 +119,11 @@ def cc_round(g: DataFrame, strategy: str = "join", *, first_round: bool = True,
              dedup: bool = True, **threshold_opts) -> DataFrame:
     """One round on pair table ``g(n1, n2)``, as a lazy DataFrame.
 
-    Runs one small action (the stats summary) to size the hot-key threshold.
+    Runs one scan (no shuffle) to size the hot-key threshold: ``2 * |g|`` bounds the
+    mirrored set from above, which keeps the bound on the number of hot keys. The loop
+    (``iterate``) reads the exact size and the largest degree from its stats instead.
     """
     s = mirror(g, first_round)
     stats = round_stats(s)
-    _, rows, max_deg = stats_summary(stats)
-    return round_output(s, stats, strategy, hot_threshold(rows, **threshold_opts), dedup=dedup,
-                        max_degree=max_deg)
+    return round_output(s, stats, strategy, hot_threshold(2 * g.count(), **threshold_opts),
+                        dedup=dedup)
