@@ -25,6 +25,10 @@ def _canon(cols, rows):
     return [cols[i] for i in order], Counter(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+def _types(cols, rows):
+    return {c: {type(r[i]).__name__ for r in rows if r[i] is not None} for i, c in enumerate(cols)}
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -41,10 +45,11 @@ def test_every_query_has_an_oracle_or_is_rows_only():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF0001)
-    got = _canon(df.columns, [tuple(r) for r in df.collect()])
+    srows = [tuple(r) for r in df.collect()]
     res = con.execute(SQL[name])
-    want = _canon([d[0] for d in res.description], res.fetchall())
-    assert got == want
+    ocols, orows = [d[0] for d in res.description], res.fetchall()
+    assert _canon(df.columns, srows) == _canon(ocols, orows)
+    assert _types(df.columns, srows) == _types(ocols, orows)   # 1 == True == Decimal(1)
 
 
 def test_entry_smoke(spark):
