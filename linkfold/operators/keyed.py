@@ -62,15 +62,18 @@ def split_hot(df: DataFrame, stats: DataFrame, key: str, threshold: int,
 
 
 def attach_group_min(df: DataFrame, key: str, value: str, out: str = "mn",
-                     cold: str = "window", **threshold_opts) -> DataFrame:
+                     cold: str = "window", n_rows_bound: int | None = None,
+                     **threshold_opts) -> DataFrame:
     """``df`` plus the minimum ``value`` of the row's ``key`` group, next to every row.
 
     Hot groups get it from the broadcast stats; cold groups from a window over the key
-    (``cold='window'``) or a shuffle join with the stats (``cold='join'``).
+    (``cold='window'``) or a shuffle join with the stats (``cold='join'``). The threshold
+    is sized from ``n_rows_bound`` (any upper bound on the row count keeps the bound on
+    the number of hot keys), else from ``df.count()``.
     """
     stats = key_stats(df, key, value)
-    # the sum of the degrees is the row count: a scan with no shuffle sizes the threshold
-    threshold = hot_threshold(df.count(), **threshold_opts)
+    n_rows = df.count() if n_rows_bound is None else n_rows_bound
+    threshold = hot_threshold(n_rows, **threshold_opts)
     hot_rows, cold_rows = split_hot(df, stats, key, threshold, ["mn"])
     hot_part = hot_rows.select(*df.columns, F.col("mn").alias(out))
     if cold == "window":

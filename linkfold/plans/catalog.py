@@ -188,7 +188,9 @@ def q_explode_neighbors(spark, sf):
 
 
 def _with_min(spark, sf, cold="join", g="e1"):
-    return attach_group_min(mirrored(spark, sf, g), "n1", "n2", "mn", cold=cold)
+    # the mirrored set has at most twice the source edges: a scan, not the distinct, sizes it
+    bound = 2 * edges(spark, sf, g).count()
+    return attach_group_min(mirrored(spark, sf, g), "n1", "n2", "mn", cold=cold, n_rows_bound=bound)
 
 
 def q_relabel_case(spark, sf):
