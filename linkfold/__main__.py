@@ -80,9 +80,10 @@ def run_components(spark: SparkSession, a: argparse.Namespace) -> dict:
     t2 = time.time()
     m = res.membership()
     top = top_components(m, a.top).collect()          # at most --top rows
+    n_components = component_count(m).first()[0]
+    res.release()                                     # the result is at --output now
     return {"command": "components", "strategy": a.strategy, "rounds": res.rounds,
-            "trace": [list(t) for t in res.trace],
-            "components": component_count(m).first()[0],
+            "trace": [list(t) for t in res.trace], "components": n_components,
             "process_s": round(t1 - t0, 3), "write_s": round(t2 - t1, 3),
             "top": [[r["component"], r["n_nodes"]] for r in top]}
 

@@ -28,9 +28,18 @@ from linkfold.storage import drop_path, new_scratch_path, write_table
 
 @dataclass
 class ComponentsResult:
-    """``pairs``: the converged ``(n1, n2)`` table; ``trace``: ``(round, new_pairs, pairs)``."""
+    """``pairs``: the converged ``(n1, n2)`` table; ``trace``: ``(round, new_pairs, pairs)``;
+    ``path``: where that table lives in the checkpoint folder."""
     pairs: DataFrame
     trace: list[tuple[int, int, int]] = field(default_factory=list)
+    path: str | None = None
+
+    def release(self) -> None:
+        """Delete the result table from the checkpoint folder (after its results are
+        written elsewhere); ``pairs`` and ``membership()`` cannot be read afterwards."""
+        if self.path is not None:
+            drop_path(self.pairs.sparkSession, self.path)
+            self.path = None
 
     @property
     def rounds(self) -> int:
@@ -85,7 +94,7 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
                 trace[-1][2] = rows // 2
             if new_pairs == 0 and not first:
                 trace.append([r, 0, rows // 2])
-                return ComponentsResult(g, [tuple(t) for t in trace])
+                return ComponentsResult(g, [tuple(t) for t in trace], prev_path)
             threshold = hot_threshold(rows, hot_degree=hot_degree,
                                       min_hot_degree=min_hot_degree, max_hot_keys=max_hot_keys)
             path = new_scratch_path(spark, f"cc-r{r}")
@@ -102,9 +111,9 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
         if rounds is None:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds; raise max_rounds")
     if not trace:
-        return ComponentsResult(g, [])
+        return ComponentsResult(g, [], prev_path)
     trace[-1][2] = g.count()   # only the last round's size is not known from a later round
-    return ComponentsResult(g, [tuple(t) for t in trace])
+    return ComponentsResult(g, [tuple(t) for t in trace], prev_path)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",

@@ -195,3 +195,12 @@ def test_isolated_vertices(spark):
     v = spark.createDataFrame([(1,), (2,), (7,), (9,)], "node long")
     got = rows(res.membership(include_roots=True, vertices=v), "node", "component")
     assert got == [(1, 1), (2, 1), (7, 7), (9, 9)]
+
+
+def test_release_deletes_the_result_table(spark):
+    import os
+    res = connected_components(edges_df(spark, TWO_GRAPHS))
+    local = res.path.replace("file:", "")
+    assert os.path.exists(local) and res.membership().count() == 11
+    res.release()
+    assert res.path is None and not os.path.exists(local)
