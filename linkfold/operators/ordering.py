@@ -6,8 +6,9 @@
   the offsets. No step sees more than one partition of data.
 * ``previous_in_group``: ``lag(order) over (partition by group order by order)`` without a
   window partition per group. A single group may hold a third of all rows, so instead of
-  clustering by the group the rows are globally range-sorted, numbered, and each row is
-  equi-joined to its predecessor by index (a unique key: no skew).
+  clustering by the group the rows are globally range-sorted and ``lag`` runs per range
+  partition; the first row of each partition takes the last row of the partition before
+  (a table of one row per partition).
 * ``partition_profile`` and ``secondary_sort``: the partition layout tools of the analysed
   code (``glom``, composite-key partitioner + sort), the latter range-partitioned so a hub
   key spans partitions.
@@ -23,19 +24,27 @@ from linkfold.storage import new_scratch_path, write_table
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition id << 33 | record number
 
 
+def _range_tagged(df: DataFrame, order_cols: list[str],
+                  num_partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted on ``order_cols``, each row tagged with
+    ``_mid`` (partition id << 33 | position in the partition), written once to the
+    checkpoint folder so the tags are stable however often the result is recomputed
+    (``monotonically_increasing_id`` is not deterministic across re-executions with a
+    different partitioning)."""
+    tagged = secondary_sort(df, order_cols, num_partitions).withColumn(
+        "_mid", F.monotonically_increasing_id())
+    return write_table(tagged, new_scratch_path(df.sparkSession, "ranged"))
+
+
 def row_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
               num_partitions: int | None = None) -> DataFrame:
     """Append ``out_col``: the row's 0-based position in ``order_cols`` order.
 
     The numbered rows are written to the checkpoint folder once, so the ids are stable
-    however often the result is recomputed (``monotonically_increasing_id`` is not
-    deterministic across re-executions with different partitioning). Ties in
-    ``order_cols`` are numbered in an arbitrary order.
+    however often the result is recomputed. Ties in ``order_cols`` are numbered in an
+    arbitrary order.
     """
-    spark = df.sparkSession
-    tagged = secondary_sort(df, order_cols, num_partitions).withColumn(
-        "_mid", F.monotonically_increasing_id())
-    table = write_table(tagged, new_scratch_path(spark, "rowindex"))
+    table = _range_tagged(df, order_cols, num_partitions)
     pid = F.shiftright("_mid", 33).alias("_pid")
     # one row per partition: bounded by the partition count, never by the data
     counts = table.groupBy(pid).agg(F.count(F.lit(1)).alias("_n"))
@@ -50,16 +59,33 @@ def row_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
 
 
 def previous_in_group(df: DataFrame, group_col: str, order_col: str,
-                      out_col: str = "prev") -> DataFrame:
+                      out_col: str = "prev", num_partitions: int | None = None) -> DataFrame:
     """``df`` with ``out_col`` = the previous ``order_col`` value inside the same group
-    (null for the first row of a group). ``(group_col, order_col)`` should be unique."""
-    indexed = row_index(df.select(group_col, order_col), [group_col, order_col], "_idx")
-    shifted = indexed.select((F.col("_idx") + 1).alias("_idx"),
-                             F.col(group_col).alias("_pg"), F.col(order_col).alias("_po"))
-    same = F.col(group_col).eqNullSafe(F.col("_pg"))
-    return (indexed.join(shifted, "_idx", "left")
+    (null for the first row of a group). ``(group_col, order_col)`` should be unique.
+
+    After the range sort, a row's predecessor is the previous row of its own range
+    partition, or, for a partition's first row, the last row of the previous non-empty
+    partition. So ``lag`` runs over a window per range partition (one shuffle; every
+    window partition is one balanced range partition, however large a group is), and the
+    first rows take their predecessor from a table of one row per partition.
+    """
+    t = _range_tagged(df.select(group_col, order_col), [group_col, order_col], num_partitions)
+    t = t.withColumn("_pid", F.shiftright("_mid", 33))
+    w = Window.partitionBy("_pid").orderBy("_mid")
+    local = t.select(group_col, order_col, "_pid",
+                     F.lag("_mid").over(w).alias("_pm"),
+                     F.lag(group_col).over(w).alias("_pg"), F.lag(order_col).over(w).alias("_po"))
+    # one row per non-empty partition: bounded by the partition count, never by the data
+    lasts = t.groupBy("_pid").agg(
+        F.max_by(F.struct(F.col(group_col).alias("g"), F.col(order_col).alias("o")), "_mid")
+        .alias("_last"))
+    before = lasts.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_b"))
+    first = F.col("_pm").isNull()
+    pg = F.when(first, F.col("_b.g")).otherwise(F.col("_pg"))
+    po = F.when(first, F.col("_b.o")).otherwise(F.col("_po"))
+    return (local.join(F.broadcast(before), "_pid", "left")
             .select(group_col, order_col,
-                    F.when(same, F.col("_po")).alias(out_col)))
+                    F.when(F.col(group_col).eqNullSafe(pg), po).alias(out_col)))
 
 
 def partition_profile(df: DataFrame) -> DataFrame:

@@ -23,11 +23,13 @@ def test_row_index_is_contiguous_in_order(spark):
     assert [(s, d) for _, s, d in got] == want
 
 
-def test_previous_in_group_with_one_hot_group_across_partitions(spark):
-    # one group holds 90% of the rows, so range partitions split it
+@pytest.mark.parametrize("parts", [None, 3, 200])
+def test_previous_in_group_with_one_hot_group_across_partitions(spark, parts):
+    # one group holds 90% of the rows, so range partitions split it; with 200 partitions
+    # most hold a few rows and a group's rows cross many partition boundaries
     rows = [("hot", i) for i in range(0, 900, 1)] + [(f"g{i % 7}", 1000 + i) for i in range(100)]
     df = spark.createDataFrame(rows, "h string, d long").repartition(6)
-    got = {(r.h, r.d): r.prev for r in previous_in_group(df, "h", "d").collect()}
+    got = {(r.h, r.d): r.prev for r in previous_in_group(df, "h", "d", num_partitions=parts).collect()}
     want = {}
     for h in {h for h, _ in rows}:
         ds = sorted(d for g, d in rows if g == h)
