@@ -7,17 +7,19 @@ encoding makes them several times smaller than serialised rows, and the re-read
 file statistics that AQE uses for its join and partition decisions. A lost executor
 costs nothing: the table is on shared storage and the read is an ordinary scan.
 
-Libraries never choose the folder. ``ensure_checkpoint_dir`` exists for tests, the
-bench and the driver contract, and only sets a folder where the session has none.
+The library never chooses the folder; the tests, the bench and the driver contract set one where
+a local session has none.
 """
 
 from __future__ import annotations
 
-import tempfile
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The session's checkpoint folder; raises if the session has none."""
@@ -31,14 +33,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Test/bench helper: keep the session's folder, or set a fresh local one if unset."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkfold-ckpt-"))
-    return checkpoint_root(spark)
-
-
 def new_scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh, never reused path under the checkpoint folder."""
     return f"{checkpoint_root(spark)}/linkfold-{tag}-{uuid.uuid4().hex[:12]}"
@@ -52,11 +46,12 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Best-effort removal of a finished round table through the Hadoop file system."""
+    """Remove a finished table through the Hadoop file system. Cleanup never fails a finished job, but a
+    failure is logged, as it fills the store."""
     try:
         jvm = spark.sparkContext._jvm
         hpath = jvm.org.apache.hadoop.fs.Path(path)
         fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(hpath, True)
-    except Exception:  # noqa: BLE001 - cleanup must never fail a finished job
-        pass
+    except Exception as exc:  # noqa: BLE001
+        log.warning("could not delete %s: %s", path, exc)

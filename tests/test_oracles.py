@@ -10,8 +10,8 @@ import __spark_entry__ as entry
 from conftest import SF0001
 from linkfold.sources.edges import DRIVER_TABLES
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = {k: f for k, f in entry.queries().items() if k not in entry.LLM_QUERIES}   # those have tests of their own
+SQL = {k: s for k, s in entry.oracle_sql().items() if k in QUERIES}
 
 
 def _norm(v):
