@@ -8,8 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkfold.llm import exact_dedup, mixing, packing, token_counts
+from linkfold.llm import exact_dedup, langid, mixing, packing, rans, simhash, sketches, token_counts
 from linkfold.llm.common import read_documents
+from linkfold.storage import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +23,28 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_scratch_path(spark, "token-files")
+    rans.write_token_files(read_documents(spark, sf_dir), path, BYTE_BPE, end_id=2)
+    return rans.token_index(spark, path)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_documents(spark, sf_dir), width=4, max_bits=4)
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_edits(read_documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_documents(spark, sf_dir))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_documents(spark, sf_dir)).documents.select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -36,7 +55,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_token_counts, op8_source_mix, op9_exact_dedup)}
+    op1_best_fit_packing, op2_token_files, op3_token_counts, op4_simhash_near_dedup,
+    op5_document_fingerprints, op6_language_id, op8_source_mix, op9_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op9_exact_dedup": """
