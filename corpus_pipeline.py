@@ -8,15 +8,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkfold.llm import exact_dedup, mixing, packing, queries
+from linkfold.llm import exact_dedup, langid, mixing, packing, queries, simhash
 from linkfold.llm.common import read_documents, stored
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which language ID finds a language stay: it rejects texts without a letter, and those in which hardly any
+    n-gram is near its place in any profile."""
+    return langid.known_language(docs, min_score=0.05)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each different text stays, the one with the largest id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the least id: 4-word shingles, 4 bits or fewer apart."""
+    return simhash.drop_near_duplicates(docs, width=4, max_bits=4)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the source mix takes it."""
     return mixing.mixed_documents(docs)
@@ -28,7 +39,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language),
     ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
     ("source_mix", mix),
     ("best_fit_packing", pack),
 ]

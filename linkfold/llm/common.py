@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkfold.storage import new_scratch_path, write_table
+from linkfold.storage import drop_path, new_scratch_path, write_table
 
 #: ASCII white space, the word separators of the corpus contracts
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +32,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return write_table(df, new_scratch_path(df.sparkSession, tag))
 
 
+def release(table: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing reads any more, and let Spark drop the shuffle files of finished plans."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        drop_path(table.sparkSession, path)
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, tag: str, col: str = "_row") -> DataFrame:
     """``stored`` with a unique row number, so repeated rows stay apart in later joins."""
     return stored(df.withColumn(col, F.monotonically_increasing_id()), tag)

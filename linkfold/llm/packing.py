@@ -104,7 +104,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, fan_in: int =
         if rows:
             yield _packed(group, rows, lens, capacity, slack)
 
-    def merged(key, group: pd.DataFrame) -> pd.DataFrame:
+    def merged(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return _packed(int(key[0]), group["rows"].tolist(), group["lens"].tolist(), capacity, slack)
 
     level = stored(pieces.select("piece_row", "length").mapInPandas(local, _BIN), "pack-0")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkfold.llm import exact_dedup, langid, mixing, packing, rans, simhash, sketches, token_counts
+from linkfold.llm import (exact_dedup, langid, licenses, mixing, packing, rans, simhash, sketches, suffix_dedup,
+                          token_counts)
 from linkfold.llm.common import read_documents
 from linkfold.storage import new_scratch_path
 
@@ -45,6 +47,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_documents(spark, sf_dir))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_documents(spark, sf_dir)).documents.select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -54,11 +60,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_documents(spark, sf_dir), window=200).select(
+        "doc_id", "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_files, op3_token_counts, op4_simhash_near_dedup,
-    op5_document_fingerprints, op6_language_id, op8_source_mix, op9_exact_dedup)}
+    op5_document_fingerprints, op6_language_id, op7_license_scan, op8_source_mix, op9_exact_dedup, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
+    "op7_license_scan": licenses.scan_sql(),
     "op9_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256

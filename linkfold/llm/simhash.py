@@ -205,7 +205,7 @@ def near_links(reps: DataFrame, max_bits: int = 4, sample: int = 100_000, shard:
     dealt = (rows.join(F.broadcast(big), "shard", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
              .withColumn("_block", block).withColumn("pair", F.explode(pairs)))
 
-    def forest(key, group: pd.DataFrame) -> pd.DataFrame:
+    def forest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a = group["fp"].to_numpy("<i8").view("<u8")
         side, rep, labels = group["side"].to_numpy(), group["rep"].to_numpy(), np.arange(len(group))
         link(a, np.flatnonzero(side == 0), None, max_bits, labels)

@@ -1,7 +1,7 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
-A text's paragraphs (lines; longer ones are cut at words chosen by their own hash, so an edit moves few cuts) are hashed to 64 bits,
-repeats apart. The sketch adds each digest to three cells: a count, the XOR of the digests and the XOR of
+A text's paragraphs (lines; longer ones are cut at words chosen by their own hash, so an edit moves few cuts, and at the
+latest after ``LONGEST`` words) are hashed to 64 bits, repeats apart. The sketch adds each digest to three cells: a count, the XOR of the digests and the XOR of
 their checksums. Two versions' sketches are subtracted cell by cell, which leaves only what differs, and peeling takes out one
 digest after the other from cells that hold just one. If cells are left over, both sketches are built again four times
 larger, with other hashes. From what differs, ``likeness`` is the Jaccard similarity of the two sets of paragraphs.
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from linkfold.llm.common import stored, text_or_empty
 
-CELLS, HASHES, LONG = 15, 3, 16   # least sketch, cells of a digest, words of a paragraph that stays whole
+CELLS, HASHES = 15, 3     # cells of the least sketch, cells that a digest is added to
+LONG, LONGEST = 6, 16     # words of a line that stays whole, most words of a part
 _U = np.uint64
 
 
 def paragraphs(text: str) -> list[str]:
-    """Lines that are not blank; those of more than ``LONG`` words in parts, cut after words whose hash says so."""
+    """Lines that are not blank; those of more than ``LONG`` words in parts, cut after words whose hash says so (one in four)."""
     out = []
     for line in text.split("\n"):
         words = line.split(" ")
@@ -42,7 +43,7 @@ def paragraphs(text: str) -> list[str]:
             continue
         start = 0
         for i, w in enumerate(words, 1):
-            if not zlib.crc32(w.encode("utf-8", "surrogatepass")) & 7:
+            if i - start >= LONGEST or not zlib.crc32(w.encode("utf-8", "surrogatepass")) & 3:
                 out.append(" ".join(words[start:i]))
                 start = i
         if start < len(words):
