@@ -32,6 +32,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return write_table(df, new_scratch_path(df.sparkSession, tag))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, text)``: the whole row in one column, so no name in it can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_or_empty().alias("text"))
+
+
 def release(table: DataFrame) -> None:
     """Delete a ``stored`` table that nothing reads any more, and let Spark drop the shuffle files of finished plans."""
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:

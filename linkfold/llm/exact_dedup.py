@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import numbered, stored, texts
+from linkfold.llm.common import boxed, numbered, stored, texts
 
 
 def sha256(text: Column) -> Column:
@@ -90,8 +90,7 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     The kept ids meet the rows by id and by the text's digest; of rows equal in both, one is kept.
     """
     kept = (exact_duplicates(docs, **options).where("kept")
-            .select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha")))
-    mine = docs.withColumn("_dedup_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    joined = mine.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep"))
-                       & (F.col("_dedup_sha") == F.col("_keep_sha")))
-    return joined.dropDuplicates(["doc_id", "_dedup_sha"]).select(*docs.columns)
+            .select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_keep_sha")))
+    mine = boxed(docs).withColumn("_sha", sha256(F.col("text"))).drop("text")
+    joined = mine.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_keep_sha")))
+    return joined.dropDuplicates(["doc_id", "_sha"]).select("row.*")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import SPACE_WORD, numbered, running_total, stored
+from linkfold.llm.common import SPACE_WORD, boxed, numbered, running_total, stored
 from linkfold.operators.ordering import row_index
 
 _MOD = 1 << 31                # the schedule's points are multiples of 1 / 2^31
@@ -135,19 +135,20 @@ def schedule(targets: DataFrame, total: float, n_slots: int, max_buckets: int =
     ranked = running_total(drawn, "sid", "_b", ["slot"], "_one", "block")
     used = ranked.join(need.select("sid", "_blocks"), "sid").where("block < _blocks").select("sid", "block", "slot")
     drawn_n = drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("_n"))
+    n_sources = targets.count()
     short = (need.join(drawn_n, "sid", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
              .where("_n < _blocks")
              .select("sid", F.explode(F.sequence(F.col("_n"), F.col("_blocks") - 1)).alias("block"))
-             .select("sid", "block", (F.lit(n_slots) + F.col("block")).alias("slot")))
+             .select("sid", "block", (n_slots + F.col("block") * n_sources + F.col("sid")).alias("slot")))
     return used.unionByName(short)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: whole rows, each as often as the words taken from it fill it (rounded;
     only the document at which a source's target ends is taken in part). A row without words goes."""
-    rows = numbered(docs, "mix-rows", "_mix_row")
+    rows = numbered(boxed(docs).withColumn("source", F.col("row.source")), "mix-rows", "_mix_row")
     taken = mix_sources(rows, row_col="_mix_row", **options).documents
     copies = (taken.where("taken > 0")
               .select(F.col("_row").alias("_mix_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-              .where("_n > 0").select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_mix_copy")))
-    return rows.join(copies, "_mix_row").select(*docs.columns)
+              .where("_n > 0").select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")))
+    return rows.join(copies, "_mix_row").select("row.*")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import stored, text_or_empty, texts
+from linkfold.llm.common import boxed, stored, texts
 from linkfold.operators.components import connected_components
 
 _BLOCK = 1 << 16
@@ -232,12 +232,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, **o
     """``docs`` with one document of each component: the one with the component's (least) id."""
     kept = (near_duplicates(docs, width, max_bits, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_keep")).distinct())
-    row = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
+    rows = boxed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")))
     # rows that share an id are one document: the least text of them stands for it
-    again = row.groupBy("doc_id").agg(F.min(text_or_empty()).alias("_text"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = rows.groupBy("doc_id").agg(F.min("text").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = stored(again.select(F.col("doc_id").alias("_i"), "_least"), "simhash-again")
     if again.isEmpty():
-        return row
-    again = stored(again, "simhash-again").select(F.col("doc_id").alias("_i"), "_text")
-    return (row.join(again, F.col("doc_id").eqNullSafe(F.col("_i")), "left")
-            .where(F.col("_text").isNull() | (text_or_empty() == F.col("_text")))
-            .drop("_i", "_text").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+        return rows.select("row.*")
+    return (rows.join(again, F.col("doc_id").eqNullSafe(F.col("_i")), "left")
+            .where(F.col("_least").isNull() | (F.col("text") == F.col("_least")))
+            .dropDuplicates(["doc_id", "text"]).select("row.*"))

@@ -1,0 +1,71 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from linkfold.llm import sketches as S
+
+from corpus import EDGE_TEXTS, SCHEMA, edge_rows, random_rows, table
+
+
+def jaccard(a, b):
+    a, b = Counter(S.paragraphs(a)), Counter(S.paragraphs(b))
+    either = sum((a | b).values())
+    return sum((a & b).values()) / either if either else 1.0
+
+
+def test_paragraphs_hold_the_whole_text():
+    for t in filter(None, EDGE_TEXTS):
+        assert " ".join(S.paragraphs(t)).split() == t.replace("\n", " ").split()
+        assert all(len(p.split(" ")) <= S.LONGEST for p in S.paragraphs(t))
+
+
+def test_peeling_recovers_what_differs():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 40, np.uint64)
+    b = np.concatenate([a[5:], rng.integers(0, 1 << 63, 3, np.uint64)])
+    diff = S.Sketches(1, 60, np.zeros(len(a), int), a).minus(S.Sketches(1, 60, np.zeros(len(b), int), b))
+    _, d, sign, empty = diff.peel()
+    assert empty.all() and set(d[sign > 0]) == set(a[:5]) and set(d[sign < 0]) == set(b[-3:])
+
+
+def test_likeness_is_the_jaccard_similarity():
+    rng = random.Random(4)
+    texts = [r[1] for r in random_rows(120, seed=9, words=300)] + [t or "" for t in EDGE_TEXTS]
+    other = [rng.choice(texts) if rng.random() < 0.5 else S.edited(t, rng.choice(texts)) for t in texts]
+    got = S.likeness(len(texts), S.digests(texts), S.digests(other))
+    assert np.allclose(got, [jaccard(a, b) for a, b in zip(texts, other)])
+
+
+@pytest.mark.parametrize("part_rows", [3, 2500])
+def test_against_brute_force(spark, part_rows):
+    rows = edge_rows() + [(1000 + 3 * r[0], *r[1:]) for r in random_rows(60, words=200)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    texts = [r[1] or "" for r in order]
+    want = []
+    for r, t, n in zip(order, texts, texts[1:] + texts[:1]):
+        e = S.edited(t, n)
+        assert len(e) == len(t) - len(t) // 4 + min(len(n), len(t) // 4)
+        want.append((str(r[0]), len(t), hashlib.sha256(e.encode()).hexdigest(), round(jaccard(t, e), 9), round(jaccard(t, n), 9)))
+    got = S.fingerprint_edits(table(spark, rows), part_rows=part_rows, rows=7).collect()
+    assert Counter((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9))
+                   for r in got) == Counter(want)
+    by_text = {}
+    for r, t in zip(sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)), []):
+        by_text.setdefault(t, set()).add(r["fingerprint"])
+    prints = {}
+    for r in got:
+        prints.setdefault(r["doc_id"], set()).add(r["fingerprint"])
+    same = [r[0] for r in rows if r[1] == "the same text" and r[0] is not None and len(prints[r[0]]) == 1]
+    assert len({next(iter(prints[i])) for i in same}) == 1
+
+
+def test_one_row_is_its_own_next(spark):
+    r = S.fingerprint_edits(table(spark, [(5, "a b c d\ne f g h", "en", "s", 3)], partitions=1)).collect()
+    assert len(r) == 1 and r[0]["near_next"] == 1.0
+
+
+def test_empty_table(spark):
+    assert S.fingerprint_edits(spark.createDataFrame([], SCHEMA)).collect() == []
