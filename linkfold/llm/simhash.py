@@ -174,8 +174,8 @@ def link(a: np.ndarray, ia: np.ndarray, ib: np.ndarray | None, r: int, labels: n
 
 # ---------------------------------------------------------------- the join
 
-def near_links(reps: DataFrame, max_bits: int = 4, sample: int = 100_000, shard: int = 20_000,
-               shard_cap: int = 100_000) -> DataFrame:
+def near_links(reps: DataFrame, max_bits: int = 4, sample: int = 50_000, shard: int = 100_000,
+               shard_cap: int = 1_000_000) -> DataFrame:
     """``(a, b)``: a spanning forest per shard of the links between the classes ``reps(fp, rep)``."""
     total = reps.count()
     picked = reps.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").toPandas()["fp"].to_numpy("<i8").view("<u8")
