@@ -6,7 +6,8 @@ sources    readers for edge lists / vectors and the graphs built from the driver
 operators  pair operators, the component round (four strategies), the fixpoint loop, reports, k-means
 functions  column expressions (vector maths, id order) and the SQL-body relabel function
 plans      the registered queries and their DuckDB oracles
-streaming  nothing: the analysed workload has no streaming part (see README)
+shipping   the package as a Python file of a running session
+llm        operators for training data (optional; nothing else imports it)
 """
 
 from linkfold.operators.components import connected_components, ComponentsResult

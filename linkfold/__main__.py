@@ -1,15 +1,15 @@
 """Command line: one run of the analysed scripts on any edge or vector file.
 
     python -m linkfold components --input edges.tsv --output out/ [--sep TAB] [--header]
-        [--id-type long|string] [--comment '#'] [--strategy join] [--format parquet|csv]
-        [--include-roots] [--partitions N] [--checkpoint-dir DIR] [--top 20]
+        [--id-type long|string] [--comment '#'] [--skip-lines N] [--on-bad fail|drop] [--strategy join]
+        [--format parquet|csv] [--include-roots] [--partitions N] [--checkpoint-dir DIR] [--top 20]
     python -m linkfold kmeans --input points.csv --output out/ [--k 3] [--features 4]
         [--sep ,] [--seed 42] [--max-steps 100] [--format parquet|csv] [--checkpoint-dir DIR]
 
 With ``spark-submit``, pass this file's path instead of ``-m linkfold``. The run prints
-one JSON line: rounds and the ``(round, new_pairs, pairs)`` trace, the component count,
-processing and write seconds and the largest components (or, for k-means, steps,
-error, per-step switches and the centroids). Results are written in parallel and
+one JSON line: input rows, rejected rows and input partitions, rounds and the ``(round, new_pairs, pairs)``
+trace, the component count, processing and write seconds and the largest components (or, for k-means, steps,
+whether it converged, error, per-step switches and the centroids). Results are written in parallel and
 replace what was at ``--output``.
 
 The checkpoint folder is the session's ``spark.checkpoint.dir``; ``--checkpoint-dir``
@@ -26,6 +26,8 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from linkfold.storage import scratch
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="python -m linkfold")
@@ -36,12 +38,15 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--output", required=True)
         s.add_argument("--format", choices=("parquet", "csv"), default="parquet")
         s.add_argument("--partitions", type=int, default=None,
-                       help="shuffle partitions for this run (session setting)")
+                       help="partitions of the round tables (components) or of shuffles (k-means)")
         s.add_argument("--checkpoint-dir", default=None)
     c = sub.choices["components"]
     c.add_argument("--sep", default="\t")
     c.add_argument("--header", action="store_true")
     c.add_argument("--comment", default=None)
+    c.add_argument("--skip-lines", type=int, default=0, help="lead lines of every file to leave out")
+    c.add_argument("--on-bad", choices=("fail", "drop"), default="fail",
+                   help="rows with a missing field or one that is not of the id type")
     c.add_argument("--id-type", choices=("long", "string"), default="long")
     c.add_argument("--strategy", choices=("join", "collect", "sorted", "window"), default="join")
     c.add_argument("--include-roots", action="store_true")
@@ -68,13 +73,14 @@ def _use_checkpoint_dir(spark: SparkSession, fallback: str | None) -> None:
 def run_components(spark: SparkSession, a: argparse.Namespace) -> dict:
     from linkfold.operators.components import connected_components
     from linkfold.operators.reports import component_count, top_components
-    from linkfold.sources.edges import read_edges_csv
+    from linkfold.sources.edges import edge_report, read_edges_csv
     from linkfold.sources.sinks import write_result
 
-    edges = read_edges_csv(spark, a.input, sep=a.sep, header=a.header, id_type=a.id_type,
-                           comment=a.comment)
+    source = {"sep": a.sep, "header": a.header, "id_type": a.id_type, "comment": a.comment, "skip_lines": a.skip_lines}
+    edges = read_edges_csv(spark, a.input, on_bad=a.on_bad, **source)
     t0 = time.time()
-    res = connected_components(edges, strategy=a.strategy)
+    res = connected_components(edges, strategy=a.strategy, num_partitions=a.partitions)
+    read = edge_report(spark, a.input, **source).first()
     t1 = time.time()
     write_result(res.membership(include_roots=a.include_roots), a.output, fmt=a.format)
     t2 = time.time()
@@ -82,7 +88,9 @@ def run_components(spark: SparkSession, a: argparse.Namespace) -> dict:
     top = top_components(m, a.top).collect()          # at most --top rows
     n_components = component_count(m).first()[0]
     res.release()                                     # the result is at --output now
-    return {"command": "components", "strategy": a.strategy, "rounds": res.rounds,
+    return {"command": "components", "strategy": a.strategy,
+            "input_rows": read["n_rows"], "rejected_rows": read["n_short"] + read["n_unreadable"],
+            "input_partitions": edges.rdd.getNumPartitions(), "rounds": res.rounds,
             "trace": [list(t) for t in res.trace], "components": n_components,
             "process_s": round(t1 - t0, 3), "write_s": round(t2 - t1, 3),
             "top": [[r["component"], r["n_nodes"]] for r in top]}
@@ -95,15 +103,16 @@ def run_kmeans(spark: SparkSession, a: argparse.Namespace) -> dict:
     from linkfold.sources.sinks import write_result
 
     raw = read_vectors_csv(spark, a.input, n_features=a.features, sep=a.sep)
-    # ids in file order, contiguous from 0 (what zipWithIndex gives)
+    # contiguous ids from 0 (what zipWithIndex gives), in the order of Spark's input splits
     points = row_index(raw.withColumn("_pos", F.monotonically_increasing_id()), ["_pos"], "id") \
         .select("id", "features", "label")
     t0 = time.time()
     res = km.kmeans(points, km.init_by_sample(points, a.k, a.seed), max_steps=a.max_steps)
     t1 = time.time()
-    write_result(res.assignment.select("id", "cid", "dist", "label"), a.output, fmt=a.format)
+    features = ["features"] if a.format == "parquet" else [F.col("features")[i].alias(f"f{i}") for i in range(a.features)]
+    write_result(res.assignment.select("id", "cid", "dist", *features, "label"), a.output, fmt=a.format)
     t2 = time.time()
-    return {"command": "kmeans", "k": a.k, "steps": res.steps, "error": res.error,
+    return {"command": "kmeans", "k": a.k, "steps": res.steps, "converged": res.converged, "error": res.error,
             "switches": [t[1] for t in res.trace], "centers": [[c, v] for c, v in res.centers],
             "process_s": round(t1 - t0, 3), "write_s": round(t2 - t1, 3)}
 
@@ -111,10 +120,11 @@ def run_kmeans(spark: SparkSession, a: argparse.Namespace) -> dict:
 def main(argv: list[str] | None = None) -> dict:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"linkfold-{a.command}").getOrCreate()
-    if a.partitions:
+    if a.partitions and a.command == "kmeans":
         spark.conf.set("spark.sql.shuffle.partitions", str(a.partitions))
     _use_checkpoint_dir(spark, a.checkpoint_dir)
-    report = (run_components if a.command == "components" else run_kmeans)(spark, a)
+    with scratch(spark):   # results are at --output when it ends
+        report = (run_components if a.command == "components" else run_kmeans)(spark, a)
     print(json.dumps(report))
     return report
 

@@ -9,7 +9,3 @@ from pyspark.sql import functions as F
 
 def as_string_ids(df: DataFrame, cols=("src", "dst")) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-
-
-def as_long_ids(df: DataFrame, cols=("src", "dst")) -> DataFrame:
-    return df.select(*[F.col(c).cast("long").alias(c) for c in cols])

@@ -33,11 +33,6 @@ def vector_scale(a, divisor) -> Column:
     return F.transform(_col(a), lambda x: x / d)
 
 
-def _num(v: float) -> str:
-    return f"CAST({float(v)!r} AS DOUBLE)" if v != v or v in (float("inf"), float("-inf")) \
-        else f"{float(v)!r}D"
-
-
 CENTERS_TYPE = "array<struct<cid:int,center:array<double>>>"
 
 
@@ -58,55 +53,35 @@ def centers_literal(centers: list[tuple[int, list[float]]]) -> Column:
     return F.expr(centers_sql(centers))
 
 
-UNROLL_LIMIT = 4096  # k * dim up to which distances may be spelled out as plain arithmetic
-
-
-def _sq_dist_sql(features: str, vec: list[float]) -> str:
-    terms = [f"({features}[{i}] - {_num(v)}) * ({features}[{i}] - {_num(v)})" for i, v in enumerate(vec)]
-    return " + ".join(terms) if terms else "0D"
+def checked_sql(features: str, dims: int) -> str:
+    """SQL that gives ``features`` if it is a vector of ``dims`` elements and ends the run otherwise: a shorter or
+    longer vector has no distance to the centroids."""
+    return (f"if(size({features}) = {int(dims)}, {features}, raise_error(concat('a vector has ', "
+            f"coalesce(cast(size({features}) as string), 'no'), ' elements, not {int(dims)}')))")
 
 
-def nearest_sql(features: str, centers: list[tuple[int, list[float]]] | None = None,
-                digits: int = 9, unroll: bool = False, param: str | None = None) -> str:
+def nearest_sql(features: str, dims: int, centers: list[tuple[int, list[float]]] | None = None,
+                digits: int = 9, param: str | None = None) -> str:
     """SQL text of ``nearest`` over the column named ``features``.
 
     The centroids come inline or, with ``param``, from a named query parameter holding
     their JSON, so the text of a step is the same whatever the centroids are."""
-    f = f"`{features}`"
-    if unroll and centers and len(centers) * len(centers[0][1]) <= UNROLL_LIMIT:
-        cands = ", ".join(
-            f"named_struct('key', round(sqrt({_sq_dist_sql(f, vec)}), {digits}), 'cid', {int(cid)}, "
-            f"'dist', sqrt({_sq_dist_sql(f, vec)}))" for cid, vec in centers)
-        return f"array_min(array({cands}))"
+    f = checked_sql(f"`{features}`", dims)
     dist = f"sqrt(aggregate(zip_with({f}, c.center, (x, y) -> (x - y) * (x - y)), 0D, (a, v) -> a + v))"
     return (f"array_min(transform(transform({centers_sql(centers, param)}, "
             f"c -> named_struct('cid', c.cid, 'dist', {dist})), "
             f"d -> named_struct('key', round(d.dist, {digits}), 'cid', d.cid, 'dist', d.dist)))")
 
 
-def nearest(features, centers: list[tuple[int, list[float]]], digits: int = 9,
-            unroll: bool = False) -> Column:
+def nearest(features: str, centers: list[tuple[int, list[float]]], digits: int = 9) -> Column:
     """``struct<key, cid, dist>`` of the closest centroid. Distances are compared rounded
     to ``digits`` places and ties go to the lowest ``cid``, so the winner does not depend
-    on summation order.
-
-    ``unroll=True`` (with ``k * dim <= UNROLL_LIMIT``) spells the distances out as
-    arithmetic on array elements and centroid constants, so whole-stage code generation
-    compiles them; the higher-order form is interpreted per row but costs no compilation.
-    Compiling the unrolled form takes seconds, so it only pays off on large inputs
-    (``kmeans`` decides from the point count). Built from one SQL text: a single call
-    into the JVM, however many centroids and dimensions.
-    """
-    if isinstance(features, str):
-        return F.expr(nearest_sql(features, centers, digits, unroll))
-    cs = centers_literal(centers)
-    dists = F.transform(cs, lambda c: F.struct(
-        c["cid"].alias("cid"), euclidean_distance(features, c["center"]).alias("dist")))
-    return F.array_min(F.transform(dists, lambda d: F.struct(
-        F.round(d["dist"], digits).alias("key"), d["cid"].alias("cid"), d["dist"].alias("dist"))))
+    on summation order. One form for every size of input."""
+    return F.expr(nearest_sql(features, len(centers[0][1]) if centers else 0, centers, digits))
 
 
 def distances_to(features, centers: list[tuple[int, list[float]]]) -> Column:
     """``array<struct<cid, dist>>``: distance to every centroid (k entries per row)."""
+    checked = F.expr(checked_sql(f"`{features}`", len(centers[0][1]) if centers else 0))
     return F.transform(centers_literal(centers), lambda c: F.struct(
-        c["cid"].alias("cid"), euclidean_distance(features, c["center"]).alias("dist")))
+        c["cid"].alias("cid"), euclidean_distance(checked, c["center"]).alias("dist")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from linkfold.operators.keyed import DEFAULT_MAX_HOT_KEYS, DEFAULT_MIN_HOT_DEGREE, hot_threshold
 from linkfold.operators.pairs import as_pairs, canonical_pairs, mirror_canonical
 from linkfold.operators.rounds import mirror, round_output, round_stats, stats_summary
-from linkfold.storage import drop_path, new_scratch_path, write_table
+from linkfold.storage import drop_path, new_scratch_path, scratch, write_table
 
 
 @dataclass
@@ -33,13 +33,15 @@ class ComponentsResult:
     pairs: DataFrame
     trace: list[tuple[int, int, int]] = field(default_factory=list)
     path: str | None = None
+    states: DataFrame | None = None      # (round, n1, n2) of every round, if they were asked for
+    state_paths: list[str] = field(default_factory=list)
 
     def release(self) -> None:
-        """Delete the result table from the checkpoint folder (after its results are
-        written elsewhere); ``pairs`` and ``membership()`` cannot be read afterwards."""
-        if self.path is not None:
-            drop_path(self.pairs.sparkSession, self.path)
-            self.path = None
+        """Delete the result tables from the checkpoint folder (after their results are
+        written elsewhere); ``pairs``, ``states`` and ``membership()`` cannot be read afterwards."""
+        for path in {*self.state_paths, *([self.path] if self.path else [])}:
+            drop_path(self.pairs.sparkSession, path)
+        self.path, self.state_paths = None, []
 
     @property
     def rounds(self) -> int:
@@ -69,14 +71,24 @@ class ComponentsResult:
 def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
             rounds: int | None = None, hot_degree: int | None = None,
             min_hot_degree: int = DEFAULT_MIN_HOT_DEGREE,
-            max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> ComponentsResult:
+            max_hot_keys: int = DEFAULT_MAX_HOT_KEYS, num_partitions: int | None = None,
+            keep_states: bool = False) -> ComponentsResult:
     """Run rounds on pair table ``g(n1, n2)``.
 
     ``rounds=None`` runs to the fixpoint and raises if ``max_rounds`` is not enough
     (a truncated answer would be wrong). ``rounds=n`` runs exactly ``n`` rounds (the
-    step-by-step view) and returns whatever state that is.
+    step-by-step view) and returns whatever state that is; ``keep_states`` keeps the pairs
+    after every round in ``states``. ``num_partitions`` is the partition count of the round
+    tables (else the session's). If a round fails, the tables written so far are deleted.
     """
+    with scratch(g.sparkSession, keep=True):
+        return _iterate(g, strategy, max_rounds, rounds, hot_degree, min_hot_degree, max_hot_keys, num_partitions, keep_states)
+
+
+def _iterate(g: DataFrame, strategy: str, max_rounds: int, rounds: int | None, hot_degree: int | None, min_hot_degree: int,
+             max_hot_keys: int, num_partitions: int | None, keep_states: bool) -> ComponentsResult:
     spark = g.sparkSession
+    kept: list[tuple[int, str, DataFrame]] = []
     trace: list[list[int]] = []
     # round 0: the input, de-duplicated as undirected edges and written once, so the
     # source is scanned once and every round's mirrored set is a narrow union of scans
@@ -94,14 +106,19 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
                 trace[-1][2] = rows // 2
             if new_pairs == 0 and not first:
                 trace.append([r, 0, rows // 2])
-                return ComponentsResult(g, [tuple(t) for t in trace], prev_path)
+                if keep_states:   # this and all later rounds reproduce their input
+                    kept += [(k, prev_path, g) for k in range(r, (rounds or r) + 1)]
+                return _result(g, trace, prev_path, kept)
             threshold = hot_threshold(rows, hot_degree=hot_degree,
                                       min_hot_degree=min_hot_degree, max_hot_keys=max_hot_keys)
             path = new_scratch_path(spark, f"cc-r{r}")
-            nxt = write_table(round_output(s, stats, strategy, threshold, max_degree=max_deg), path)
+            nxt = write_table(round_output(s, stats, strategy, threshold, max_degree=max_deg,
+                                           num_partitions=num_partitions), path)
         finally:
             stats.unpersist()
-        if prev_path is not None:
+        if keep_states:
+            kept.append((r, path, nxt))
+        if not keep_states or r == 1:
             drop_path(spark, prev_path)
         prev_path, g = path, nxt
         trace.append([r, new_pairs, -1])
@@ -110,10 +127,17 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
     else:
         if rounds is None:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds; raise max_rounds")
-    if not trace:
-        return ComponentsResult(g, [], prev_path)
-    trace[-1][2] = g.count()   # only the last round's size is not known from a later round
-    return ComponentsResult(g, [tuple(t) for t in trace], prev_path)
+    if trace:
+        trace[-1][2] = g.count()   # only the last round's size is not known from a later round
+    return _result(g, trace, prev_path, kept)
+
+
+def _result(g: DataFrame, trace: list, path: str, kept: list) -> ComponentsResult:
+    states = None
+    for r, _, table in kept:
+        part = table.select(F.lit(r).alias("round"), "n1", "n2")
+        states = part if states is None else states.unionByName(part)
+    return ComponentsResult(g, [tuple(t) for t in trace], path, states, [p for _, p, _ in kept])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",

@@ -21,7 +21,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkfold.functions.vectors import centers_json, distances_to, nearest, nearest_sql
@@ -30,9 +31,11 @@ Centers = list[tuple[int, list[float]]]
 
 
 def init_by_ids(points: DataFrame, ids: list[int]) -> DataFrame:
-    """K1 with given ids: centroid ``i`` is the point with the ``i``-th smallest id."""
+    """K1 with given ids: centroid ``i`` is the point with the ``i``-th smallest id. Raises if an id has no point."""
     chosen = points.where(F.col("id").isin(ids)).select("id", "features")
-    from pyspark.sql import Window
+    missing = set(ids) - {r["id"] for r in chosen.select("id").distinct().collect()}   # at most len(ids) rows
+    if missing:
+        raise ValueError(f"no point has id {sorted(missing)}")
     # at most len(ids) rows: a window over them is bounded by the parameter
     return chosen.select((F.row_number().over(Window.orderBy("id")) - 1).alias("cid"),
                          F.col("features").alias("center"))
@@ -58,7 +61,6 @@ def sample_k(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 def init_by_sample(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     s = sample_k(points, k, seed)
-    from pyspark.sql import Window
     # at most k rows: a window over them is bounded by the parameter
     return s.select((F.row_number().over(Window.orderBy(sample_order("id", seed), "id")) - 1)
                     .alias("cid"), F.col("features").alias("center"))
@@ -69,10 +71,6 @@ def collect_centers(centers: DataFrame) -> Centers:
     return sorted((int(r["cid"]), [float(v) for v in r["center"]]) for r in centers.collect())
 
 
-def centers_df(spark, centers: Centers) -> DataFrame:
-    return spark.createDataFrame(centers, "cid int, center array<double>")
-
-
 def assign(points: DataFrame, centers: Centers) -> DataFrame:
     """K2: ``(id, cid, dist, features, label)`` under ``centers``."""
     best = nearest("features", centers)
@@ -90,7 +88,7 @@ def _dims(centers: Centers) -> int:
     return len(centers[0][1]) if centers else 0
 
 
-def cluster_aggregates(assigned: DataFrame, dims: int, prev: DataFrame | None = None) -> DataFrame:
+def cluster_aggregates(assigned: DataFrame, dims: int) -> DataFrame:
     """``(cid, n, sum_dist, sums array<double>)``: one partial-aggregated pass."""
     sums = [F.sum(F.col("features")[i]).alias(f"_s{i}") for i in range(dims)]
     df = assigned.groupBy("cid").agg(F.count(F.lit(1)).alias("n"),
@@ -123,20 +121,17 @@ class KMeansResult:
     centers: Centers
     error: float
     steps: int
+    converged: bool   # no point switched in the last step; False if max_steps ended the run
     trace: list[tuple[int, int, float]] = field(default_factory=list)  # (step, switches, sum_dist)
 
 
-UNROLL_MIN_WORK = 5_000_000_000   # n * k * dim above which compiled distances pay off
-
-
 def kmeans(points: DataFrame, init: DataFrame | Centers, max_steps: int = 100,
            digits: int = 9) -> KMeansResult:
-    """K6: Lloyd steps until no point switches cluster or ``max_steps`` is reached.
+    """K6: Lloyd steps until no point switches cluster or ``max_steps`` is reached (the result says which).
 
     ``points`` is persisted (memory and disk) for the loop: each step rescans it. A lost
     block is recomputed from the source scan, so no step depends on executor state.
     """
-    from pyspark import StorageLevel
     cur = collect_centers(init) if isinstance(init, DataFrame) else sorted(init)
     pts = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -145,13 +140,12 @@ def kmeans(points: DataFrame, init: DataFrame | Centers, max_steps: int = 100,
         pts.unpersist()
 
 
-def _step_sql(dims: int, digits: int, unroll_cur: str | None, unroll_old: str | None,
-              first: bool) -> str:
+def _step_sql(dims: int, digits: int, first: bool) -> str:
     """One step as SQL text over ``{pts}``: the centroids of this step and the previous
-    one are the parameters ``:cur`` and ``:old`` (JSON), so without unrolling the text is
+    one are the parameters ``:cur`` and ``:old`` (JSON), so the text is
     identical from step to step and is planned in one call."""
-    best = unroll_cur or nearest_sql("features", digits=digits, param="cur")
-    old = unroll_old or nearest_sql("features", digits=digits, param="old")
+    best = nearest_sql("features", dims, digits=digits, param="cur")
+    old = nearest_sql("features", dims, digits=digits, param="old")
     sw = "1" if first else f"CAST(({old}).cid <> b.cid AS INT)"
     sums = ", ".join(f"sum(features[{i}]) AS _s{i}" for i in range(dims))
     return (f"SELECT b.cid AS cid, count(1) AS n, sum(b.dist) AS sum_dist, sum(sw) AS sw"
@@ -163,24 +157,17 @@ def _step_sql(dims: int, digits: int, unroll_cur: str | None, unroll_old: str |
 def _loop(points, pts, cur: Centers, dims: int, max_steps: int, digits: int) -> KMeansResult:
     spark = pts.sparkSession
     prev: Centers | None = None
-    step, trace, unroll = 0, [], False
+    step, trace = 0, []
     while True:
-        first = prev is None
-        ucur = nearest_sql("features", cur, digits, unroll=True) if unroll else None
-        uold = nearest_sql("features", prev, digits, unroll=True) if unroll and not first else None
-        args = {"cur": centers_json(cur)}
-        if not first:
-            args["old"] = centers_json(prev)
-        q = _step_sql(dims, digits, ucur, uold, first)
-        rows = spark.sql(q, args=args, pts=pts).collect()   # at most k rows
+        args = {"cur": centers_json(cur)} | ({} if prev is None else {"old": centers_json(prev)})
+        rows = spark.sql(_step_sql(dims, digits, prev is None), args=args, pts=pts).collect()   # at most k rows
         n = sum(r["n"] for r in rows)
-        unroll = n * len(cur) * dims >= UNROLL_MIN_WORK
         moved = sum(r["sw"] for r in rows)
         total = sum(r["sum_dist"] for r in rows)
         trace.append((step, int(moved), float(total)))
         if moved == 0 or step == max_steps:
             err = (total ** 0.5) / n if n else float("nan")
-            return KMeansResult(assign(points, cur), cur, err, step, trace)
+            return KMeansResult(assign(points, cur), cur, err, step, moved == 0, trace)
         nxt = sorted((int(r["cid"]), [round(r[f"_s{i}"] / r["n"], digits) for i in range(dims)])
                      for r in rows)
         prev, cur = cur, nxt

@@ -9,8 +9,10 @@
   clustering by the group the rows are globally range-sorted and ``lag`` runs per range
   partition; the first row of each partition takes the last row of the partition before
   (a table of one row per partition).
+* ``rank_in_group`` and ``chunked_lists``: the position in a group, and its values as lists of bounded length, on
+  the same range sort.
 * ``partition_profile`` and ``secondary_sort``: the partition layout tools of the analysed
-  code (``glom``, composite-key partitioner + sort), the latter range-partitioned so a hub
+  code (key partitioner, composite-key partitioner + sort), the latter range-partitioned so a hub
   key spans partitions.
 """
 
@@ -88,9 +90,42 @@ def previous_in_group(df: DataFrame, group_col: str, order_col: str,
                     F.when(F.col(group_col).eqNullSafe(pg), po).alias(out_col)))
 
 
-def partition_profile(df: DataFrame) -> DataFrame:
-    """Rows per physical partition: ``(partition, n_rows)`` (the ``glom`` view)."""
-    return (df.groupBy(F.spark_partition_id().alias("partition"))
+def rank_in_group(df: DataFrame, group_col: str, order_col: str, out_col: str = "rnk",
+                  num_partitions: int | None = None) -> DataFrame:
+    """``(group_col, order_col, out_col)``: the row's 0-based position in its group.
+
+    Rows are numbered inside (range partition, group), so no window spans a group that is larger
+    than a partition. Only a partition's first group can have begun earlier: what the partitions
+    before hold of it comes from tables of one row per partition.
+    """
+    t = _range_tagged(df.select(group_col, order_col), [group_col, order_col], num_partitions)
+    t = t.withColumn("_pid", F.shiftright("_mid", 33))
+    local = t.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_pid", group_col).orderBy("_mid")) - 1)
+    # one row per non-empty partition: bounded by the partition count, never by the data
+    ends = t.groupBy("_pid").agg(F.min_by(group_col, "_mid").alias("_first"), F.max_by(group_col, "_mid").alias("_last"))
+    held = (t.join(F.broadcast(ends.select(F.col("_pid").alias("_p"), "_last")),
+                   (F.col("_pid") == F.col("_p")) & F.col(group_col).eqNullSafe(F.col("_last")))
+            .groupBy(F.col("_p").alias("_before"), F.col("_last").alias("_group")).agg(F.count(F.lit(1)).alias("_n")))
+    carry = (ends.join(F.broadcast(held), F.col("_first").eqNullSafe(F.col("_group")) & (F.col("_before") < F.col("_pid")))
+             .groupBy(F.col("_pid").alias("_q"), F.col("_first").alias("_g")).agg(F.sum("_n").alias("_carry")))
+    return (local.join(F.broadcast(carry), (F.col("_pid") == F.col("_q")) & F.col(group_col).eqNullSafe(F.col("_g")), "left")
+            .select(group_col, order_col, (F.col("_local") + F.coalesce("_carry", F.lit(0))).cast("long").alias(out_col)))
+
+
+def chunked_lists(df: DataFrame, group_col: str, value_col: str, out_col: str = "values",
+                  size: int = 1024) -> DataFrame:
+    """``(group_col, chunk, out_col array)``: each group's values in order, ``size`` to a row, for any
+    type that sorts. ``chunk`` counts a group's rows from 0, so a group of up to ``size`` values
+    is one whole list. Repeated values stay; de-duplicate first for a set."""
+    ranked = rank_in_group(df, group_col, value_col, "_rank")
+    return (ranked.groupBy(group_col, F.expr(f"_rank div {int(size)}").alias("chunk"))
+            .agg(F.sort_array(F.collect_list(value_col)).alias(out_col)))
+
+
+def partition_profile(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``(partition, n_rows)``: how many rows the partitioner ``pmod(key, n)`` gives each partition."""
+    return (df.groupBy(F.pmod(F.col(key), F.lit(n)).cast("int").alias("partition"))
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkfold.operators.ordering import chunked_lists
+
 MEMBER_CHUNK = 1024  # ids per member-list row: a list never holds more than this
 
 
@@ -40,13 +42,10 @@ def with_roots(membership: DataFrame) -> DataFrame:
 
 
 def component_members(membership: DataFrame, chunk: int = MEMBER_CHUNK) -> DataFrame:
-    """Sorted member lists, root included, in rows of at most ``chunk`` ids.
+    """Sorted member lists, root included, in rows of at most ``chunk`` ids of any type.
 
-    ``(component, chunk, members)``: ``chunk = node div chunk`` for integral ids, so a
-    giant component becomes many bounded rows instead of one unbounded array;
-    ``members`` is the comma-joined sorted id list of the chunk.
+    ``(component, chunk, members)``: a component's members in order, ``chunk`` of them to a row, so a component of up to
+    ``chunk`` members is one whole list; ``members`` is comma-joined.
     """
-    m = with_roots(membership)
-    return (m.groupBy("component", F.floor(F.col("node") / chunk).cast("long").alias("chunk"))
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_set("node")),
-                                          lambda x: x.cast("string")), ",").alias("members")))
+    lists = chunked_lists(with_roots(membership), "component", "node", "members", chunk)
+    return lists.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))

@@ -11,16 +11,15 @@ Physical plan of a round
    materialises it once and reads ``new_pairs`` and ``|S|`` from it in one action.
 2. Hot keys (degree above the threshold; a bounded set) are matched map-side against
    the broadcast stats: their rows never move.
-3. Cold keys (bounded groups) run through the chosen strategy:
+3. Cold keys run through the chosen strategy; none holds a group in memory:
 
    ``join``     stats joined back to the rows; rows are streamed past one stats row
-   ``collect``  neighbour set per key, min of the array, explode, relabel
-   ``sorted``   sorted neighbour set; the head is the min, the tail is emitted
+   ``collect``  neighbour sets of constant size per key, explode, relabel by the key's min
+   ``sorted``   the same sets sorted; the head that is the min, then the tails
    ``window``   min over a window partitioned by key, then relabel
 4. Union, ``distinct`` (partial de-dup before the shuffle).
 
-``join`` is the default: it is the only strategy whose cold groups are streamed rather
-than held, so it is the one to use at any scale. The others exist because they are
+``join`` is the default: it builds no sets and sorts no windows. The others exist because they are
 part of the analysed workload; they give identical rows.
 """
 
@@ -33,6 +32,7 @@ from linkfold.operators.keyed import hot_threshold, key_stats, split_hot
 from linkfold.operators.pairs import mirror_distinct, mirror_explode, relabel_case
 
 STRATEGIES = ("join", "collect", "sorted", "window")
+LIST_SIZE = 1024   # ids of a neighbour set in the 'collect' and 'sorted' strategies, about (dealt by hash)
 
 
 def mirror(g: DataFrame, first_round: bool) -> DataFrame:
@@ -62,22 +62,23 @@ def _cold_join(s: DataFrame, qual: DataFrame) -> DataFrame:
     return tails.union(heads)
 
 
+def _bounded_sets(s: DataFrame, qual: DataFrame) -> DataFrame:
+    """``(n1, mn, nbrs)``: the neighbours of each qualifying key in sets of about ``LIST_SIZE`` ids, whatever its degree.
+    The parts are dealt by a hash of the value, on the key's own partitioning: no second shuffle."""
+    part = F.pmod(F.xxhash64("n2"), F.ceil(F.col("deg") / LIST_SIZE))
+    return (s.join(qual.select("n1", "mn", "deg"), "n1").groupBy("n1", "mn", part.alias("_part"))
+            .agg(F.collect_set("n2").alias("nbrs")))
+
+
 def _cold_collect(s: DataFrame, qual: DataFrame) -> DataFrame:
-    groups = s.groupBy("n1").agg(F.collect_set("n2").alias("nbrs"))
-    withmin = groups.select("n1", "nbrs", F.least("n1", F.array_min("nbrs")).alias("mn"))
-    return (withmin.where(F.col("mn") < F.col("n1"))
-            .select("n1", "mn", F.explode("nbrs").alias("v"))
-            .select(relabel_case(F.col("n1"), F.col("mn"), F.col("v")).alias("n1"),
-                    F.col("mn").alias("n2")))
+    return (_bounded_sets(s, qual).select("n1", "mn", F.explode("nbrs").alias("v"))
+            .select(relabel_case(F.col("n1"), F.col("mn"), F.col("v")).alias("n1"), F.col("mn").alias("n2")))
 
 
 def _cold_sorted(s: DataFrame, qual: DataFrame) -> DataFrame:
-    groups = s.groupBy("n1").agg(F.sort_array(F.collect_set("n2")).alias("nbrs"))
-    withmin = groups.select("n1", "nbrs", F.least("n1", F.element_at("nbrs", 1)).alias("mn"))
-    # head (position 0) is the min: it becomes (key, min); the tail becomes (value, min)
-    return (withmin.where(F.col("mn") < F.col("n1"))
-            .select("n1", "mn", F.posexplode("nbrs").alias("pos", "v"))
-            .select(F.when(F.col("pos") == 0, F.col("n1")).otherwise(F.col("v")).alias("n1"),
+    # the head of the set that holds the minimum becomes (key, min); every other value becomes (value, min)
+    return (_bounded_sets(s, qual).select("n1", "mn", F.posexplode(F.sort_array("nbrs")).alias("pos", "v"))
+            .select(F.when((F.col("pos") == 0) & (F.col("v") == F.col("mn")), F.col("n1")).otherwise(F.col("v")).alias("n1"),
                     F.col("mn").alias("n2")))
 
 
@@ -93,8 +94,9 @@ _COLD = {"join": _cold_join, "collect": _cold_collect,
 
 
 def round_output(s: DataFrame, stats: DataFrame, strategy: str, threshold: int,
-                 dedup: bool = True, max_degree: int | None = None) -> DataFrame:
-    """The pairs a round emits (de-duplicated unless ``dedup=False``).
+                 dedup: bool = True, max_degree: int | None = None,
+                 num_partitions: int | None = None) -> DataFrame:
+    """The pairs a round emits (de-duplicated unless ``dedup=False``; then in ``num_partitions``, if given).
 
     With ``max_degree <= threshold`` (known from the stats action) no key is hot and the
     broadcast side is left out of the plan altogether.
@@ -103,16 +105,21 @@ def round_output(s: DataFrame, stats: DataFrame, strategy: str, threshold: int,
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
     if max_degree is not None and max_degree <= threshold:
         cold_q = stats.where(F.col("mn") < F.col("n1"))
-        out = _COLD[strategy](s, cold_q)
-        return out.distinct() if dedup else out
+        return _deduplicated(_COLD[strategy](s, cold_q), dedup, num_partitions)
     hot_rows, cold_rows = split_hot(s, stats, "n1", threshold, ["mn"])
     hot_q = stats.where((F.col("deg") > threshold) & (F.col("mn") < F.col("n1")))
     hot_out = (hot_rows.where((F.col("mn") < F.col("n1")) & (F.col("n2") != F.col("mn")))
                .select(F.col("n2").alias("n1"), F.col("mn").alias("n2"))
                .union(hot_q.select("n1", F.col("mn").alias("n2"))))
     cold_q = stats.where((F.col("deg") <= threshold) & (F.col("mn") < F.col("n1")))
-    out = hot_out.union(_COLD[strategy](cold_rows, cold_q))
-    return out.distinct() if dedup else out
+    return _deduplicated(hot_out.union(_COLD[strategy](cold_rows, cold_q)), dedup, num_partitions)
+
+
+def _deduplicated(pairs: DataFrame, dedup: bool, num_partitions: int | None) -> DataFrame:
+    if not dedup:
+        return pairs
+    # dealing by both ids is what distinct() needs, so a given partition count costs no second shuffle
+    return (pairs.repartition(num_partitions, "n1", "n2") if num_partitions else pairs).distinct()
 
 
 def cc_round(g: DataFrame, strategy: str = "join", *, first_round: bool = True,

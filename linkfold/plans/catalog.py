@@ -1,10 +1,11 @@
 """Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
 Every query reads the driver tables (or what Spark derives from them) in full. Graph
-queries use the edge tables of ``sources.edges`` (E1 order--part, E2 user--property,
-E3 duplicate documents); k-means queries use the embedding vectors with the first
+queries use the edge tables of ``sources.edges`` (E1: every line item's order--part, E2: every event's
+user--property, E3: duplicate documents); k-means queries use the embedding vectors with the first
 three ids as initial centroids. Vectors and lists are returned in long form
 (``(id, dim, value)`` rows, comma-joined id lists) so results compare as plain values.
+Scratch tables that a lazy result reads belong to the caller's ``storage.scratch`` block.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from linkfold.functions.ids import as_string_ids
 from linkfold.functions.sql import register_relabel
-from linkfold.functions.vectors import euclidean_distance, vector_add, vector_scale
+from linkfold.functions.vectors import centers_literal, euclidean_distance, vector_add, vector_scale
 from linkfold.operators import kmeans as km
 from linkfold.operators.components import connected_components, iterate
 from linkfold.operators.keyed import attach_group_min, key_stats
-from linkfold.operators.ordering import partition_profile, row_index
+from linkfold.operators.ordering import chunked_lists, partition_profile, rank_in_group, row_index
 from linkfold.operators.pairs import (as_pairs, dedup_pairs, distinct_nodes, mirror_distinct,
                                       mirror_explode, mirror_union, relabel_case,
                                       relabel_ordered, reverse_pairs)
@@ -28,8 +29,8 @@ from linkfold.operators.reports import (MEMBER_CHUNK, component_count, component
                                         component_sizes, nonroot_count, nonroot_counts,
                                         top_components)
 from linkfold.operators.rounds import cc_round
-from linkfold.sources.edges import (GRAPHS, embedding_vectors, read_edges_csv, read_edges_text,
-                                    write_edges_text)
+from linkfold.sources.edges import (GRAPHS, edge_report, embedding_vectors, read_edges_csv,
+                                    read_edges_text, table, write_edges_text)
 from linkfold.sources.sinks import read_result, write_result
 from linkfold.storage import new_scratch_path
 
@@ -54,13 +55,13 @@ def _r(c, name=None):
     return F.round(F.col(c) if isinstance(c, str) else c, VALUE_DIGITS).alias(name or c)
 
 
-def _chunked_list(df: DataFrame, key: str, value: str, out: str, distinct: bool = True) -> DataFrame:
-    """``(key, chunk, out)``: sorted values per key in rows of at most MEMBER_CHUNK ids
-    (``chunk = value div MEMBER_CHUNK``), so no row holds an unbounded list."""
-    agg = F.collect_set(value) if distinct else F.collect_list(value)
-    return (df.groupBy(key, F.floor(F.col(value) / MEMBER_CHUNK).cast("long").alias("chunk"))
-            .agg(F.array_join(F.transform(F.sort_array(agg), lambda x: x.cast("string")), ",")
-                 .alias(out)))
+def _joined(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn(col, F.array_join(F.transform(col, lambda x: x.cast("string")), ","))
+
+
+def _chunked_list(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``(key, chunk, out)``: sorted values per key, at most MEMBER_CHUNK to a row, comma-joined."""
+    return _joined(chunked_lists(df, key, value, out, MEMBER_CHUNK), out)
 
 
 # ----------------------------------------------------------------- scans and sinks
@@ -92,6 +93,37 @@ def q_scan_skip_header(spark, sf):
                           id_type="long", comment="#")
 
 
+def q_scan_skip_lines(spark, sf):
+    """Four lead lines without any mark in front of every file's edges, skipped by their number."""
+    path = new_scratch_path(spark, "scan-lead")
+    lead = [F.lit(x) for x in ("Undirected graph", "Nodes and edges", "From\tTo", "17\t4")]
+    files = F.pmod(F.col("src"), F.lit(6))
+    lines = edges(spark, sf).select(files.alias("file"), F.concat_ws("\t", "src", "dst").alias("value"))
+    heads = lines.select("file").distinct().select("file", F.posexplode(F.array(*lead)).alias("at", "value"))
+    # one part file for each `file` value, its lead lines first
+    (lines.withColumn("at", F.lit(9)).unionByName(heads).repartition("file").sortWithinPartitions("file", "at")
+     .select("file", "value").write.partitionBy("file").text(path))
+    return read_edges_csv(spark, path, sep="\t", id_type="long", skip_lines=4)
+
+
+def _mixed_lines(spark, sf) -> str:
+    """Edge lines of which some are short and some hold a word where the part's id should be."""
+    path = new_scratch_path(spark, "scan-mixed")
+    li = table(spark, sf, "lineitem")
+    part = F.when(F.col("l_linenumber") == 7, F.lit("")).when(F.col("l_quantity") > 45, F.lit("n/a")) \
+        .otherwise(F.col("l_partkey").cast("string"))
+    li.select(F.concat_ws(",", F.col("l_orderkey"), part).alias("value")).write.text(path)
+    return path
+
+
+def q_scan_rejects(spark, sf):
+    return edge_report(spark, _mixed_lines(spark, sf))
+
+
+def q_scan_drop_bad(spark, sf):
+    return read_edges_csv(spark, _mixed_lines(spark, sf), on_bad="drop")
+
+
 def q_sink_roundtrip(spark, sf):
     path = new_scratch_path(spark, "sink")
     write_result(edges(spark, sf), path, fmt="parquet")
@@ -112,7 +144,7 @@ def q_head_edges(spark, sf):
 
 
 def q_partition_profile(spark, sf):
-    return partition_profile(edges(spark, sf))
+    return partition_profile(edges(spark, sf), "src", 16)
 
 
 # ----------------------------------------------------------------- pair operators
@@ -161,30 +193,21 @@ def q_neighbor_set(spark, sf):
     return _chunked_list(mirrored(spark, sf), "n1", "n2", "nbrs")
 
 
-def q_neighbor_sorted(spark, sf):
-    s = mirrored(spark, sf)
-    return (s.groupBy("n1", F.floor(F.col("n2") / MEMBER_CHUNK).cast("long").alias("chunk"))
-            .agg(F.sort_array(F.collect_set("n2")).alias("arr"))
-            .select("n1", "chunk", F.array_join(F.transform("arr", lambda x: x.cast("string")), ",")
-                    .alias("nbrs")))
+def q_neighbor_list(spark, sf):
+    return _chunked_list(mirror_union(as_pairs(edges(spark, sf))), "n1", "n2", "nbrs")
 
 
-def q_neighbor_list(spark, sf):
-    return _chunked_list(mirror_union(as_pairs(edges(spark, sf))), "n1", "n2", "nbrs", distinct=False)
+def _neighbor_lists(spark, sf):
+    return chunked_lists(mirrored(spark, sf), "n1", "n2", "nbrs", MEMBER_CHUNK)
 
 
 def q_array_min_key(spark, sf):
-    s = mirrored(spark, sf)
-    chunk_min = (s.groupBy("n1", F.floor(F.col("n2") / MEMBER_CHUNK).alias("c"))
-                 .agg(F.array_min(F.collect_set("n2")).alias("m")))
-    return chunk_min.groupBy("n1").agg(F.least(F.col("n1"), F.min("m")).alias("mn"))
+    return (_neighbor_lists(spark, sf).groupBy("n1")
+            .agg(F.least(F.col("n1"), F.min(F.array_min("nbrs"))).alias("mn")))
 
 
 def q_explode_neighbors(spark, sf):
-    s = mirrored(spark, sf)
-    lists = (s.groupBy("n1", F.floor(F.col("n2") / MEMBER_CHUNK).alias("c"))
-             .agg(F.collect_set("n2").alias("nbrs")))
-    return lists.select("n1", F.explode("nbrs").alias("n2"))
+    return _neighbor_lists(spark, sf).select("n1", F.explode("nbrs").alias("n2"))
 
 
 def _with_min(spark, sf, cold="join", g="e1"):
@@ -220,9 +243,8 @@ def q_group_first_value(spark, sf):
 
 
 def q_secondary_sort_rank(spark, sf):
-    idx = row_index(mirrored(spark, sf), ["n1", "n2"], "idx")
-    start = attach_group_min(idx, "n1", "idx", "start", cold="join")
-    return start.select("n1", "n2", (F.col("idx") - F.col("start") + 1).alias("rnk"))
+    ranked = rank_in_group(mirrored(spark, sf), "n1", "n2", "rnk")
+    return ranked.select("n1", "n2", (F.col("rnk") + 1).alias("rnk"))
 
 
 def q_cogroup_lists(spark, sf):
@@ -279,6 +301,10 @@ def q_component_members(spark, sf):
     return component_members(membership(spark, sf, "e2"))
 
 
+def q_component_members_lexical(spark, sf):
+    return component_members(connected_components(as_string_ids(edges(spark, sf, "e3"))).membership())
+
+
 def q_component_count(spark, sf):
     return component_count(membership(spark, sf))
 
@@ -291,6 +317,14 @@ def q_cc_rounds_4(spark, sf):
     return iterate(as_pairs(edges(spark, sf, "e2")), rounds=4).pairs
 
 
+def q_cc_states_4(spark, sf):
+    return iterate(as_pairs(edges(spark, sf, "e2")), rounds=4, keep_states=True).states
+
+
+def q_cc_new_pairs_distinct(spark, sf):
+    return q_cc_new_pairs(spark, sf).distinct()
+
+
 def q_cc_new_pairs(spark, sf):
     m = _with_min(spark, sf, "join", "e2")
     return (m.where((F.col("mn") < F.col("n1")) & (F.col("n2") != F.col("mn")))
@@ -331,6 +365,11 @@ def q_kmeans_assign(spark, sf):
     return a.select("id", F.col("cid").cast("int").alias("cid"), _r("dist"))
 
 
+def q_kmeans_assign_points(spark, sf):
+    a = km.assign(_points(spark, sf), _c0(spark, sf))
+    return a.select("id", F.col("cid").cast("int").alias("cid"), F.posexplode("features").alias("dim", "value"), "label")
+
+
 def q_nearest_centroid(spark, sf):
     a = km.assign(_points(spark, sf), _c0(spark, sf))
     return a.select("id", F.col("cid").cast("int").alias("cid"))
@@ -383,14 +422,15 @@ def q_sample_k(spark, sf):
     return km.sample_k(_points(spark, sf), 3).select("id")
 
 
-def _next_pairs(spark, sf):
-    p = _points(spark, sf)
-    b = p.select((F.col("id") - 1).alias("id"), F.col("features").alias("g"))
-    return p.join(b, "id")
+def _with_center(spark, sf):
+    """Every point next to its nearest initial centroid ``g``."""
+    c0 = _c0(spark, sf)
+    return km.assign(_points(spark, sf), c0).withColumn("g", F.element_at(
+        F.map_from_entries(F.transform(centers_literal(c0), lambda c: F.struct(c["cid"], c["center"]))), F.col("cid")))
 
 
 def q_vector_distance(spark, sf):
-    return _next_pairs(spark, sf).select("id", _r(euclidean_distance("features", "g"), "dist"))
+    return _with_center(spark, sf).select("id", _r(euclidean_distance("features", "g"), "dist"))
 
 
 def _long_vec(df, col):
@@ -398,7 +438,7 @@ def _long_vec(df, col):
 
 
 def q_vector_add(spark, sf):
-    return _long_vec(_next_pairs(spark, sf).select("id", vector_add("features", "g").alias("v")), "v")
+    return _long_vec(_with_center(spark, sf).select("id", vector_add("features", "g").alias("v")), "v")
 
 
 def q_vector_scale(spark, sf):
@@ -413,6 +453,9 @@ QUERIES: dict[str, Query] = {
     "scan_edges_csv": q_scan_edges_csv,
     "scan_edges_csv_header": q_scan_edges_csv_header,
     "scan_skip_header": q_scan_skip_header,
+    "scan_skip_lines": q_scan_skip_lines,
+    "scan_rejects": q_scan_rejects,
+    "scan_drop_bad": q_scan_drop_bad,
     "scan_vectors": q_scan_vectors,
     "row_index": q_row_index,
     "sink_roundtrip": q_sink_roundtrip,
@@ -437,7 +480,7 @@ QUERIES: dict[str, Query] = {
     # aggregations and windows
     "neighbor_min": q_neighbor_min,
     "neighbor_set": q_neighbor_set,
-    "neighbor_sorted": q_neighbor_sorted,
+    "neighbor_sorted": q_neighbor_set,   # the lists come from a sort: set and sorted set are one
     "neighbor_list": q_neighbor_list,
     "array_min_key": q_array_min_key,
     "dedup_pairs": q_dedup_pairs,
@@ -459,17 +502,21 @@ QUERIES: dict[str, Query] = {
     "cc_trace_e1": _trace("e1"),
     "cc_trace_e3": _trace("e3"),
     "cc_rounds_4": q_cc_rounds_4,
+    "cc_states_4": q_cc_states_4,
     "cc_new_pairs": q_cc_new_pairs,
+    "cc_new_pairs_distinct": q_cc_new_pairs_distinct,
     "component_count": q_component_count,
     "nonroot_count": q_nonroot_count,
     "component_nonroot_counts": q_component_nonroot_counts,
     "component_sizes": q_component_sizes,
     "component_members": q_component_members,
+    "component_members_lexical": q_component_members_lexical,
     "top_components": q_top_components,
     # k-means and vectors
     "kmeans_init": q_kmeans_init,
     "kmeans_init_sample": q_kmeans_init_sample,
     "kmeans_assign": q_kmeans_assign,
+    "kmeans_assign_points": q_kmeans_assign_points,
     "nearest_centroid": q_nearest_centroid,
     "cluster_counts": q_cluster_counts,
     "cluster_vector_sum": q_cluster_vector_sum,

@@ -1,27 +1,27 @@
 """DuckDB SQL oracles, one per registered query that SQL can express.
 
-They share no code with the Spark side: component membership is checked by recursive
-reachability, traces and round states by unrolled rounds (a converged pair set is a
-fixed point, so extra rounds are harmless), k-means by unrolled steps (a converged
-assignment is a fixed point too). Doubles are rounded to 6 places on both sides.
+They share no code with the Spark side: component membership of E3 is checked by recursive
+reachability (quadratic in the component's size), of the large graphs and, like traces and round states, by
+unrolled rounds (a converged pair set is a fixed point, so extra rounds are harmless), k-means by unrolled
+steps (a converged assignment is a fixed point too). Doubles are rounded to 6 places on both sides.
 """
 
 from __future__ import annotations
 
 # fixed values shared with the Spark side
 CHUNK = 1024              # ids per list row
-UNROLLED_ROUNDS = 12      # component rounds in the trace / state oracles
+UNROLLED_ROUNDS = 14      # component rounds in the trace / state oracles
 KMEANS_STEPS = 100        # step cap of the k-means loop
 
-E1 = ("select l_orderkey * 2 as src, l_partkey * 2 + 1 as dst from lineitem "
-      "where l_quantity >= 48 and l_linenumber <= 2")
+E1 = "select l_orderkey * 2 as src, l_partkey * 2 + 1 as dst from lineitem"
 E2 = ("select user_id * 2 as src, cast(json_extract_string(props, '$.k') as bigint) * 2 + 1 as dst "
-      "from events where event_type = 'signup' and value > 150 "
-      "and json_extract_string(props, '$.k') is not null")
+      "from events where json_extract_string(props, '$.k') is not null")
 E3 = ("select src, dst from (select doc_id as src, lag(doc_id) over "
       "(partition by md5(text) order by doc_id) as dst from documents where text is not null) "
       "where dst is not null")
-GRAPH = {"e1": E1, "e2": E2, "e3": E3}
+E1_TEXT = f"select cast(src as varchar) as src, cast(dst as varchar) as dst from ({E1})"
+E3_TEXT = f"select cast(src as varchar) as src, cast(dst as varchar) as dst from ({E3})"
+GRAPH = {"e1": E1, "e2": E2, "e3": E3, "e1_text": E1_TEXT}
 
 
 def _pairs(g: str) -> str:
@@ -66,7 +66,9 @@ def _trace(g: str, n: int = UNROLLED_ROUNDS) -> str:
 
 
 def _membership(g: str) -> str:
-    return _reach(GRAPH[g])
+    if g == "e3":
+        return _reach(GRAPH[g])
+    return _rounds(g, UNROLLED_ROUNDS) + f"\nselect n1 as node, n2 as component from g{UNROLLED_ROUNDS}"
 
 
 def _with_min(g: str = "e1") -> str:
@@ -74,11 +76,14 @@ def _with_min(g: str = "e1") -> str:
             f"select s.n1, s.n2, m.mn from s join m using (n1)")
 
 
-def _list(key: str, val: str, src: str, out: str, distinct: bool = True) -> str:
-    agg = f"list_distinct(list({val}))" if distinct else f"list({val})"
-    return (f"select {key}, cast(floor({val} / {CHUNK}) as bigint) as chunk, "
-            f"array_to_string(list_sort({agg}), ',') as {out} from ({src}) "
-            f"group by {key}, cast(floor({val} / {CHUNK}) as bigint)")
+def _ranked(key: str, val: str, src: str) -> str:
+    return (f"select {key}, {val}, (row_number() over (partition by {key} order by {val}) - 1) // {CHUNK} as chunk "
+            f"from ({src})")
+
+
+def _list(key: str, val: str, src: str, out: str) -> str:
+    return (f"select {key}, cast(chunk as bigint) as chunk, array_to_string(list({val} order by {val}), ',') as {out} "
+            f"from ({_ranked(key, val, src)}) group by {key}, chunk")
 
 
 PTS = ("select vec_id as id, cast(embedding as double[]) as f, cast(label as varchar) as label "
@@ -131,17 +136,28 @@ def _kmeans_steps() -> str:
             "select cast(s as integer) as steps, round(err, 6) as error from stop join errs on errs.step = stop.s")
 
 
-def _next_pairs() -> str:
-    return (f"with p as ({PTS}) select a.id, a.f, b.f as g from p a join p b on b.id = a.id + 1")
+def _with_center() -> str:
+    return _km_ctes(0) + "\nselect p.id, p.f, c.center as g from pts p join a0 using (id) join c0 c on c.cid = a0.cid"
+
+
+# edge lines with short and unreadable fields, and why a line is rejected
+_MIXED = ("select l_orderkey as src, l_partkey as dst, case when l_linenumber = 7 then 'short' "
+          "when l_quantity > 45 then 'unreadable' end as problem from lineitem")
 
 
 SQL: dict[str, str] = {
     # scans and sinks: the Spark side writes E1 out and reads it back
-    "scan_edges_text": f"select cast(src as varchar) as src, cast(dst as varchar) as dst from ({E1})",
+    "scan_edges_text": E1_TEXT,
     "scan_edges_csv": E1,
     "scan_edges_csv_header": E1,
     "scan_skip_header": E1,
+    "scan_skip_lines": E1,
+    "scan_rejects": (f"select count(*) as n_rows, count(*) filter (problem = 'short') as n_short, "
+                     f"count(*) filter (problem = 'unreadable') as n_unreadable from ({_MIXED})"),
+    "scan_drop_bad": f"select src, dst from ({_MIXED}) where problem is null",
     "sink_roundtrip": E1,
+    "partition_profile": (f"select cast(src % 16 as integer) as partition, count(*) as n_rows from ({E1}) "
+                          f"group by src % 16"),
     "scan_vectors": ("select vec_id as id, cast(i - 1 as integer) as dim, cast(embedding[i] as double) as value, "
                      "cast(label as varchar) as label from embeddings, generate_series(1, len(embedding)) g(i)"),
     "row_index": f"select src, dst, row_number() over (order by src, dst) - 1 as idx from ({E1})",
@@ -174,7 +190,7 @@ SQL: dict[str, str] = {
     "neighbor_set": _list("n1", "n2", _mirror("e1"), "nbrs"),
     "neighbor_sorted": _list("n1", "n2", _mirror("e1"), "nbrs"),
     "neighbor_list": _list("n1", "n2", f"select n1, n2 from ({_pairs('e1')}) union all "
-                                       f"select n2, n1 from ({_pairs('e1')})", "nbrs", distinct=False),
+                                       f"select n2, n1 from ({_pairs('e1')})", "nbrs"),
     "array_min_key": f"select n1, least(n1, min(n2)) as mn from ({_mirror('e1')}) group by n1",
     "dedup_pairs": f"select distinct src, dst from ({E1})",
     "distinct_nodes": f"select src as node from ({E1}) union select dst from ({E1})",
@@ -192,11 +208,16 @@ SQL: dict[str, str] = {
     "connected_components": _membership("e1"),
     "connected_components_e2": _membership("e2"),
     "connected_components_e3": _membership("e3"),
-    "components_lexical": _reach(f"select cast(src as varchar) as src, cast(dst as varchar) as dst from ({E1})"),
+    "components_lexical": _membership("e1_text"),
     "cc_trace": _trace("e2"),
     "cc_trace_e1": _trace("e1"),
     "cc_trace_e3": _trace("e3"),
     "cc_rounds_4": _rounds("e2", 4) + "\nselect n1, n2 from g4",
+    "cc_states_4": _rounds("e2", 4) + "\n" + " union all ".join(
+        f"select {i} as round, n1, n2 from g{i}" for i in range(1, 5)),
+    "cc_new_pairs_distinct": (f"with s as ({_mirror('e2')}), m as (select n1, min(n2) as mn from s group by n1 "
+                              f"having min(n2) < n1) select distinct s.n2 as n1, m.mn as n2 from s join m using (n1) "
+                              f"where s.n2 <> m.mn"),
     "cc_new_pairs": (f"with s as ({_mirror('e2')}), m as (select n1, min(n2) as mn from s group by n1 "
                      f"having min(n2) < n1) select s.n2 as n1, m.mn as n2 from s join m using (n1) "
                      f"where s.n2 <> m.mn"),
@@ -209,6 +230,9 @@ SQL: dict[str, str] = {
     "component_members": (f"with m as ({_membership('e2')}), "
                           f"w as (select node, component from m union select component, component from m) "
                           + _list("component", "node", "select component, node from w", "members")),
+    "component_members_lexical": (f"with m as ({_reach(E3_TEXT)}), "
+                                  f"w as (select node, component from m union select component, component from m) "
+                                  + _list("component", "node", "select component, node from w", "members")),
     "top_components": (f"select component, count(*) + 1 as n_nodes from ({_membership('e3')}) "
                        f"group by component order by n_nodes desc, component limit 20"),
     # k-means and vectors
@@ -220,6 +244,8 @@ SQL: dict[str, str] = {
         f"f as center from s)\n" + _km_long("select cid, center from c")),
     "kmeans_init": _km_ctes(0) + "\n" + _km_long("select cid, center from c0"),
     "kmeans_assign": _km_ctes(0) + "\nselect id, cid, round(dist, 6) as dist from a0",
+    "kmeans_assign_points": (_km_ctes(0) + "\nselect p.id, a0.cid, cast(i - 1 as integer) as dim, p.f[i] as value, p.label "
+                             "from pts p join a0 using (id), generate_series(1, len(p.f)) s(i)"),
     "nearest_centroid": _km_ctes(0) + "\nselect id, cid from a0",
     "cross_distance": (_km_ctes(0) + "\nselect p.id, c.cid, round(list_distance(p.f, c.center), 6) as dist "
                        "from pts p, c0 c"),
@@ -233,9 +259,9 @@ SQL: dict[str, str] = {
     "kmeans_error": _km_ctes(0) + "\nselect round(sqrt(sum(dist)) / count(*), 6) as error from a0",
     "kmeans": _kmeans_final_assignment(),
     "kmeans_steps": _kmeans_steps(),
-    "vector_distance": f"select id, round(list_distance(f, g), 6) as dist from ({_next_pairs()})",
+    "vector_distance": f"select id, round(list_distance(f, g), 6) as dist from ({_with_center()})",
     "vector_add": (f"select id, cast(i - 1 as integer) as dim, round(f[i] + g[i], 6) as value "
-                   f"from ({_next_pairs()}) x, generate_series(1, len(f)) s(i)"),
+                   f"from ({_with_center()}) x, generate_series(1, len(f)) s(i)"),
     "vector_scale": (f"select id, cast(i - 1 as integer) as dim, "
                      f"round(f[i] / (cast(label as double) + 1), 6) as value "
                      f"from ({PTS}) x, generate_series(1, len(f)) s(i)"),

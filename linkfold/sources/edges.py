@@ -2,15 +2,16 @@
 
 Text readers always take an explicit schema (no inference pass over the input) and a
 separator parameter; ids are ``long`` for numeric files and ``string`` where the order
-of ids must be lexical. A short line yields a null id, which ``as_pairs`` drops.
+of ids must be lexical. No row is lost in silence: see ``read_edges_csv``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkfold.operators.ordering import previous_in_group
+from linkfold.storage import new_scratch_path, write_table
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -23,26 +24,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- text edge lists
 
-def read_edges_text(spark: SparkSession, path: str, sep: str = "\t",
-                    id_type: str = "string", comment: str | None = None) -> DataFrame:
-    """Two ids per line, fields past the second ignored; string ids by default."""
-    reader = spark.read.schema(f"src {id_type}, dst {id_type}").option("sep", sep)
+def _raw_edges(spark: SparkSession, path, sep: str, header: bool, comment: str | None, skip_lines: int) -> DataFrame:
+    """``(src, dst, _lead)``: the first two fields of every line as strings, null where a line has fewer; ``_lead`` marks lead
+    lines. They are dropped by the same expression that judges the other rows, as a filter of its own could run after it."""
+    if not skip_lines:
+        reader = spark.read.schema("src string, dst string").option("sep", sep).option("header", header)
+        raw = (reader.option("comment", comment) if comment else reader).csv(path)
+        return raw.withColumn("_lead", F.lit(False))
+    if header:
+        raise ValueError("count the header among skip_lines")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_at"),
+                                         F.monotonically_increasing_id().alias("_mid"))
+    # a file's lead lines are the first rows of its first split; one row per file says where that begins
+    starts = lines.where("_at = 0").groupBy(F.col("_file").alias("_f")).agg(F.min("_mid").alias("_start"))
+    body = (lines.join(starts, F.col("_file") == F.col("_f")).where("trim(value) <> ''")
+            .withColumn("_lead", (F.col("_at") == 0) & (F.col("_mid") - F.col("_start") < skip_lines)))
     if comment:
-        reader = reader.option("comment", comment)
-    return reader.csv(path)
+        body = body.where(~F.col("value").startswith(comment))
+    parts = F.split("value", "\\Q" + sep + "\\E")
+    field = lambda i: F.when(F.get(parts, F.lit(i)) != "", F.get(parts, F.lit(i)))
+    return body.select(field(0).alias("src"), field(1).alias("dst"), "_lead")
 
 
-def read_edges_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = False,
-                   id_type: str = "long", comment: str | None = None,
-                   names: tuple[str, str] = ("src", "dst")) -> DataFrame:
-    """Delimited edge file with an explicit id type. ``header`` is never guessed:
-    reading a headerless file with ``header=True`` would lose its first edge."""
-    reader = (spark.read.schema(f"`{names[0]}` {id_type}, `{names[1]}` {id_type}")
-              .option("sep", sep).option("header", header))
-    if comment:
-        reader = reader.option("comment", comment)
-    df = reader.csv(path)
-    return df.toDF("src", "dst") if tuple(names) != ("src", "dst") else df
+def _problem(id_type: str) -> Column:
+    """Why a raw row is no edge: ``short`` (a field is missing), ``unreadable`` (not of the id type), else null."""
+    unread = F.lit(False)
+    if id_type != "string":
+        unread = F.expr(f"try_cast(src as {id_type}) is null or try_cast(dst as {id_type}) is null")
+    return F.when(F.col("src").isNull() | F.col("dst").isNull(), "short").when(unread, "unreadable")
+
+
+def edge_report(spark: SparkSession, path, sep: str = ",", header: bool = False, id_type: str = "long",
+                comment: str | None = None, skip_lines: int = 0) -> DataFrame:
+    """One row: ``n_rows, n_short, n_unreadable`` of an edge file: what a reader with ``on_bad='drop'`` leaves out."""
+    raw = (_raw_edges(spark, path, sep, header, comment, skip_lines).where(~F.col("_lead"))
+           .select(_problem(id_type).alias("problem")))
+    return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("problem") == "short", 1)).alias("n_short"),
+                   F.count(F.when(F.col("problem") == "unreadable", 1)).alias("n_unreadable"))
+
+
+def read_edges_csv(spark: SparkSession, path, sep: str = ",", header: bool = False,
+                   id_type: str = "long", comment: str | None = None, skip_lines: int = 0,
+                   on_bad: str = "fail") -> DataFrame:
+    """Delimited edge file with an explicit id type, fields past the second ignored.
+
+    ``header`` is never guessed: reading a headerless file with ``header=True`` would lose its first edge.
+    ``skip_lines`` leaves out that many lead lines of every file. A row with a missing field or one that is
+    not of the id type ends the run (``on_bad='fail'``); ``on_bad='drop'`` leaves it out, and ``edge_report`` counts such rows.
+    """
+    if on_bad not in ("fail", "drop"):
+        raise ValueError(f"on_bad must be 'fail' or 'drop', got {on_bad!r}")
+    raw = _raw_edges(spark, path, sep, header, comment, skip_lines).withColumn("_problem", _problem(id_type))
+    if on_bad == "drop":
+        good = raw.where(~F.col("_lead") & F.col("_problem").isNull())
+    else:
+        message = F.concat(F.col("_problem"), F.lit(" edge row: "), F.coalesce("src", F.lit("")), F.lit(" "), F.coalesce("dst", F.lit("")))
+        good = raw.where(F.when(F.col("_lead"), False)
+                         .when(F.col("_problem").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+        # and in the ids themselves: a later null filter may run before this one
+        return good.select(*[F.when(F.col("_problem").isNotNull(), F.raise_error(message).cast(id_type))
+                             .otherwise(F.expr(f"try_cast({c} as {id_type})")).alias(c) for c in ("src", "dst")])
+    return good.select(*[F.expr(f"try_cast({c} as {id_type})").alias(c) for c in ("src", "dst")])
+
+
+def read_edges_text(spark: SparkSession, path, sep: str = "\t", id_type: str = "string", **options) -> DataFrame:
+    """``read_edges_csv`` with the defaults of plain edge lists: tab-separated string ids."""
+    return read_edges_csv(spark, path, sep=sep, id_type=id_type, **options)
 
 
 def write_edges_text(df: DataFrame, path: str, sep: str = "\t", header: bool = False,
@@ -70,20 +118,16 @@ def read_vectors_csv(spark: SparkSession, path: str, n_features: int = 4,
 # ---------------------------------------------------------------- driver-table graphs
 
 def order_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1: order -- part for large early lines (orders even ids, parts odd ids)."""
+    """E1: order -- part of every line item (orders even ids, parts odd ids)."""
     li = table(spark, sf_dir, "lineitem")
-    return (li.where((F.col("l_quantity") >= 48) & (F.col("l_linenumber") <= 2))
-            .select((F.col("l_orderkey") * 2).alias("src"),
-                    (F.col("l_partkey") * 2 + 1).alias("dst")))
+    return li.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
 
 
 def user_property_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E2: user -- property ``k`` of large sign-up events; few properties, so a few
-    very large components."""
+    """E2: user -- property ``k`` of every event that has one."""
     ev = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    return (ev.where((F.col("event_type") == "signup") & (F.col("value") > 150))
-            .select((F.col("user_id") * 2).alias("src"), (k * 2 + 1).alias("dst"))
+    return (ev.select((F.col("user_id") * 2).alias("src"), (k * 2 + 1).alias("dst"))
             .where(F.col("dst").isNotNull()))
 
 
@@ -92,10 +136,12 @@ def duplicate_doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Copies of one text can be a large share of all documents, so the predecessor is
     found by a global range sort rather than a window per text (see
-    ``previous_in_group``). Whole texts are hashed, map-side.
+    ``previous_in_group``). Whole texts are read and hashed once; only hashes that occur again are sorted.
     """
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    keyed = docs.select(F.md5("text").alias("h"), "doc_id")
+    keyed = write_table(docs.select(F.md5("text").alias("h"), "doc_id"), new_scratch_path(spark, "doc-hashes"))
+    again = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    keyed = keyed.join(again, "h", "left_semi")
     prev = previous_in_group(keyed, "h", "doc_id", "prev")
     return (prev.where(F.col("prev").isNotNull())
             .select(F.col("doc_id").alias("src"), F.col("prev").alias("dst")))

@@ -13,8 +13,10 @@ a local session has none.
 
 from __future__ import annotations
 
+import contextlib
 import logging
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,44 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class Scratch:
+    """The tables written while it was open; ``release`` deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def release(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+
+_open: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[Scratch]:
+    """Owns every scratch table written inside the block. They are deleted when it ends; with ``keep`` only when it
+    raises, and else by the handle's ``release`` once the lazy results that read them are no longer needed."""
+    mine = Scratch(spark)
+    _open.append(mine)
+    try:
+        yield mine
+    except BaseException:
+        mine.release()
+        raise
+    else:
+        if not keep:
+            mine.release()
+    finally:
+        _open.remove(mine)
+
+
 def new_scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh, never reused path under the checkpoint folder."""
-    return f"{checkpoint_root(spark)}/linkfold-{tag}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never reused path under the checkpoint folder, owned by every open ``scratch`` block."""
+    path = f"{checkpoint_root(spark)}/linkfold-{tag}-{uuid.uuid4().hex[:12]}"
+    for owner in _open:
+        owner.paths.append(path)
+    return path
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:

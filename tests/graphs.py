@@ -2,14 +2,12 @@
 
 import random
 
-# fixed values: the example graph of the CCF paper and two hand-made graphs
+# fixed values: the example graph of the CCF paper and a hand-made graph
 EXAMPLE = [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H")]
 TWO_GRAPHS = [(1, 2), (1, 3), (2, 3), (2, 4), (2, 5), (3, 4), (4, 5), (4, 6), (5, 7), (5, 8),
               (7, 8), (13, 14), (13, 15), (13, 9), (14, 15), (15, 10), (9, 10)]
-INLINE_12 = [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H"),
-             ("A", "H"), ("G", "H"), ("I", "H"), ("L", "H"), ("M", "H"), ("Z", "J")]
-INLINE_9 = [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H"),
-            ("A", "H"), ("G", "H"), ("I", "H")]
+# two components, a repeated edge, the same edge the other way round and a self-loop
+REPEATED = [("c", "b"), ("c", "b"), ("b", "c"), ("b", "a"), ("d", "d"), ("d", "c"), ("y", "x"), ("z", "y"), ("z", "y")]
 
 
 def union_find(edges):

@@ -1,13 +1,15 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from graphs import (EXAMPLE, INLINE_9, INLINE_12, TWO_GRAPHS, chain, hub, membership_of,
-                    random_graph)
+from graphs import EXAMPLE, REPEATED, TWO_GRAPHS, chain, hub, membership_of, random_graph
 from linkfold.operators.components import connected_components, iterate
 from linkfold.operators.keyed import hot_threshold
 from linkfold.operators.pairs import as_pairs
 from linkfold.operators.reports import component_sizes
-from linkfold.operators.rounds import STRATEGIES, cc_round
+from linkfold.operators.rounds import LIST_SIZE, STRATEGIES, _bounded_sets, cc_round, mirror, round_stats
+from linkfold.storage import checkpoint_root
 
 
 def edges_df(spark, rows, id_type="long"):
@@ -49,12 +51,67 @@ def test_two_graphs_numeric_and_lexical(spark):
     assert dict(rows(component_sizes(lex.membership()), "component", "n_nodes")) == {"1": 8, "10": 5}
 
 
-def test_inline_lists_with_duplicate_edges(spark):
-    r12 = connected_components(edges_df(spark, INLINE_12, "string"))
-    assert trace2(r12) == [(8, 18), (15, 13), (4, 11), (0, 11)]
-    assert dict(rows(component_sizes(r12.membership()), "component", "n_nodes")) == {"A": 11, "J": 2}
-    r9 = connected_components(edges_df(spark, INLINE_9, "string"))
-    assert trace2(r9) == [(6, 13), (11, 10), (4, 8), (0, 8)]
+def plain_rounds(edges):
+    """The trace by the definition, on Python sets."""
+    g, trace = {(a, b) for a, b in edges}, []
+    while not trace or trace[-1][0]:
+        s = g | {(b, a) for a, b in g}
+        out, new = set(), 0
+        for key in {a for a, _ in s}:
+            values = {b for a, b in s if a == key}
+            least = min(values)
+            if least < key:
+                out |= {(key, least)} | {(v, least) for v in values if v != least}
+                new += len(values) - 1
+        g = out
+        trace.append((new, len(g)))
+    return trace
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_repeated_edges(spark, strategy):
+    res = connected_components(edges_df(spark, REPEATED, "string"), strategy=strategy)
+    assert trace2(res) == plain_rounds(REPEATED)
+    assert dict(rows(component_sizes(res.membership()), "component", "n_nodes")) == {"a": 4, "x": 3}
+
+
+def test_states_of_every_round(spark):
+    g = as_pairs(edges_df(spark, TWO_GRAPHS))
+    res = iterate(g, rounds=3, keep_states=True)
+    for r in (1, 2, 3):
+        want = rows(iterate(g, rounds=r).pairs, "n1", "n2")
+        assert rows(res.states.where(F.col("round") == r), "n1", "n2") == want
+    res.release()
+    assert not any(os.path.exists(p.replace("file:", "")) for p in res.state_paths)
+
+
+def test_partition_count_of_the_round_tables(spark):
+    saved = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        res = iterate(as_pairs(edges_df(spark, random_graph(400, 900, 3))), rounds=1, num_partitions=7)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", saved)
+    files = {f for f in res.pairs.inputFiles()}
+    assert len(files) == 7
+    full = connected_components(edges_df(spark, TWO_GRAPHS), num_partitions=3)
+    assert rows(full.membership(), "node", "component") == membership_of(TWO_GRAPHS)
+
+
+def test_failed_run_leaves_no_table(spark):
+    root = checkpoint_root(spark).replace("file:", "")
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    with pytest.raises(RuntimeError):
+        connected_components(edges_df(spark, chain(50)), max_rounds=2)
+    assert set(os.listdir(root)) == before
+
+
+def test_sets_stay_bounded_whatever_the_degree(spark):
+    e = as_pairs(edges_df(spark, hub(30_000)))
+    s = mirror(e, True)
+    stats = round_stats(s)
+    sizes = _bounded_sets(s, stats).agg(F.max(F.size("nbrs"))).first()[0]
+    assert sizes <= 2 * LIST_SIZE
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -198,7 +255,6 @@ def test_isolated_vertices(spark):
 
 
 def test_release_deletes_the_result_table(spark):
-    import os
     res = connected_components(edges_df(spark, TWO_GRAPHS))
     local = res.path.replace("file:", "")
     assert os.path.exists(local) and res.membership().count() == 11

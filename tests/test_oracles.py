@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF0001
 from linkfold.sources.edges import DRIVER_TABLES
+from linkfold.storage import checkpoint_root, scratch
 
 QUERIES = {k: f for k, f in entry.queries().items() if k not in entry.LLM_QUERIES}   # those have tests of their own
 SQL = {k: s for k, s in entry.oracle_sql().items() if k in QUERIES}
@@ -39,13 +40,25 @@ def con():
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"partition_profile"}
+    assert set(QUERIES) == set(SQL)
+
+
+def _tables(spark):
+    """Paths in the session's checkpoint folder."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().toString() for f in fs.listStatus(root)} if fs.exists(root) else set()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    df = QUERIES[name](spark, SF0001)
-    srows = [tuple(r) for r in df.collect()]
+    before = _tables(spark)
+    with scratch(spark, keep=True) as owned:
+        df = QUERIES[name](spark, SF0001)
+        srows = [tuple(r) for r in df.collect()]
+    owned.release()
+    assert _tables(spark) == before   # nothing is left behind
     res = con.execute(SQL[name])
     ocols, orows = [d[0] for d in res.description], res.fetchall()
     assert _canon(df.columns, srows) == _canon(ocols, orows)
