@@ -4,8 +4,8 @@ Format. Files are Parquet parts in ascending ``doc_id`` order; a row is a segmen
 
 * ``doc_ids``, ``doc_tokens``: the documents of the segment, whole, in order;
 * ``table``: the symbol frequencies that all blocks of the segment share, scaled to 2^18 (zlib of symbols and counts);
-* ``blocks``: independent blocks of up to ``BLOCK`` ids. Id ``i`` of a block belongs to lane ``i % LANES``; the lanes' 64-bit
-  states write 32-bit words to one interleaved stream. ``checkpoints`` holds the lanes' states and the place in the stream
+* ``blocks``: independent blocks of up to ``BLOCK`` ids. Id ``i`` of a block belongs to lane ``i % lanes``
+  (``LANES``, fewer in small blocks); the lanes' 64-bit states write 32-bit words to one interleaved stream. ``checkpoints`` holds the lanes' states and the place in the stream
   for every ``EVERY`` steps, so a decoder starts at any of them, or at all at once, as this one does. ``crc32`` is that of the
   block's ids as little-endian unsigned 32-bit integers; a mismatch raises.
 
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from linkfold.llm.common import running_total, texts
 from linkfold.llm.tokens import byte_bpe
 
-SCALE, LOW, LANES, EVERY, BLOCK = 18, 31, 256, 128, 1 << 17
+SCALE, LOW, LANES, EVERY, BLOCK = 18, 31, 2048, 128, 1 << 20
 _U = np.uint64
 
 SEGMENTS = ("file int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, table binary, "
-            "blocks array<struct<n: int, checkpoints: binary, payload: binary, crc32: long>>")
+            "blocks array<struct<n: int, lanes: int, checkpoints: binary, payload: binary, crc32: long>>")
 
 
 class Table:
@@ -43,11 +43,13 @@ class Table:
         self.symbols, self.freqs = symbols.astype("<u4"), freqs.astype("<u4")
         self.f = self.freqs.astype(_U)
         self.c = np.concatenate([[0], np.cumsum(self.f)[:-1]]).astype(_U)
-        self._slots = None
+        self._slots = self._numbers = None
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
         if len(symbols) > 1 << SCALE:
             raise ValueError(f"{len(symbols)} different symbols; a table holds {1 << SCALE}")
         freqs = np.maximum(1, (counts * (1 << SCALE)) // counts.sum())
@@ -71,6 +73,13 @@ class Table:
         a = np.frombuffer(zlib.decompress(data), "<u4")
         return cls(np.cumsum(a[:len(a) // 2], dtype=np.int64), a[len(a) // 2:])
 
+    def numbers(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id among the table's symbols."""
+        if self._numbers is None:
+            self._numbers = np.zeros(int(self.symbols[-1]) + 1, np.int64)
+            self._numbers[self.symbols] = np.arange(len(self.symbols))
+        return self._numbers[ids]
+
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
@@ -79,13 +88,15 @@ class Table:
 
 
 def encode_block(ids: np.ndarray, table: Table) -> dict:
-    sym = np.searchsorted(table.symbols, ids)
-    n, steps = len(ids), -(-len(ids) // LANES)
-    x = np.full(LANES, 1 << LOW, _U)
+    sym = table.numbers(ids)
+    n = len(ids)
+    lanes = LANES if n >= BLOCK // 4 else max(16, LANES >> max(0, (BLOCK // 4 // n).bit_length()))
+    steps = -(-n // lanes)
+    x = np.full(lanes, 1 << LOW, _U)
     words, counts = [None] * steps, np.zeros(steps, np.int64)
     states = []
     for t in range(steps - 1, -1, -1):
-        s = sym[t * LANES:(t + 1) * LANES]
+        s = sym[t * lanes:(t + 1) * lanes]
         y, f = x[:len(s)], table.f[s]
         full = y >= f << _U(LOW - SCALE + 32)
         words[t] = (y[full] & _U(0xFFFFFFFF)).astype("<u4")
@@ -96,22 +107,23 @@ def encode_block(ids: np.ndarray, table: Table) -> dict:
         if t % EVERY == 0:
             states.append(x.copy())
     at = np.concatenate([[0], np.cumsum(counts)])[0:steps:EVERY]
-    return {"n": n, "checkpoints": at.astype("<u8").tobytes() + np.concatenate(states[::-1]).astype("<u8").tobytes(),
+    return {"n": n, "lanes": lanes, "checkpoints": at.astype("<u8").tobytes() + np.concatenate(states[::-1]).astype("<u8").tobytes(),
             "payload": np.concatenate(words).tobytes(), "crc32": zlib.crc32(np.ascontiguousarray(ids, "<u4"))}
 
 
 def _decode_runs(states: np.ndarray, at: np.ndarray, words: np.ndarray, n: int, table: Table) -> np.ndarray:
     """``n`` ids from each of several checkpoints at once: rows of ``states`` and places ``at`` in the stream."""
-    runs, steps = len(at), -(-n // LANES)
+    runs, lanes = states.shape
+    steps = -(-n // lanes)
     x, at = states.copy(), at.copy()
-    out = np.empty((runs, steps * LANES), np.int64)
+    out = np.empty((runs, steps * lanes), np.int64)
     for t in range(steps):
-        m = min(LANES, n - t * LANES)
+        m = min(lanes, n - t * lanes)
         y = x[:, :m]
         slot = y & _U((1 << SCALE) - 1)
         s = table.slots[slot]
         y = table.f[s] * (y >> _U(SCALE)) + slot - table.c[s]
-        out[:, t * LANES:t * LANES + m] = s
+        out[:, t * lanes:t * lanes + m] = s
         short = y < _U(1 << LOW)
         rank = np.cumsum(short, axis=1)
         take = (at[:, None] + rank - 1)[short]
@@ -122,12 +134,12 @@ def _decode_runs(states: np.ndarray, at: np.ndarray, words: np.ndarray, n: int,
 
 
 def decode_block(block, table: Table) -> np.ndarray:
-    n, steps = block["n"], -(-block["n"] // LANES)
-    points = -(-steps // EVERY)
+    n, lanes = block["n"], block["lanes"]
+    points = -(-(-(-n // lanes)) // EVERY)
     head = np.frombuffer(block["checkpoints"], "<u8")
-    at, states = head[:points].astype(np.int64), head[points:].reshape(points, LANES)
+    at, states = head[:points].astype(np.int64), head[points:].reshape(points, lanes)
     words = np.frombuffer(block["payload"], "<u4").astype(_U)
-    run = EVERY * LANES
+    run = EVERY * lanes
     parts = [_decode_runs(states[:-1], at[:-1], words, run, table).ravel()] if points > 1 else []
     parts.append(_decode_runs(states[-1:], at[-1:], words, n - (points - 1) * run, table).ravel())
     ids = np.ascontiguousarray(np.concatenate(parts), "<u4")

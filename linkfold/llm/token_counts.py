@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from linkfold.llm.common import texts
-from linkfold.llm.tokens import CACHE_ENTRIES, Memory, collector_off, load, special_strings
+from linkfold.llm.tokens import CACHE_ENTRIES, Memory, byte_letters, collector_off, load, special_strings
 
 #: fixed values: the word pattern and word end of the tokenizer file
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,20 +37,14 @@ PLAIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next free one."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(visible)]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def normal(chunk: str) -> str:
     return unicodedata.normalize("NFC", chunk).lower()
 
 
 def prove_whole(path: str) -> frozenset[str]:
     """The strings ``w`` such that ``w`` is one pre-token, already normal, and encodes alone as one token."""
-    tok, split, letters = load(path), regex.compile(WORD_PATTERN), byte_letters()
+    tok, split = load(path), regex.compile(WORD_PATTERN)
+    letters = {c: b for b, c in byte_letters().items()}
     words = []
     for v in tok.get_vocab():
         if v.endswith(WORD_END) and len(v) > len(WORD_END) and all(c in letters for c in v[:-len(WORD_END)]):

@@ -39,6 +39,13 @@ _PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\u024f]*")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next free one."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @contextlib.contextmanager
 def collector_off():
     """Millions of strings and no cycles: Python's cycle collector would only walk the tables again and again."""
@@ -73,22 +80,17 @@ class ByteBpeEncoder:
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tok, self.special = load(path), special_strings(path)
+        self.letters = byte_letters()
         self.words = Memory(self._words, entries)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, by one call over many of them with a special string between."""
-        if not self.special:
-            return self._whole(words)
-        mark, out = self.special[0], []
-        for i in range(0, len(words), 2000):
-            ids = np.array(self.tok.encode_batch_fast([mark.join(words[i:i + 2000])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.tok.token_to_id(mark)) * 4
-            data = ids.tobytes()
-            out += [data[x:y] for x, y in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])]
-        return out
+        """Ids of each pre-token, by the library's model alone: nothing is left to normalise or to split."""
+        merge, letters = self.tok.model.tokenize, self.letters
+        return [np.array([t.id for t in merge(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+                for w in words]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         with collector_off():
