@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from linkfold.llm.common import release, stored, text_or_empty
 
-CHUNK = 1 << 20      # bytes that are hashed at a time
+CHUNK = 1 << 18      # bytes that are hashed at a time
 _AT = np.uint64((1 << 24) - 1)
 _U = np.uint64
 
@@ -66,7 +66,7 @@ class Hashes:
     """Hashes of substrings of some bytes."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(20, int(len(data)).bit_length())
+        size = 1 << max(16, int(len(data)).bit_length())
         self.tables = _tables(size)
         self.sums = [np.concatenate([np.zeros(1, _U), np.cumsum(values[data] * up[:len(data)], dtype=_U)])
                      for values, up, _ in self.tables]
