@@ -9,7 +9,7 @@ words lies whole in some block. Each block is joined with every template of whic
 1. Tokens are ordered by how many documents of the whole table hold them, rarest first.
 2. Prefix filter: a block that shares ``k`` of a template's ``n`` tokens must hold one of the template's first ``n - k + 1``,
    among the block's own first tokens; the join is on those tokens, with the templates as the small side (their size is a
-   parameter). Documents without any of them leave the join before blocks are made.
+   parameter). Documents that hold too little of every template as a whole leave the join before blocks are made.
 3. Length filter: the block must hold ``k`` tokens of templates. Positional filter: what follows the shared token on both
    sides must be long enough for ``k``.
 4. What is left is verified by the full intersection.
@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import texts
+from linkfold.llm.common import stored, texts
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +54,11 @@ TEMPLATES = [
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """The words, A-Z lower-cased. ``lower`` also maps other letters, which never meet a template's; the two that it would
+    turn into ASCII letters (the Kelvin sign, the dotted capital I) send a text to the slower ``translate``."""
+    plain = ~(text.contains("\u212a") | text.contains("\u0130"))
+    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
 def template_words(text: str) -> list[str]:
@@ -79,42 +83,59 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(may, F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts), F.lit(0))), here)).otherwise(none)
 
 
-def order_tokens(docs: DataFrame, tokens: list[str]) -> list[str]:
+def _needs(templates, threshold: float, span: int) -> list[tuple[str, list[str], int]]:
+    """``(label, tokens, how many a block must hold)`` of each template."""
+    sets = [template_words(t) for _, t in templates]
+    if any(not tokens or len(re.findall(WORD, t.lower())) > span + 1 for tokens, (_, t) in zip(sets, templates)):
+        raise ValueError("a template has no word or more than span + 1 words")
+    return [(label, tokens, math.ceil(threshold * len(tokens))) for (label, _), tokens in zip(templates, sets)]
+
+
+def read_words(docs: DataFrame, phrases, needs) -> DataFrame:
+    """One pass over the texts, stored: ``doc_id, doc_hash, n_words, at0, at1, ..`` (places of the phrases), ``held`` (template
+    tokens in the text) and ``words``, all of them, of the texts that hold enough of a template as a whole, else null."""
+    every = sorted(set().union(*(tokens for _, tokens, _ in needs))) if needs else []
+    src = texts(docs).select("doc_id", F.xxhash64("text").alias("doc_hash"), words_of(F.col("text")).alias("words"))
+    src = src.select("*", F.array_intersect("words", _strings(every)).alias("held"))
+    enough = F.lit(False)
+    for _, tokens, need in needs:
+        enough = enough | (F.size(F.array_intersect("held", _strings(tokens))) >= need)
+    return stored(src.select("doc_id", "doc_hash", F.size("words").cast("long").alias("n_words"),
+                             *[phrase_starts(F.col("words"), p).alias(f"at{i}") for i, p in enumerate(phrases.values())],
+                             "held", F.when(enough, F.col("words")).alias("words")), "license-words")
+
+
+def order_tokens(read: DataFrame, tokens: list[str]) -> list[str]:
     """The templates' tokens by the number of documents that hold them, over the whole table, rarest first; ties by code point."""
-    held = (texts(docs).select(F.explode(F.array_intersect(words_of(F.col("text")), _strings(tokens))).alias("token"))
-            .groupBy("token").count())
+    held = read.select(F.explode("held").alias("token")).groupBy("token").count()
     counts = {r["token"]: r["count"] for r in held.collect()}   # at most one row for each template token
     return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def matching_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, span: int = 32) -> DataFrame:
-    """``doc_id, doc_hash, block, label, template, score``: every block that holds ``threshold`` of a template's tokens.
+def matching_blocks(read: DataFrame, needs, span: int) -> DataFrame:
+    """``doc_id, doc_hash, block, label, template, score``: every block that holds enough of a template's tokens.
 
     ``block`` counts from 0; block ``b`` is the words from ``b * span`` on. ``doc_hash`` is the text's XXH64.
     """
-    spark = docs.sparkSession
-    sets = [template_words(t) for _, t in templates]
-    if any(len(template_words(t)) == 0 or len(re.findall(WORD, t.lower())) > span + 1 for _, t in templates):
-        raise ValueError("a template has no word or more than span + 1 words")
-    order = order_tokens(docs, sorted(set().union(*sets)))
+    order = order_tokens(read, sorted(set().union(*(tokens for _, tokens, _ in needs))))
     rank = {t: i for i, t in enumerate(order)}
-    rows, prefix, least = [], set(), min(math.ceil(threshold * len(s)) for s in sets)
-    for k, ((label, _), tokens) in enumerate(zip(templates, sets)):
+    least = min(need for _, _, need in needs)
+    rows = []
+    for k, (label, tokens, need) in enumerate(needs):
         ranks = sorted(rank[t] for t in tokens)
-        need = math.ceil(threshold * len(ranks))
-        prefix |= {order[r] for r in ranks[:len(ranks) - need + 1]}
         rows += [(r, p, k, label, need, ranks) for p, r in enumerate(ranks[:len(ranks) - need + 1])]
-    index = spark.createDataFrame(rows, "token int, _p int, template int, label string, _need int, _ranks array<int>")
+    index = read.sparkSession.createDataFrame(
+        rows, "token int, _p int, template int, label string, _need int, _ranks array<int>")
+    prefix = sorted({order[r[0]] for r in rows})
 
     ranks_of = F.create_map(*[F.lit(x) for t in order for x in (t, rank[t])])
-    src = texts(docs).select("doc_id", F.xxhash64("text").alias("doc_hash"), words_of(F.col("text")).alias("_words"))
-    near = src.where(F.arrays_overlap("_words", _strings(sorted(prefix))))
-    last = F.floor(F.greatest(F.size("_words") - span - 1, F.lit(0)) / span).cast("int")
+    near = read.where(F.col("words").isNotNull() & F.arrays_overlap("held", _strings(prefix)))
+    last = F.floor(F.greatest(F.col("n_words") - span - 1, F.lit(0)) / span).cast("int")
     blocks = (near.select("doc_id", "doc_hash", F.posexplode(F.transform(
                   F.sequence(F.lit(0), last),
-                  lambda b: F.array_sort(F.filter(F.transform(
-                      F.array_intersect(F.slice("_words", b * span + 1, F.lit(2 * span)), _strings(order)),
-                      lambda w: F.element_at(ranks_of, w)), lambda r: r.isNotNull())))).alias("block", "_held"))
+                  lambda b: F.array_sort(F.transform(
+                      F.array_intersect(F.slice("words", b * span + 1, F.lit(2 * span)), _strings(order)),
+                      lambda w: F.element_at(ranks_of, w))))).alias("block", "_held"))
               .where(F.size("_held") >= least))
     size = F.size("_held")
     probes = blocks.select("*", F.posexplode(F.slice("_held", F.lit(1), size - least + 1)).alias("_q", "token"))
@@ -132,15 +153,14 @@ def scan_licenses(docs: DataFrame, phrases=None, templates=TEMPLATES, threshold:
     ``score`` is 1 where a phrase stands, else the greatest share of a template that a block holds, else 0.
     """
     phrases = PHRASES if phrases is None else phrases
-    src = texts(docs).select("doc_id", F.xxhash64("text").alias("doc_hash"), words_of(F.col("text")).alias("_words"))
-    placed = src.select("doc_id", "doc_hash", F.size("_words").cast("long").alias("n_words"),
-                        *[phrase_starts(F.col("_words"), p).alias(f"_at{i}") for i, p in enumerate(phrases.values())])
-    every = F.flatten(F.array(*[F.col(f"_at{i}") for i in range(len(phrases))]))
-    labels = F.array_compact(F.array(*[F.when(F.size(f"_at{i}") > 0, F.lit(label)) for i, label in enumerate(phrases)]))
-    base = placed.select("doc_id", "doc_hash", "n_words", F.size(every).cast("long").alias("n_base"),
-                         F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-                         F.array_distinct(labels).alias("_base"))
-    more = (matching_blocks(docs, templates, threshold, span).groupBy("doc_id", "doc_hash")
+    needs = _needs(templates, threshold, span)
+    read = read_words(docs, phrases, needs)
+    every = F.flatten(F.array(*[F.col(f"at{i}") for i in range(len(phrases))]))
+    labels = F.array_compact(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, label in enumerate(phrases)]))
+    base = read.select("doc_id", "doc_hash", "n_words", F.size(every).cast("long").alias("n_base"),
+                       F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
+                       F.array_distinct(labels).alias("_base"))
+    more = (matching_blocks(read, needs, span).groupBy("doc_id", "doc_hash")
             .agg(F.collect_set("label").alias("_more"), F.max("score").alias("_score"))
             .select(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h"), "_more", "_score"))
     both = base.join(more, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("doc_hash") == F.col("_h")), "left")

@@ -15,7 +15,7 @@ LICENSES = [
     "x " * 30 + "Licensed under the\nApache License, Version 2.0.", "this is cc-by-nc and CC BY NC again, cc by", "under the MIT license " * 3,
     FILL + NOTICE.replace(" ", "\n") + FILL, FILL + NOTICE.replace("granted", "given") + FILL, NOTICE.replace("free of charge, to any", "") + FILL,
     " ".join(sorted(NOTICE.split())), "Licensed under CC BY 4.0", "All rights reserved", "rights reserved", "ALL RIGHTS RESERVED" * 2,
-    "under the Kmit license", "under themit license", "GNU General Public License version 3 licensed under the", "a " * 31 + "mit",
+    "under the Kmit license", "\u212ait UNDER THE MIT LICENSE", "UNDER THE M\u0130T LICENSE \u0130", "\u212a cc by nc", "under themit license", "GNU General Public License version 3 licensed under the", "a " * 31 + "mit",
 ]
 
 
@@ -73,7 +73,7 @@ def test_native_plan(spark):
 
 def test_bad_templates(spark):
     with pytest.raises(ValueError):
-        L.matching_blocks(table(spark, rows()), [("x", "a " * 99)])
+        L.scan_licenses(table(spark, rows()), templates=[("x", "a " * 99)])
 
 
 def test_empty_table(spark):
