@@ -240,7 +240,7 @@ def _counted_windows(rows: DataFrame, window: int, kind: str) -> DataFrame:
     windows = stored(rows.mapInPandas(explode, f"h long, at long, w1 long, w2 long, doc_id {kind}, doc_hash long, first long, n long"),
                      "suffix-windows")
     name = ["h", "at", "w1", "w2"]
-    again = windows.groupBy(*name).count().where("count > 1").select(*name)
+    again = stored(windows.groupBy(*name).count().where("count > 1").select(*name), "suffix-windows-twice")
     return windows.where("n = 1").join(again, name).select("doc_id", "doc_hash", "first", F.col("first").alias("last"))
 
 
@@ -250,7 +250,8 @@ def repeated_windows(docs: DataFrame, window: int = 200, key: int = 50, group_ru
     src = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("doc_hash"), text_or_empty().cast("binary").alias("data"))
     kind = dict(src.dtypes)["doc_id"]
     every = stored(text_runs(src, window, key), "suffix-runs")
-    twice = every.groupBy("h").count().where("count > 1").select("h")
+    # joins read stored tables on both sides: only then can Spark split a key that holds a large share of the rows
+    twice = stored(every.groupBy("h").count().where("count > 1").select("h"), "suffix-twice")
     alive = stored(every.join(twice, "h"), "suffix-alive")
     release(every)
 
@@ -262,7 +263,8 @@ def repeated_windows(docs: DataFrame, window: int = 200, key: int = 50, group_ru
                   "suffix-full")
     release(alive)
 
-    groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("_kinds"), F.min("n").alias("_n")).where("_kinds > 1 and _n = 1")
+    groups = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("_kinds"), F.min("n").alias("_n"))
+                    .where("_kinds > 1 and _n = 1"), "suffix-groups")
     edges = (kinds.join(groups, "h").select("h", "run", "place", "length", "n", "_kinds", "at.*"))
     by_doc = edges.groupBy(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h")).agg(
         F.collect_list(F.struct("start", "length", "place", "h", "run", "n", "_kinds")).alias("_runs"))   # of one text
