@@ -155,21 +155,31 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - cut] + following[:cut]
 
 
-def compare(ids: list, texts: list[str], following: list[str]) -> pd.DataFrame:
-    changed = [edited(t, f) for t, f in zip(texts, following)]
-    n = len(texts)
-    own, alt, nxt = digests(texts), digests(changed), digests(following)
+def picked(found: tuple[np.ndarray, np.ndarray], texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of some of the texts (``texts``: their numbers), numbered anew in that order."""
+    owner, d = found
+    start = np.searchsorted(owner, texts)
+    n = np.searchsorted(owner, texts, side="right") - start
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+    return np.repeat(np.arange(len(texts)), n), d[at]
+
+
+def compare(ids: list, texts: list[str], first: np.ndarray, following: np.ndarray) -> pd.DataFrame:
+    """A row for each pair of a text and the one that follows it (numbers in ``texts``)."""
+    changed = [edited(texts[i], texts[j]) for i, j in zip(first, following)]
+    n, whole = len(changed), digests(texts)
+    own, nxt, alt = picked(whole, first), picked(whole, following), digests(changed)
     size = lambda x: np.bincount(x[0], minlength=n)
     return pd.DataFrame({
-        "doc_id": pd.array(ids, "Int64") if all(i is None or isinstance(i, int) for i in ids) else ids,
-        "n_chars": [len(t) for t in texts],
+        "doc_id": pd.array([ids[i] for i in first], "Int64"),
+        "n_chars": [len(texts[i]) for i in first],
         "edited_sha256": [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed],
         "fingerprint": Sketches(n, CELLS, *own).strings(size(own)),
         "edited_fingerprint": Sketches(n, CELLS, *alt).strings(size(alt)),
         "near_edited": likeness(n, own, alt), "near_next": likeness(n, own, nxt)})
 
 
-def fingerprint_edits(docs: DataFrame, part_rows: int = 2500, max_parts: int = 20_000, rows: int = 400) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, part_rows: int = 800, max_parts: int = 20_000, rows: int = 400) -> DataFrame:
     """One row per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     The order by id is cut into parts of about ``part_rows`` rows. Each part also gets the first document of the part after
@@ -218,8 +228,8 @@ def fingerprint_edits(docs: DataFrame, part_rows: int = 2500, max_parts: int = 2
             yield _pairs(held)
 
     def _pairs(held: list[tuple]) -> pd.DataFrame:
-        both = [(a, b) for a, b in zip(held, held[1:]) if not a[3]]
-        return compare([a[0] for a, _ in both], [a[1] for a, _ in both], [b[1] for _, b in both])
+        first = np.array([i for i in range(len(held) - 1) if not held[i][3]], np.int64)
+        return compare([h[0] for h in held], [h[1] for h in held], first, first + 1)
 
     dealt = (src.select("doc_id", "text", "_key", F.explode(places("_key")).alias("_place"))
              .select("doc_id", "text", "_key", F.col("_place.part").alias("part"), F.col("_place.last").alias("last"))

@@ -39,7 +39,7 @@ def test_likeness_is_the_jaccard_similarity():
     assert np.allclose(got, [jaccard(a, b) for a, b in zip(texts, other)])
 
 
-@pytest.mark.parametrize("part_rows", [3, 2500])
+@pytest.mark.parametrize("part_rows", [3, 800])
 def test_against_brute_force(spark, part_rows):
     rows = edge_rows() + [(1000 + 3 * r[0], *r[1:]) for r in random_rows(60, words=200)]
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
