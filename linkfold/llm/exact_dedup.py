@@ -89,8 +89,10 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     The kept ids meet the rows by id and by the text's digest; of rows equal in both, one is kept.
     """
-    kept = (exact_duplicates(docs, **options).where("kept")
-            .select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_keep_sha")))
+    found = stored(exact_duplicates(docs, **options), "dedup-found")
+    kept = found.where("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_keep_sha"))
     mine = boxed(docs).withColumn("_sha", sha256(F.col("text"))).drop("text")
     joined = mine.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_keep_sha")))
-    return joined.dropDuplicates(["doc_id", "_sha"]).select("row.*")
+    if not found.where("not kept and doc_id <=> keep_id").isEmpty():   # rows equal in id and text
+        joined = joined.dropDuplicates(["doc_id", "_sha"])
+    return joined.select("row.*")

@@ -230,14 +230,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, **option
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, **options) -> DataFrame:
     """``docs`` with one document of each component: the one with the component's (least) id."""
-    kept = (near_duplicates(docs, width, max_bits, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_keep")).distinct())
+    kept = stored(near_duplicates(docs, width, max_bits, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+                  .groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n")), "simhash-kept")
     rows = boxed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")))
-    # rows that share an id are one document: the least text of them stands for it
-    again = rows.groupBy("doc_id").agg(F.min("text").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    again = stored(again.select(F.col("doc_id").alias("_i"), "_least"), "simhash-again")
-    if again.isEmpty():
+    if kept.where("_n > 1").isEmpty():
         return rows.select("row.*")
-    return (rows.join(again, F.col("doc_id").eqNullSafe(F.col("_i")), "left")
-            .where(F.col("_least").isNull() | (F.col("text") == F.col("_least")))
-            .dropDuplicates(["doc_id", "text"]).select("row.*"))
+    # rows that share an id are one document: the least text of them stands for it
+    least = (rows.where("_n > 1").groupBy("doc_id").agg(F.min("text").alias("_least"))
+             .select(F.col("doc_id").alias("_i"), "_least"))
+    several = (rows.where("_n > 1").join(least, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text") == F.col("_least")))
+               .dropDuplicates(["doc_id", "text"]))
+    return rows.where("_n = 1").select("row.*").unionByName(several.select("row.*"))
