@@ -24,21 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.llm.common import numbered, stored, texts
-from linkfold.llm.tokens import byte_bpe
+from linkfold.llm.tokens import BATCH_CHARS, by_size, byte_bpe
 
 _BIN = "grp long, open boolean, rows array<long>, lens array<int>"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
-                 rows: int = 500) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """``doc_id, piece, start, length, ids``: ``ids`` as little-endian unsigned 32-bit bytes."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), rows):
-                part, out = b.iloc[i:i + rows], []
-                for doc, ids in zip(part["doc_id"], byte_bpe(tokenizer).encode(part["text"])):
+            texts_here = b["text"].tolist()
+            for i, j in by_size(texts_here, BATCH_CHARS):
+                out = []
+                for doc, ids in zip(b["doc_id"].iloc[i:j], byte_bpe(tokenizer).encode(texts_here[i:j])):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]

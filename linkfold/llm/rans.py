@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkfold.llm.common import running_total, texts
-from linkfold.llm.tokens import byte_bpe
+from linkfold.llm.tokens import BATCH_CHARS, by_size, byte_bpe
 
 SCALE, LOW, LANES, EVERY, BLOCK = 18, 31, 2048, 128, 1 << 20
 _U = np.uint64
@@ -156,8 +157,7 @@ def segment_row(file: int, segment: int, doc_ids: list, docs: list[bytes]) -> di
             "blocks": [encode_block(ids[i:i + BLOCK], table) for i in range(0, len(ids), BLOCK)]}
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_tokens: int = 1 << 21,
-                      rows: int = 500) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_tokens: int = 1 << 21) -> None:
     """Encode every text, end it with ``end_id`` and write the files at ``path``, range-partitioned by ``doc_id``."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -165,10 +165,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         file, segment, n, ids, held = TaskContext.get().partitionId(), 0, 0, [], []
         columns = [c.split()[0] for c in SEGMENTS.split(", ") if " " in c][:7]
         for b in batches:
-            for i in range(0, len(b), rows):
-                part = b.iloc[i:i + rows]
-                known = [None if null else int(x) for x, null in zip(part["doc_id"], part["doc_id"].isna())]
-                for doc, data in zip(known, byte_bpe(tokenizer).encode(part["text"])):
+            known = [None if null else int(x) for x, null in zip(b["doc_id"], b["doc_id"].isna())]
+            texts_here = b["text"].tolist()
+            for i, j in by_size(texts_here, BATCH_CHARS):
+                for doc, data in zip(known[i:j], byte_bpe(tokenizer).encode(texts_here[i:j])):
                     ids.append(doc)
                     held.append(data + end)
                     n += len(data) // 4 + 1
@@ -183,25 +183,37 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     ordered.mapInPandas(run, SEGMENTS).write.parquet(path)
 
 
+def decoded(segment) -> Iterator[tuple[int | None, int, bytes]]:
+    """``(doc_id, ids before it in the segment, ids as bytes)`` of a segment's documents."""
+    table = Table.from_bytes(segment.table)
+    data = b"".join(decode_block(block, table).tobytes() for block in segment.blocks)
+    at = 0
+    for doc, n in zip(segment.doc_ids, segment.doc_tokens):
+        yield None if doc is None or doc != doc else int(doc), at, data[4 * at:4 * (at + n)]
+        at += int(n)
+
+
+def _read(spark: SparkSession, path: str, columns: list[str], schema: str, of) -> DataFrame:
+    """A row for each document from its segment: ``file``, ``segment`` and what ``of(doc_id, at, ids)`` gives."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for segment in b.itertuples(index=False):
+                docs = decoded(segment)
+                while part := list(islice(docs, 1000)):   # small batches: a segment's ids leave the worker bit by bit
+                    out = pd.DataFrame([of(*d) for d in part], columns=columns)
+                    out["doc_id"] = out["doc_id"].astype("Int64")
+                    out.insert(0, "segment", segment.segment)
+                    out.insert(0, "file", segment.file)
+                    yield out
+
+    return spark.read.schema(SEGMENTS).parquet(path).mapInPandas(run, f"file int, segment int, {schema}")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, segment, doc_id, at, n_tokens, ids``: every document's ids (little-endian unsigned 32-bit bytes); ``at`` counts the
     ids before it in its segment."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                table = Table.from_bytes(row.table)
-                data = b"".join(decode_block(block, table).tobytes() for block in row.blocks)
-                n = np.asarray(row.doc_tokens, np.int64)
-                at = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-                for i in range(0, len(n), 1000):   # small batches: a segment's ids leave the worker bit by bit
-                    yield pd.DataFrame({
-                        "file": row.file, "segment": row.segment,
-                        "doc_id": pd.array([None if x is None or x != x else int(x) for x in row.doc_ids[i:i + 1000]], "Int64"),
-                        "at": at[i:i + 1000], "n_tokens": n[i:i + 1000],
-                        "ids": [data[4 * x:4 * (x + m)] for x, m in zip(at[i:i + 1000].tolist(), n[i:i + 1000].tolist())]})
-
-    return (spark.read.schema(SEGMENTS).parquet(path)
-            .mapInPandas(run, "file int, segment int, doc_id long, at long, n_tokens long, ids binary"))
+    return _read(spark, path, ["doc_id", "at", "n_tokens", "ids"], "doc_id long, at long, n_tokens long, ids binary",
+                 lambda doc, at, ids: (doc, at, len(ids) // 4, ids))
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -213,6 +225,7 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
-    docs = read_token_files(spark, path).select("file", "segment", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    docs = _read(spark, path, ["doc_id", "at", "n_tokens", "ids_crc32"], "doc_id long, at long, n_tokens long, ids_crc32 long",
+                 lambda doc, at, ids: (doc, at, len(ids) // 4, zlib.crc32(ids)))   # the ids need not leave the task
     return (docs.join(segment_starts(spark, path), ["file", "segment"])
             .select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))

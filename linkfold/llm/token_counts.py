@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from linkfold.llm.common import texts
-from linkfold.llm.tokens import CACHE_ENTRIES, Memory, byte_letters, collector_off, load, special_strings
+from linkfold.llm.tokens import BATCH_CHARS, CACHE_ENTRIES, Memory, by_size, byte_letters, collector_off, load, special_strings
 
 #: fixed values: the word pattern and word end of the tokenizer file
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -90,17 +90,17 @@ def counter(path: str) -> ShortcutCounter:
     return ShortcutCounter(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, rows: int = 500) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit`` (more than ``limit`` tokens)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(tokenizer)
         for b in batches:
-            for i in range(0, len(b), rows):
-                part = b.iloc[i:i + rows]
-                text = part["text"].tolist()
+            every = b["text"].tolist()
+            for i, j in by_size(every, BATCH_CHARS):
+                text = every[i:j]
                 n = c.count(text)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array,
+                yield pd.DataFrame({"doc_id": b["doc_id"].array[i:j],
                                     "n_bytes": [len(t.encode("utf-8")) for t in text],
                                     "n_tokens": n, "over_limit": [x > limit for x in n]})
 

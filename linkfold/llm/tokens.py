@@ -13,10 +13,13 @@ import gc
 import json
 import os
 import re
-from collections.abc import Iterable
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+#: characters of text that are encoded together
+BATCH_CHARS = 1_500_000
 #: strings that a worker keeps per tokenizer (about 150 MB); the first ones stay, as frequent ones come early
 CACHE_ENTRIES = 700_000
 
@@ -59,22 +62,35 @@ def collector_off():
 
 
 class Memory:
-    """What ``learn`` gives for strings; the first ``entries`` are kept, the others last one batch."""
+    """What ``learn`` gives for strings; the first ``entries`` of them are kept."""
 
     def __init__(self, learn, entries: int):
-        self.learn, self.entries, self.kept = learn, entries, {}
+        self.learn, self.entries, self.known = learn, entries, {}
 
     def of(self, strings: set[str]) -> dict:
-        new = [s for s in strings if s not in self.kept]
-        here = dict(zip(new, self.learn(new)))
-        if len(self.kept) < self.entries:
-            self.kept.update(here)
-            return self.kept
-        kept = self.kept
-        here.update((s, kept[s]) for s in strings if s not in here)
+        """A table of ``strings`` alone: small enough for a processor's cache, unlike what is kept."""
+        known = self.known
+        here = {s: known[s] for s in strings if s in known}
+        new = [s for s in strings if s not in here]
+        learnt = dict(zip(new, self.learn(new)))
+        if len(known) < self.entries:
+            known.update(learnt)
+        here.update(learnt)
         return here
 
 
+def by_size(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``chars`` characters together."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class ByteBpeEncoder:
     """Ids of whole texts under a byte-level BPE tokenizer, as little-endian unsigned 32-bit bytes."""
 
@@ -89,8 +105,8 @@ class ByteBpeEncoder:
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each pre-token, by the library's model alone: nothing is left to normalise or to split."""
         merge, letters = self.tok.model.tokenize, self.letters
-        return [np.array([t.id for t in merge(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-                for w in words]
+        found = ([t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         with collector_off():

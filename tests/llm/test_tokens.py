@@ -158,6 +158,8 @@ def test_token_files(spark, tmp_path, segment_tokens):
         want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert Counter(tuple(r) for r in rans.token_index(spark, f"{tmp_path}/f").collect()) == Counter(want)
+    whole = rans.read_token_files(spark, f"{tmp_path}/f").collect()
+    assert Counter((r["doc_id"], r["n_tokens"], zlib.crc32(bytes(r["ids"]))) for r in whole) == Counter((d, n, c) for d, _, n, c in want)
 
 
 def test_token_files_of_nothing(spark, tmp_path):
