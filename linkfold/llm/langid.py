@@ -149,6 +149,8 @@ def train(docs: DataFrame, profile_size: int = 400, max_n: int = 5, docs_per_lan
                     cps = [spaced_letters(t) for t in part["text"].iloc[i:i + 200]]
                     cp = np.concatenate(cps)          # each ends and begins with a space, so no n-gram spans two texts
                     for n, at, h in grams(cp, max_n):
+                        if not len(h):   # a frame without rows has no types
+                            continue
                         _, first, c = np.unique(h, return_index=True, return_counts=True)
                         starts = at[first]
                         chars = cp.astype("<u4")[starts[:, None] + np.arange(n)]

@@ -222,14 +222,14 @@ def fingerprint_edits(docs: DataFrame, part_rows: int = 800, max_parts: int = 20
                 closed = bool(last)
                 held.append((doc, text, p, closed))
                 if len(held) > rows:
-                    yield _pairs(held)
+                    yield from _pairs(held)
                     held = held[-1:]
-        if held:
-            yield _pairs(held)
+        yield from _pairs(held)
 
-    def _pairs(held: list[tuple]) -> pd.DataFrame:
+    def _pairs(held: list[tuple]) -> Iterator[pd.DataFrame]:
         first = np.array([i for i in range(len(held) - 1) if not held[i][3]], np.int64)
-        return compare([h[0] for h in held], [h[1] for h in held], first, first + 1)
+        if len(first):   # a frame without rows has no types
+            yield compare([h[0] for h in held], [h[1] for h in held], first, first + 1)
 
     dealt = (src.select("doc_id", "text", "_key", F.explode(places("_key")).alias("_place"))
              .select("doc_id", "text", "_key", F.col("_place.part").alias("part"), F.col("_place.last").alias("last"))

@@ -75,6 +75,11 @@ def test_edges(spark):
     assert kept.columns == docs.columns and all(any(c.isalpha() for c in r["text"]) for r in kept.collect())
 
 
+def test_letters_too_short_for_long_grams(spark):
+    docs = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in enumerate(["a", "b c", "", "!", "a"])], SCHEMA)
+    assert {r["lang_pred"] for r in langid.identify(docs).collect()} <= {"x", "und"}
+
+
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert langid.identify(none).collect() == [] and langid.known_language(none).collect() == []
