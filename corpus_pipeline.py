@@ -24,8 +24,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least id: 4-word shingles, 4 bits or fewer apart."""
-    return simhash.drop_near_duplicates(docs, width=4, max_bits=4)
+    """One document of each group of near copies stays, the one with the least id: 4-word shingles, 4 bits or fewer apart.
+    Every row is a document, as in the other stages, whatever its id."""
+    return simhash.drop_near_duplicates(docs, width=4, max_bits=4, rows_apart=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

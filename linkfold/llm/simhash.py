@@ -14,8 +14,8 @@ only classes are compared:
 4. The forests' edges are joined by the library's connected components.
 
 Cases: null text is the empty text; texts without words have fingerprint zero and link like any other; rows with the same
-id count as one document; a null id takes the least other id of its class and is never a component's id; an empty table gives
-an empty result.
+id count as one document (``drop_near_duplicates`` can take them apart); a row with a null id is a document of its own, takes
+the least other id of its class and is never a component's id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.llm.common import boxed, stored, texts
+from linkfold.llm.exact_dedup import sha256
 from linkfold.operators.components import connected_components
 
 _BLOCK = 1 << 16
@@ -61,15 +62,16 @@ def fingerprint(data: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``(doc_id, fp)``, ``fp`` as a signed long with the fingerprint's bits."""
+def fingerprints(docs: DataFrame, width: int = 4, digest: bool = False) -> DataFrame:
+    """``(doc_id, fp)``, ``fp`` as a signed long with the fingerprint's bits; with ``digest`` also ``_sha``, the text's SHA-256."""
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in b["text"]], "<u8").view("<i8")
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "fp": fps})
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "fp": fps, **({"_sha": b["_sha"].array} if digest else {})})
 
-    src = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return src.mapInPandas(run, f"doc_id {dict(src.dtypes)['doc_id']}, fp long")
+    src = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"),
+                             *([sha256(F.col("text")).alias("_sha")] if digest else []))
+    return src.mapInPandas(run, f"doc_id {dict(src.dtypes)['doc_id']}, fp long" + (", _sha binary" if digest else ""))
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -216,6 +218,21 @@ def near_links(reps: DataFrame, max_bits: int = 4, sample: int = 50_000, shard:
     return (dealt.groupBy("shard", "pair").applyInPandas(forest, f"a {kind}, b {kind}").where("a <> b"))
 
 
+def _near_classes(fps: DataFrame, reps: DataFrame, max_bits: int, rows_apart: bool, **options) -> DataFrame:
+    """``reps(fp, ...)`` with ``root``, the same for all classes of a component."""
+    links = near_links(reps.select("fp", F.col("fp").alias("rep")), max_bits, **options)
+    if not rows_apart:   # an id with several fingerprints joins their classes
+        ids = fps.where("doc_id is not null")
+        several = stored(ids.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("_most")).where("a < _most")
+                         .select(F.col("doc_id").alias("_i"), "a"), "simhash-ids")
+        if not several.isEmpty():
+            same = ids.select("doc_id", "fp").distinct().join(several, F.col("doc_id") == F.col("_i")).where("fp <> a")
+            links = links.unionByName(same.select("a", F.col("fp").alias("b")).distinct())
+    found = connected_components(links, "a", "b").membership()
+    return stored(reps.join(found, reps["fp"] == found["node"], "left")
+                  .select(*reps.columns, F.coalesce("component", "fp").alias("root")), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, **options) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id, class_size`` (documents with that fingerprint)."""
     fps = stored(fingerprints(docs, width), "simhash-fps")
@@ -228,16 +245,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, **option
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the component's (least) id."""
-    kept = stored(near_duplicates(docs, width, max_bits, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                  .groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n")), "simhash-kept")
-    rows = boxed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")))
+def drop_near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, rows_apart: bool = False,
+                         **options) -> DataFrame:
+    """``docs`` with one row of each component: the one with the least id, a null id last, then with the least digest.
+
+    ``rows_apart``: rows are documents of their own, also where they share an id.
+    """
+    fps = stored(fingerprints(docs, width, digest=True), "simhash-fps")
+    # the row that stands for a class, and how many rows equal it in id and text
+    same = fps.groupBy("fp", "doc_id", "_sha").agg(F.count(F.lit(1)).alias("_n"))
+    reps = stored(same.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_sha", "_n"))
+                                         .alias("best")), "simhash-reps")
+    classes = _near_classes(fps, reps, max_bits, rows_apart, **options)
+    kept = stored(classes.groupBy("root").agg(F.min("best").alias("best"))
+                  .select(F.col("best.doc_id").alias("_keep"), F.col("best._sha").alias("_keep_sha"), F.col("best._n").alias("_n")),
+                  "simhash-kept")
+    rows = boxed(docs).withColumn("_sha", sha256(F.col("text"))).drop("text")
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_keep_sha")))
     if kept.where("_n > 1").isEmpty():
         return rows.select("row.*")
-    # rows that share an id are one document: the least text of them stands for it
-    least = (rows.where("_n > 1").groupBy("doc_id").agg(F.min("text").alias("_least"))
-             .select(F.col("doc_id").alias("_i"), "_least"))
-    several = (rows.where("_n > 1").join(least, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text") == F.col("_least")))
-               .dropDuplicates(["doc_id", "text"]))
-    return rows.where("_n = 1").select("row.*").unionByName(several.select("row.*"))
+    once = rows.where("_n > 1").dropDuplicates(["doc_id", "_sha"])   # rows equal in id and text
+    return rows.where("_n = 1").select("row.*").unionByName(once.select("row.*"))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 import xxhash
 
+import corpus_pipeline
 from linkfold.llm import simhash
 
 from corpus import SCHEMA, edge_rows, random_rows, table
@@ -128,3 +129,31 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none).collect() == []
     assert simhash.drop_near_duplicates(none).collect() == []
+
+
+def unlike(n, seed=5, words=60):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{w}" for w in rng.integers(0, 10**6, words)) for _ in range(n)]
+
+
+def by_id(pairs):
+    return sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, p[1]))
+
+
+def test_rows_with_null_and_repeated_ids_stay_apart(spark):
+    t = unlike(10)
+    rows = [(i, x, "en", "s", 1) for i, x in [
+        (None, t[0]), (None, t[1]), (None, t[2]), (1, t[3]), (1, t[4]), (1, t[5]), (2, t[6]), (2, t[7]), (7, t[0]), (8, t[3]),
+        (0, t[5]), (None, t[6]), (None, None), (9, t[8]), (9, t[8]), (None, t[9]), (None, t[9])]]
+    groups = {}
+    for r, c in zip(rows, brute_components([brute_fingerprint(r[1], 4) for r in rows], 4)):
+        groups.setdefault(c, []).append((r[0], r[1] or ""))
+    want = by_id(by_id(g)[0] for g in groups.values())
+    out = corpus_pipeline.near(spark, table(spark, rows), "").collect()
+    assert by_id((r["doc_id"], r["text"] or "") for r in out) == want and len(want) == 11
+
+
+def test_null_ids_are_no_shared_id(spark):
+    rows = [r for r in edge_rows() if r[0] is None]
+    out = simhash.drop_near_duplicates(table(spark, rows)).collect()
+    assert by_id((r["doc_id"], r["text"] or "") for r in out) == [(None, ""), (None, "a null id")]
