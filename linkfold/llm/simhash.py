@@ -15,7 +15,7 @@ only classes are compared:
 
 Cases: null text is the empty text; texts without words have fingerprint zero and link like any other; rows with the same
 id count as one document (``drop_near_duplicates`` can take them apart); a row with a null id is a document of its own, takes
-the least other id of its class and is never a component's id; an empty table gives an empty result.
+the least other id of its component and is never a component's id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -237,10 +237,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, **option
     """One row per document: ``doc_id, fingerprint, component_id, class_size`` (documents with that fingerprint)."""
     fps = stored(fingerprints(docs, width), "simhash-fps")
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "simhash-reps")
-    links = near_links(reps.select("fp", "rep").where("rep is not null"), max_bits, **options)
-    found = connected_components(links, "a", "b").membership()
-    named = (reps.join(found, reps["rep"] == found["node"], "left")
-             .select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"), "class_size"))
+    classes = _near_classes(fps, reps, max_bits, False, **options)
+    least = stored(classes.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("component_id")), "simhash-least")
+    named = stored(classes.join(least, F.col("root") == F.col("_root"))
+                   .select(F.col("fp").alias("_fp"), "component_id", "class_size"), "simhash-named")
     return fps.join(named, fps["fp"] == named["_fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
 

@@ -157,3 +157,28 @@ def test_null_ids_are_no_shared_id(spark):
     rows = [r for r in edge_rows() if r[0] is None]
     out = simhash.drop_near_duplicates(table(spark, rows)).collect()
     assert by_id((r["doc_id"], r["text"] or "") for r in out) == [(None, ""), (None, "a null id")]
+
+
+def chain(bits):
+    """Three texts, the first and the last more than ``bits`` apart, the middle one within ``bits`` of both."""
+    apart = lambda x, y: bin(brute_fingerprint(x, 4) ^ brute_fingerprint(y, 4)).count("1")
+    for seed in range(1000):
+        words = unlike(1, seed, 300)[0].split()
+        a, b, c = (" ".join(["new"] * k + words[k:300 - k] + ["end"] * k) for k in (0, 3, 6))
+        if apart(a, b) <= bits and apart(b, c) <= bits < apart(a, c):
+            return a, b, c
+    raise AssertionError("no chain")
+
+
+def test_a_text_with_a_null_id_links_two_others(spark):
+    a, b, c = chain(4)
+    far = unlike(3, 77)
+    rows = [(i, x, "en", "s", 1) for i, x in [(5, a), (None, b), (3, c), (None, far[0]), (8, far[1]), (None, far[1]),
+                                              (2, far[2]), (8, far[2])]]
+    got = simhash.near_duplicates(table(spark, rows)).collect()
+    name = {f"{brute_fingerprint(x, 4):016x}": x for x in (a, b, c, *far)}
+    assert sorted((name[r["fingerprint"]], str(r["doc_id"]), r["component_id"], r["class_size"]) for r in got) == sorted([
+        (a, "5", 3, 1), (b, "None", 3, 1), (c, "3", 3, 1), (far[0], "None", None, 1), (far[1], "8", 2, 2),
+        (far[1], "None", 2, 2), (far[2], "2", 2, 2), (far[2], "8", 2, 2)])   # id 8 has two texts: one document
+    out = corpus_pipeline.near(spark, table(spark, rows), "").collect()
+    assert by_id((r["doc_id"], r["text"]) for r in out) == [(2, far[2]), (3, c), (8, far[1]), (None, far[0])]
