@@ -1,3 +1,4 @@
+import inspect
 import re
 
 import numpy as np
@@ -182,3 +183,10 @@ def test_a_text_with_a_null_id_links_two_others(spark):
         (far[1], "None", 2, 2), (far[2], "2", 2, 2), (far[2], "8", 2, 2)])   # id 8 has two texts: one document
     out = corpus_pipeline.near(spark, table(spark, rows), "").collect()
     assert by_id((r["doc_id"], r["text"]) for r in out) == [(2, far[2]), (3, c), (8, far[1]), (None, far[0])]
+
+
+def test_default_shards_split_as_many_classes_as_a_small_input_has():
+    default = inspect.signature(simhash.near_links).parameters
+    a = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 50_000, np.uint64, endpoint=False))
+    tree = simhash.fit_tree(a[:default["sample"].default], len(a), default["shard"].default, 4)
+    assert len({shard for shard, _, _ in simhash.route(tree, a, 4)}) > 1   # no one task compares everything
