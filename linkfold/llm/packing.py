@@ -94,13 +94,13 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, fan_in: int =
     """
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, lens = [], []
-        group = TaskContext.get().partitionId()
+        group = TaskContext.get().partitionId()   # and, from bit 32 on, the number of the go
         for b in batches:
             rows += [[r] for r in b["piece_row"].tolist()]
             lens += [[n] for n in b["length"].tolist()]
             if len(rows) >= group_items:   # a huge partition packs in several goes
                 yield _packed(group, rows, lens, capacity, slack)
-                rows, lens = [], []
+                rows, lens, group = [], [], group + (1 << 32)
         if rows:
             yield _packed(group, rows, lens, capacity, slack)
 
@@ -108,6 +108,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, fan_in: int =
         return _packed(int(key[0]), group["rows"].tolist(), group["lens"].tolist(), capacity, slack)
 
     level = stored(pieces.select("piece_row", "length").mapInPandas(local, _BIN), "pack-0")
+    pid, go = F.col("grp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("grp", 32)
+    first = level.agg(F.max(pid).alias("pid"), F.max(go).alias("go")).first()
+    if first["go"]:   # every go is a group of its own
+        level = level.withColumn("grp", go * F.lit(first["pid"] + 1) + pid)
     done, before = [], None
     while True:
         state = level.where("open").agg(F.count(F.lit(1)).alias("n"), (F.max("grp") + 1).alias("g"),

@@ -107,6 +107,19 @@ def test_packed_sequences_hold_the_ids(spark):
         assert data[4 * r["offset"]:4 * r["offset"] + len(mine)] == mine
 
 
+def test_goes_of_one_partition_are_merged(spark):
+    from linkfold.llm.common import numbered
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        pieces = numbered(spark.range(0, 1000, 1, 1).selectExpr("if(id % 50 = 7, 5L, 64L) as length"), "test-goes", "piece_row")
+        layout = packing.pack(pieces, capacity=64, slack=1, group_items=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["piece_row"] for r in layout) == sorted(r["piece_row"] for r in pieces.collect())
+    # 20 short pieces, two in each of ten goes, fill two sequences
+    assert len({r["sequence_id"] for r in layout}) == 980 + 2
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), BYTE).collect() == []
 
