@@ -61,8 +61,9 @@ def source_targets(sources: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1
 
 @dataclass
 class Mix:
-    """``documents``: one row each; ``pieces``: the mix in order, ``slot, sid, block, _row,
-    doc_id, pass, from_word, to_word`` (words of the document, ``to_word`` exclusive)."""
+    """``documents``: one row each, with its words ``taken``, the ``first_slot`` that takes some (null if none does) and
+    its ``n_blocks``; ``pieces``: the mix in the order ``slot, at``, as ``slot, at, sid, block, _row, doc_id, pass, from_word,
+    to_word`` (words of the document, ``to_word`` exclusive; ``at`` is the place in the block)."""
     documents: DataFrame
     pieces: DataFrame
 
@@ -102,15 +103,18 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ca
     in_blocks = (spans.withColumn("block", F.explode(F.sequence(
                      F.floor(F.col("_from") / block).cast("long"), F.floor((F.col("_to") - 1) / block).cast("long"))))
                  .withColumn("from_word", F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("_from")))
-                 .withColumn("to_word", F.least(F.col("_to"), (F.col("block") + 1) * block) - F.col("_from")))
+                 .withColumn("to_word", F.least(F.col("_to"), (F.col("block") + 1) * block) - F.col("_from"))
+                 .withColumn("at", F.col("_from") + F.col("from_word") - F.col("block") * block))
 
     slots = schedule(targets, total, n_slots, max_buckets)
     pieces = in_blocks.join(slots, ["sid", "block"]).select(
-        "slot", "sid", "block", "_row", "doc_id", "pass", "from_word", "to_word")
-    taken = pieces.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
+        "slot", "at", "sid", "block", "_row", "doc_id", "pass", "from_word", "to_word")
+    taken = pieces.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"),
+                                       F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("_blocks"))
     documents = stream.join(taken, "_row", "left").select(
         "_row", "doc_id", "source", "size", "source_size", "target",
-        F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+        F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "first_slot",
+        F.coalesce("_blocks", F.lit(0)).cast("long").alias("n_blocks"))
     return Mix(documents, pieces)
 
 
@@ -145,10 +149,13 @@ def schedule(targets: DataFrame, total: float, n_slots: int, max_buckets: int =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: whole rows, each as often as the words taken from it fill it (rounded;
-    only the document at which a source's target ends is taken in part). A row without words goes."""
+    only the document at which a source's target ends is taken in part), in the order of the slots at which the
+    copies begin: range-partitioned, and sorted in each partition. A row without words goes."""
     rows = numbered(boxed(docs).withColumn("source", F.col("row.source")), "mix-rows", "_mix_row")
-    taken = mix_sources(rows, row_col="_mix_row", **options).documents
-    copies = (taken.where("taken > 0")
-              .select(F.col("_row").alias("_mix_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-              .where("_n > 0").select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")))
-    return rows.join(copies, "_mix_row").select("row.*")
+    pieces = mix_sources(rows, row_col="_mix_row", **options).pieces
+    # a pass reads a document from its first word on; it gives a copy if it takes half of the words or more
+    copies = (pieces.groupBy(F.col("_row").alias("_copy_of"), "pass").agg(
+        F.min(F.struct("slot", "at")).alias("_place"), F.sum(F.col("to_word") - F.col("from_word")).alias("_taken")))
+    joined = rows.withColumn("_size", F.regexp_count("text", F.lit(SPACE_WORD))).drop("text", "source", "doc_id")
+    return (joined.join(copies, F.col("_mix_row") == F.col("_copy_of")).where("2 * _taken >= _size")
+            .repartitionByRange("_place").sortWithinPartitions("_place").select("row.*"))

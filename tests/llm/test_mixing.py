@@ -76,6 +76,25 @@ def test_mixed_documents_are_whole_rows(spark):
     assert all(r["text"] in texts and words(r["text"]) for r in out.collect())
 
 
+def test_documents_are_in_the_order_of_their_slots(spark):
+    rows = [(i, f"d{i} " * 50, "en", f"s{i % 4}", 100) for i in range(400)]
+    docs = table(spark, rows)
+    mix = mix_sources(docs, block=50)
+    first, blocks = {}, {}
+    for r in mix.pieces.collect():
+        first.setdefault((r["doc_id"], r["pass"]), []).append((r["slot"], r["at"]))
+        blocks[r["doc_id"]] = blocks.get(r["doc_id"], 0) + 1
+    begin = {k: min(v) for k, v in first.items()}
+    taken = {}
+    for r in mix.documents.collect():
+        slots = [s for (d, _), (s, _) in begin.items() if d == r["doc_id"]]
+        assert (r["first_slot"], r["n_blocks"]) == (min(slots, default=None), blocks.get(r["doc_id"], 0))
+        taken[r["doc_id"]] = round(r["taken"] / r["size"])
+    want = [d for (d, k), _ in sorted(begin.items(), key=lambda x: x[1]) if k < taken[d]]
+    got = [r["doc_id"] for r in mixed_documents(docs, block=50).collect()]
+    assert got == want and len(got) == 600
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mix_sources(none).documents.collect() == []
