@@ -1,7 +1,14 @@
+import hashlib
+import random
+import struct
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -9,6 +16,8 @@ from linkfold.llm import packing, queries, simhash
 from linkfold.llm.common import read_documents
 
 from corpus import SCHEMA, edge_rows, table
+from test_mixing import targets, words
+from test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +85,52 @@ def test_stages_on_odd_and_empty_tables(spark, name):
     if name != "best_fit_packing":
         assert out.columns == docs.columns
     assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
+
+
+def plain_pipeline(rows):
+    """The stages in plain Python. Rows with null or repeated ids are of a source that the mix takes whole, so ties in
+    its shuffle do not matter."""
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).digest())
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    single = {}
+    for r in rows:
+        if r[1] not in single or (r[0] is not None and (single[r[1]][0] is None or r[0] > single[r[1]][0])):
+            single[r[1]] = r
+    rows, groups = list(single.values()), {}
+    for r, c in zip(rows, brute_components([brute_fingerprint(r[1], 4) for r in rows], 4)):
+        groups.setdefault(c, []).append(r)
+    rows = [min(g, key=key) for g in groups.values()]
+    want, size = targets(rows)
+    mixed = []
+    for source, target in want.items():
+        mine, left = [r for r in rows if r[3] == source], round(target)
+        if left == 2 * size[source]:
+            mixed += mine * 2
+            continue
+        hashed = lambda r: xxhash.xxh64_intdigest(struct.pack("<i", 42), xxhash.xxh64_intdigest(struct.pack("<q", r[0]), 42))
+        for r in sorted(mine, key=lambda r: struct.unpack("<q", struct.pack("<Q", hashed(r)))) * 2:
+            n = min(left, words(r[1]))
+            left -= n
+            mixed += [r] * (n > 0 and 2 * n >= words(r[1]))
+    lib, out = Tokenizer.from_file(queries.BYTE_BPE), Counter()
+    for r in mixed:
+        ids = np.array([*lib.encode(r[1], add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        out.update((r[0], k, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    return out, len(groups)
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 5))) for _ in range(40)]
+    text = lambda n=60: " ".join(rng.choices(vocab, k=n))
+    rows = [(100 + i, text(), "en", "b", 1) for i in range(60)] + [(300, text(5000), "en", "b", 1)]
+    rows += [(i, text(), "en", "a", 1) for i in (None, None, None, 1, 1, 1, 2, 2)]
+    rows += [(i, rows[k][1], "en", "b", 1) for i, k in ((201, 3), (202, 3))] + [rows[61], rows[64]]
+    rows += [(203, rows[4][1].upper(), "en", "b", 1), (None, rows[66][1].upper(), "en", "a", 1),
+             (204, "123 456", "en", "b", 1), (205, None, "en", "b", 1), (None, "", "en", "a", 1)]
+    want, documents = plain_pipeline(rows)
+    assert documents == 69
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got) == want
