@@ -104,7 +104,7 @@ def run_kmeans(spark: SparkSession, a: argparse.Namespace) -> dict:
 
     raw = read_vectors_csv(spark, a.input, n_features=a.features, sep=a.sep)
     # contiguous ids from 0 (what zipWithIndex gives), in the order of Spark's input splits
-    points = row_index(raw.withColumn("_pos", F.monotonically_increasing_id()), ["_pos"], "id") \
+    points = row_index(raw.withColumn("_pos", F.monotonically_increasing_id()), ["_pos"], "id", position=["_pos"]) \
         .select("id", "features", "label")
     t0 = time.time()
     res = km.kmeans(points, km.init_by_sample(points, a.k, a.seed), max_steps=a.max_steps)

@@ -21,7 +21,7 @@ from linkfold.functions.vectors import centers_literal, euclidean_distance, vect
 from linkfold.operators import kmeans as km
 from linkfold.operators.components import connected_components, iterate
 from linkfold.operators.keyed import attach_group_min, key_stats
-from linkfold.operators.ordering import chunked_lists, partition_profile, rank_in_group, row_index
+from linkfold.operators.ordering import chunked_lists, partition_profile, rank_in_group, row_index, sorted_sets
 from linkfold.operators.pairs import (as_pairs, dedup_pairs, distinct_nodes, mirror_distinct,
                                       mirror_explode, mirror_union, relabel_case,
                                       relabel_ordered, reverse_pairs)
@@ -193,6 +193,11 @@ def q_neighbor_set(spark, sf):
     return _chunked_list(mirrored(spark, sf), "n1", "n2", "nbrs")
 
 
+def q_neighbor_sorted(spark, sf):
+    """Sorted sets from the bag of both directions: one sort orders the values and finds the repeats."""
+    return _joined(sorted_sets(mirror_union(as_pairs(edges(spark, sf))), "n1", "n2", "nbrs", MEMBER_CHUNK), "nbrs")
+
+
 def q_neighbor_list(spark, sf):
     return _chunked_list(mirror_union(as_pairs(edges(spark, sf))), "n1", "n2", "nbrs")
 
@@ -480,7 +485,7 @@ QUERIES: dict[str, Query] = {
     # aggregations and windows
     "neighbor_min": q_neighbor_min,
     "neighbor_set": q_neighbor_set,
-    "neighbor_sorted": q_neighbor_set,   # the lists come from a sort: set and sorted set are one
+    "neighbor_sorted": q_neighbor_sorted,
     "neighbor_list": q_neighbor_list,
     "array_min_key": q_array_min_key,
     "dedup_pairs": q_dedup_pairs,

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from conftest import SF0001
 from linkfold.operators import kmeans as km
 from linkfold.operators.keyed import attach_group_min
-from linkfold.operators.ordering import chunked_lists, partition_profile, previous_in_group, rank_in_group, row_index
+from linkfold.operators.ordering import (chunked_lists, ordered, partition_carries, partition_profile, previous_in_group,
+                                         rank_in_group, row_index, running_totals, sorted_sets)
 from linkfold.operators.reports import component_members, top_components
 from linkfold.sources.edges import (duplicate_doc_edges, edge_report, embedding_vectors, order_part_edges,
                                     read_edges_csv, read_edges_text, read_vectors_csv,
                                     write_edges_text)
+from linkfold.storage import scratch
 
 
 def test_row_index_is_contiguous_in_order(spark):
@@ -132,6 +134,58 @@ def test_rank_in_group_with_one_hot_group_across_partitions(spark, parts):
     assert got == sorted(want)
 
 
+def test_carries_are_one_row_per_partition(spark):
+    """One group over 400 range partitions: as many carry rows as partitions, not their square."""
+    rows = [("a", 1)] + [("hot", i) for i in range(2000)] + [("z", i) for i in range(3)]
+    t = ordered(spark.createDataFrame(rows, "g string, v long"), ["g", "v"], 400)
+    carries = partition_carries(t, {"n": F.lit(1)}, ["g"])
+    n_parts = t.select("_pid").distinct().count()
+    assert n_parts > 300 and carries.count() == n_parts
+    plan = carries._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = sorted((r.g, r.v, r.n) for r in running_totals(t, {"n": F.lit(1)}, ["g"]).collect())
+    assert got == sorted((g, v, v if g != "a" else 0) for g, v in rows)
+
+
+@pytest.mark.parametrize("parts", [None, 2, 60])
+def test_running_totals_against_a_loop(spark, parts):
+    import random
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), i, rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(4)
+    got = {(r.g, r.o): (r.s, r.n) for r in running_totals(ordered(df, ["g", "o"], parts), {"s": F.col("v"), "n": F.lit(1)}, ["g"]).collect()}
+    want, seen = {}, {}
+    for g, o, v in sorted(rows, key=lambda r: r[1]):
+        want[g, o] = seen.get(g, (0, 0))
+        seen[g] = (want[g, o][0] + v, want[g, o][1] + 1)
+    assert got == want
+    whole = {r.o: r.s for r in running_totals(ordered(df, ["o"], parts), {"s": F.col("v")}).collect()}
+    assert whole == {o: sum(r[2] for r in rows[:o]) for _, o, _ in rows}
+
+
+@pytest.mark.parametrize("parts", [None, 50])
+def test_sorted_sets_drop_repeats_across_partitions(spark, parts):
+    rows = [("hot", 7)] * 400 + [("hot", i) for i in range(25)] + [("b", 2), ("b", 2), ("b", 1), (None, 3), (None, 3), ("n", None)]
+    got = {(r.g, r.chunk): r["values"] for r in
+           sorted_sets(spark.createDataFrame(rows, "g string, v long").repartition(5), "g", "v", size=10, num_partitions=parts).collect()}
+    assert got == {("hot", 0): list(range(10)), ("hot", 1): list(range(10, 20)), ("hot", 2): list(range(20, 25)),
+                   ("b", 0): [1, 2], (None, 0): [3], ("n", 0): []}
+
+
+def test_row_index_stores_only_order_and_position(spark, tmp_path):
+    rows = [(i, i * 37 % 100 // 2, f"a long text {i}" * 5) for i in range(100)]
+    spark.createDataFrame(rows, "key long, v long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    with scratch(spark, keep=True) as owned:
+        got = sorted((r.idx, r.v, r.key, r.text) for r in
+                     row_index(df, ["v"], num_partitions=4, position=["_metadata.file_path", "_metadata.row_index"]).collect())
+        stored = [spark.read.parquet(p).columns for p in owned.paths]
+    owned.release()
+    assert [g[0] for g in got] == list(range(100)) and [g[1] for g in got] == sorted(r[1] for r in rows)
+    assert sorted((k, v, t) for _, v, k, t in got) == rows
+    assert stored == [["_o0", "_k0", "_k1", "_mid"]]
+
+
 def test_lists_are_whole_up_to_their_size_for_any_type(spark):
     big = 2**62 + 1023
     rows = [(1, big), (1, 3), (1, 3), (2, -5)] + [(3, i) for i in range(25)]
