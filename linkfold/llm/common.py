@@ -13,8 +13,12 @@ from linkfold.storage import drop_path, new_scratch_path, write_table
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -1,5 +1,5 @@
-"""The registered queries of this package, ``name -> (spark, sf_dir) -> DataFrame``, over the whole ``documents``
-table with production parameters, and the DuckDB SQL of those that SQL can express."""
+"""The registered queries of this package, ``name -> (spark, sf_dir) -> DataFrame``, over the whole ``documents`` (or
+``conversations``) table with production parameters, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm import (exact_dedup, langid, licenses, mixing, packing, rans, simhash, sketches, suffix_dedup,
-                          token_counts)
-from linkfold.llm.common import read_documents
+from linkfold.llm import (conversations, exact_dedup, filter_audit, langid, licenses, mixing, packing, rans, sharding, simhash,
+                          sketches, suffix_dedup, token_counts)
+from linkfold.llm.common import read_documents, read_table
 from linkfold.storage import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,9 +67,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_documents(spark, sf_dir), shards=8)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    repair = conversations.repair_conversations(conversations.damaged(rows))
+    digests = conversations.repaired_digests(repair.turns).withColumnRenamed("conv", "_conv")
+    every = rows.select("conv_id", F.col("conv_id").cast("string").alias("_id")).distinct()
+    found = (every.join(repair.conversations, F.col("_id").eqNullSafe(F.col("conv")), "left")
+             .join(digests, F.col("_id").eqNullSafe(F.col("_conv")), "left"))
+    sums = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *sums, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_files, op3_token_counts, op4_simhash_near_dedup,
-    op5_document_fingerprints, op6_language_id, op7_license_scan, op8_source_mix, op9_exact_dedup, op10_suffix_dedup)}
+    op5_document_fingerprints, op6_language_id, op7_license_scan, op8_source_mix, op9_exact_dedup, op10_suffix_dedup,
+    op11_sharding, op12_conversation_repair, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op7_license_scan": licenses.scan_sql(),
@@ -79,4 +100,5 @@ SQL: dict[str, str] = {
         from documents
         window same as (partition by coalesce(text, ''))
     """,
+    "op13_filter_audit": filter_audit.audit_sql(),
 }

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from linkfold.llm import packing, queries, simhash
-from linkfold.llm.common import read_documents
+from linkfold.llm.common import read_documents, read_table
 
 from corpus import SCHEMA, edge_rows, table
 from test_mixing import targets, words
@@ -24,14 +24,15 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names and set(queries.SQL) <= names
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_its_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.SQL[name])
     cols = [c[0] for c in want.description]
     got = entry.queries()[name](spark, SF)
@@ -42,7 +43,8 @@ def test_query_against_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_other_queries_cover_the_table(spark, name):
     got = entry.queries()[name](spark, SF)
-    assert got.select("doc_id").distinct().count() == read_documents(spark, SF).count()
+    table, key = ("conversations", "conv_id") if name == "op12_conversation_repair" else ("documents", "doc_id")
+    assert got.select(key).distinct().count() == read_table(spark, SF, table).select(key).distinct().count()
 
 
 def test_stages(spark):

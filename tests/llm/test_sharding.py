@@ -1,0 +1,105 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from linkfold.llm.sharding import minimax_cuts, shard_documents, write_shards
+
+from corpus import SCHEMA, edge_rows, random_rows, table
+
+
+def least_capacity(sizes, shards):
+    """Binary search with a greedy check over the plain list."""
+    def fits(cap):
+        used, left = 1, cap
+        for s in sizes:
+            if s > cap:
+                return False
+            if s > left:
+                used, left = used + 1, cap
+            left -= s
+        return used <= shards
+    lo, hi = 0, sum(sizes)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+    return hi
+
+
+@pytest.mark.parametrize("cells", [16, 200, 8192])
+@pytest.mark.parametrize("shards", [1, 2, 8, 40])
+def test_cuts_have_the_least_capacity(spark, cells, shards):
+    rng = random.Random(cells + shards)
+    for sizes in ([rng.randint(1, 1000) for _ in range(300)], [1] * 50, [5], [rng.randint(1, 9) for _ in range(60)] + [5000],
+                  [10**12 + rng.randint(0, 10**9) for _ in range(100)]):
+        ends = [sum(sizes[:k]) for k in range(len(sizes))]
+        places = spark.createDataFrame([(e,) for e in ends], "at long").repartition(2).cache()
+        capacity, cuts = minimax_cuts(places, sum(sizes), shards, cells)
+        places.unpersist()
+        assert len(cuts) == shards - 1 and set(cuts) <= {*ends, sum(sizes)} and cuts == sorted(cuts)
+        pieces = [b - a for a, b in zip([0, *cuts], [*cuts, sum(sizes)])]
+        assert max(pieces) <= capacity == least_capacity(sizes, shards)
+
+
+def check(rows, out, shards=8):
+    text = [(r[1] or "").encode() for r in rows]
+    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in out)) == sorted(
+        (r[0] is not None, r[0] or 0, len(t) + 1, zlib.crc32(t)) for r, t in zip(rows, text))
+    assert {r["law"] for r in out} <= {"bytes"} and {r["grown_shard"] for r in out} <= {None}
+    held, of_group = {}, {}
+    for r in out:
+        held.setdefault(r["shard"], []).append(r)
+        of_group.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in of_group.values())          # equal texts share a shard
+    assert all(sorted(r["slot"] for r in part) == list(range(len(part))) for part in held.values())
+    groups = {}
+    for t in text:
+        d = hashlib.sha256(t).digest()
+        groups[d] = groups.get(d, 0) + len(t) + 1
+    left, large = sum(groups.values()), []
+    for d in sorted(groups, key=lambda d: (-groups[d], d)):      # those above an even share come first
+        if groups[d] * (shards - len(large)) > left and len(large) < shards - 1:
+            left -= groups[d]
+            large.append(d)
+        else:
+            break
+    sizes = [groups[d] for d in [*large, *sorted(set(groups) - set(large))]]
+    assert max(sum(r["size"] for r in part) for part in held.values()) == least_capacity(sizes, shards)
+    return {k: sum(r["size"] for r in part) for k, part in held.items()}
+
+
+def test_odd_rows(spark):
+    rows = edge_rows()
+    check(rows, shard_documents(table(spark, rows)).collect())
+    assert shard_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_random_texts_are_even_and_reruns_agree(spark):
+    rows = random_rows(400)
+    runs = [shard_documents(table(spark, rows, partitions=p), cells=c).collect() for p, c in ((2, 64), (7, 8192))]
+    sizes = check(rows, runs[0])
+    assert len(sizes) == 8 and max(sizes.values()) < 1.2 * min(sizes.values())
+    assert sorted(map(tuple, runs[0])) == sorted(map(tuple, runs[1]))
+
+
+def test_one_text_with_a_third_of_all_bytes(spark):
+    rows = [(i, "the same " * 20, "en", "s", 1) for i in range(200)] + [(1000 + i, f"text {i} " * 20, "en", "s", 1) for i in range(400)]
+    sizes = check(rows, shard_documents(table(spark, rows)).collect())
+    rest = sorted(sizes.values())[:-1]
+    assert len(rest) == 7 and max(rest) < 1.2 * min(rest)       # the others share the rest
+
+
+def test_plan_has_no_python(spark):
+    plan = shard_documents(table(spark, random_rows(20)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_written_shards_are_whole_rows_in_slot_order(spark, tmp_path):
+    rows = edge_rows()
+    docs = table(spark, rows).withColumnRenamed("slot", "shard")
+    write_shards(docs, str(tmp_path / "out"), shards=3)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == [*docs.columns, "_shard"] and got.count() == len(rows)
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["text"] is None) for r in got.collect()) == sorted(
+        (str(r[0]), r[1] or "", r[1] is None) for r in rows)
