@@ -2,6 +2,7 @@
 
     python -m linkfold components --input edges.tsv --output out/ [--sep TAB] [--header]
         [--id-type long|string] [--comment '#'] [--skip-lines N] [--on-bad fail|drop] [--strategy join]
+        [--resume NAME]
         [--format parquet|csv] [--include-roots] [--partitions N] [--checkpoint-dir DIR] [--top 20]
     python -m linkfold kmeans --input points.csv --output out/ [--k 3] [--features 4]
         [--sep ,] [--seed 42] [--max-steps 100] [--format parquet|csv] [--checkpoint-dir DIR]
@@ -48,7 +49,9 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--on-bad", choices=("fail", "drop"), default="fail",
                    help="rows with a missing field or one that is not of the id type")
     c.add_argument("--id-type", choices=("long", "string"), default="long")
-    c.add_argument("--strategy", choices=("join", "collect", "sorted", "window"), default="join")
+    c.add_argument("--strategy", choices=("join", "collect", "sorted", "window", "contract"), default="join")
+    c.add_argument("--resume", default=None, metavar="NAME",
+                   help="name of the run: started again under it, a run goes on after its last finished round")
     c.add_argument("--include-roots", action="store_true")
     c.add_argument("--top", type=int, default=20)
     k = sub.choices["kmeans"]
@@ -79,7 +82,10 @@ def run_components(spark: SparkSession, a: argparse.Namespace) -> dict:
     source = {"sep": a.sep, "header": a.header, "id_type": a.id_type, "comment": a.comment, "skip_lines": a.skip_lines}
     edges = read_edges_csv(spark, a.input, on_bad=a.on_bad, **source)
     t0 = time.time()
-    res = connected_components(edges, strategy=a.strategy, num_partitions=a.partitions)
+    if a.resume and a.strategy == "contract":
+        raise SystemExit("--resume needs a strategy of rounds, not contract")
+    resume = {"resume": a.resume} if a.resume else {}
+    res = connected_components(edges, strategy=a.strategy, num_partitions=a.partitions, **resume)
     read = edge_report(spark, a.input, **source).first()
     t1 = time.time()
     write_result(res.membership(include_roots=a.include_roots), a.output, fmt=a.format)

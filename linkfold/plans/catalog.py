@@ -233,10 +233,20 @@ def q_relabel_ordered(spark, sf):
                     F.col("mn").alias("n2"))
 
 
+def _relabelled_by_function(m: DataFrame) -> DataFrame:
+    fn = register_relabel(m, "n1")
+    return m.sparkSession.sql(f"SELECT {fn}(n1, mn, n2) AS n1, mn AS n2 FROM {{m}} WHERE mn < n1", m=m)
+
+
 def q_sql_function_relabel(spark, sf):
-    fn = register_relabel(spark)
-    return spark.sql(f"SELECT {fn}(n1, mn, n2) AS n1, mn AS n2 FROM {{m}} WHERE mn < n1",
-                     m=_with_min(spark, sf))
+    return _relabelled_by_function(_with_min(spark, sf))
+
+
+def q_sql_function_relabel_text(spark, sf):
+    """The same function over string ids; both live in one session."""
+    e = as_string_ids(edges(spark, sf))
+    m = attach_group_min(mirror_distinct(as_pairs(e)), "n1", "n2", "mn", cold="join", n_rows_bound=2 * e.count())
+    return _relabelled_by_function(m)
 
 
 def q_edges_join_min(spark, sf):
@@ -269,8 +279,8 @@ def q_id_cast_order(spark, sf):
 
 # ----------------------------------------------------------------- components
 
-def _cc(g):
-    return lambda spark, sf: membership(spark, sf, g)
+def _cc(g, strategy="join"):
+    return lambda spark, sf: membership(spark, sf, g, strategy)
 
 
 def _trace(g):
@@ -475,6 +485,7 @@ QUERIES: dict[str, Query] = {
     "relabel_case": q_relabel_case,
     "relabel_ordered": q_relabel_ordered,
     "sql_function_relabel": q_sql_function_relabel,
+    "sql_function_relabel_text": q_sql_function_relabel_text,
     "explode_neighbors": q_explode_neighbors,
     "sorted_edges": q_sorted_edges,
     "id_cast_order": q_id_cast_order,
@@ -502,6 +513,8 @@ QUERIES: dict[str, Query] = {
     "connected_components": _cc("e1"),
     "connected_components_e2": _cc("e2"),
     "connected_components_e3": _cc("e3"),
+    "connected_components_contract": _cc("e1", "contract"),
+    "connected_components_contract_e3": _cc("e3", "contract"),
     "components_lexical": q_components_lexical,
     "cc_trace": _trace("e2"),
     "cc_trace_e1": _trace("e1"),

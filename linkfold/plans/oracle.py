@@ -174,6 +174,8 @@ SQL: dict[str, str] = {
                         f"from ({_with_min()}) where mn < n1"),
     "sql_function_relabel": (f"select case when n2 = mn then n1 else n2 end as n1, mn as n2 "
                              f"from ({_with_min()}) where mn < n1"),
+    "sql_function_relabel_text": (f"select case when n2 = mn then n1 else n2 end as n1, mn as n2 "
+                                  f"from ({_with_min('e1_text')}) where mn < n1"),
     "explode_neighbors": _mirror("e1"),
     "sorted_edges": f"select src, dst from ({E1}) order by src, dst",
     "id_cast_order": (f"select src, dst, src < dst as numeric_lt, "
@@ -208,6 +210,8 @@ SQL: dict[str, str] = {
     "connected_components": _membership("e1"),
     "connected_components_e2": _membership("e2"),
     "connected_components_e3": _membership("e3"),
+    "connected_components_contract": _membership("e1"),
+    "connected_components_contract_e3": _membership("e3"),
     "components_lexical": _membership("e1_text"),
     "cc_trace": _trace("e2"),
     "cc_trace_e1": _trace("e1"),

@@ -24,6 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- text edge lists
 
+MAX_STARTS = 200_000   # files whose first rows are broadcast: a path and a number each, some 30 MB
+
 def _raw_edges(spark: SparkSession, path, sep: str, header: bool, comment: str | None, skip_lines: int) -> DataFrame:
     """``(src, dst, _lead)``: the first two fields of every line as strings, null where a line has fewer; ``_lead`` marks lead
     lines. They are dropped by the same expression that judges the other rows, as a filter of its own could run after it."""
@@ -37,9 +39,16 @@ def _raw_edges(spark: SparkSession, path, sep: str, header: bool, comment: str |
                                          F.col("_metadata.file_block_start").alias("_at"),
                                          F.monotonically_increasing_id().alias("_mid"))
     # a file's lead lines are the first rows of its first split; one row per file says where that begins
-    starts = lines.where("_at = 0").groupBy(F.col("_file").alias("_f")).agg(F.min("_mid").alias("_start"))
-    body = (lines.join(starts, F.col("_file") == F.col("_f")).where("trim(value) <> ''")
-            .withColumn("_lead", (F.col("_at") == 0) & (F.col("_mid") - F.col("_start") < skip_lines)))
+    starts = write_table(lines.where("_at = 0").groupBy(F.col("_file").alias("_f")).agg(F.min("_mid").alias("_start")),
+                         new_scratch_path(spark, "file-starts"))
+    place = (F.col("_file") == F.col("_f")) & (F.col("_at") == 0)
+    if starts.count() <= MAX_STARTS:   # matched map-side: no line moves
+        body = lines.join(F.broadcast(starts), place, "left")
+    else:   # only lines of first splits meet their file's row, at most one split of them for each file
+        first = lines.where("_at = 0").join(starts.hint("merge"), F.col("_file") == F.col("_f"), "left")
+        body = first.unionByName(lines.where("_at <> 0").withColumns({"_f": F.lit(None).cast("string"), "_start": F.lit(None).cast("long")}))
+    body = (body.where("trim(value) <> ''")
+            .withColumn("_lead", F.coalesce((F.col("_at") == 0) & (F.col("_mid") - F.col("_start") < skip_lines), F.lit(False))))
     if comment:
         body = body.where(~F.col("value").startswith(comment))
     parts = F.split("value", "\\Q" + sep + "\\E")

@@ -14,6 +14,7 @@ a local session has none.
 from __future__ import annotations
 
 import contextlib
+import json
 import logging
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,61 @@ def new_scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+class RunManifest:
+    """What a named run has finished, in the checkpoint folder, so that a new driver can go on with it.
+
+    ``write`` puts one small JSON file for each round: written under another name and renamed, so a
+    reader sees it whole or not at all. ``last`` is the state of the latest round. The run's tables lie in the same
+    folder and belong to no ``scratch`` block: they outlive a failed driver, and ``drop`` deletes them all.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        if not name or not all(c.isalnum() or c in "-_." for c in name) or name.startswith("."):
+            raise ValueError(f"a run's name has letters, digits, '-', '_' and '.' only, got {name!r}")
+        self.spark, self.folder = spark, f"{checkpoint_root(spark)}/linkfold-run-{name}"
+
+    def table_path(self, tag: str) -> str:
+        """A path that no earlier attempt has used: a table that was cut off halfway is never read."""
+        return f"{self.folder}/{tag}-{uuid.uuid4().hex[:12]}"
+
+    def write(self, step: int, state: dict) -> None:
+        fs, folder = _file_system(self.spark, self.folder)
+        fs.mkdirs(folder)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        draft = path(f"{self.folder}/_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.writeBytes(json.dumps({"step": step, **state}))   # ASCII
+        out.close()
+        final = path(f"{self.folder}/manifest-{step:06d}.json")
+        if fs.exists(final):   # of an attempt whose later tables are gone
+            fs.delete(final, False)
+        if not fs.rename(draft, final):
+            raise OSError(f"could not rename {draft} to {final}")
+
+    def last(self) -> dict | None:
+        fs, folder = _file_system(self.spark, self.folder)
+        if not fs.exists(folder):
+            return None
+        names = sorted((f.getPath().getName() for f in fs.listStatus(folder)), reverse=True)
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            if name.startswith("manifest-"):
+                stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"))
+                try:
+                    return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                finally:
+                    stream.close()
+        return None
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.folder)
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet at ``path`` and return the scan of what was written
     (with the schema already known, so reading it back starts no inference job)."""

@@ -24,6 +24,16 @@ def test_components_cli(spark, tmp_path, capsys):
     assert got == membership_of(TWO_GRAPHS)
 
 
+def test_components_cli_contracts_and_resumes(spark, tmp_path):
+    src = tmp_path / "edges.tsv"
+    src.write_text("".join(f"{a}\t{b}\n" for a, b in TWO_GRAPHS))
+    args = ["components", "--input", str(src), "--output", str(tmp_path / "out")]
+    for more in (["--strategy", "contract"], ["--resume", "cli-run"]):
+        report = main([*args, *more])
+        assert report["components"] == 2 and report["top"] == [[1, 8], [9, 5]]
+        assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == membership_of(TWO_GRAPHS)
+
+
 def test_components_cli_reports_what_it_drops(spark, tmp_path):
     (tmp_path / "e.tsv").write_text("lead\n1\t2\n2\tx\n3\n4\t5\n")
     args = ["components", "--input", str(tmp_path / "e.tsv"), "--output", str(tmp_path / "o"), "--skip-lines", "1"]

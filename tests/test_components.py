@@ -216,6 +216,73 @@ def test_round_plan_shape_at_scale_settings(spark, tmp_path, hot):
     assert ("BroadcastHashJoin" in plan) == hot and plan.count("SortMergeJoin") == 1
 
 
+@pytest.mark.parametrize("opts", [{}, {"min_hot_degree": 4, "max_hot_keys": 1000}])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contraction_against_union_find(spark, seed, opts):
+    e = random_graph(120, 110, seed) + hub(60)
+    res = connected_components(edges_df(spark, e), strategy="contract", **opts)
+    assert rows(res.membership(), "node", "component") == membership_of(e)
+    n_edges = len({(min(a, b), max(a, b)) for a, b in e if a != b})
+    assert all(p <= n_edges for _, _, p in res.trace) and res.trace[-1][2] == 0
+    left = [p for _, _, p in res.trace]
+    assert left == sorted(left, reverse=True)
+    res.release()
+    assert res.path is None
+
+
+def test_contraction_of_the_fixtures_and_odd_graphs(spark):
+    lex = connected_components(edges_df(spark, EXAMPLE, "string"), strategy="contract")
+    assert rows(lex.membership(), "node", "component") == [("B", "A"), ("C", "A"), ("D", "A"), ("E", "A"), ("G", "F"), ("H", "F")]
+    odd = connected_components(edges_df(spark, [(1, 2), (2, 1), (3, 3), (None, 4), (7, 8)]), strategy="contract")
+    assert rows(odd.membership(), "node", "component") == [(2, 1), (8, 7)]
+    empty = connected_components(edges_df(spark, [(5, 5)]), strategy="contract")
+    assert empty.pairs.count() == 0 and empty.trace == [(1, 0, 0)]
+    with pytest.raises(RuntimeError):
+        connected_components(edges_df(spark, chain(50)), strategy="contract", max_rounds=1)
+
+
+def test_contraction_of_a_long_chain_takes_few_rounds(spark):
+    n = 100_000
+    e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    res = connected_components(e, strategy="contract")
+    assert len(res.trace) <= 2 * n.bit_length() and all(p < n for _, _, p in res.trace)
+    got = res.membership().agg(F.count(F.lit(1)), F.countDistinct("node"), F.max("component")).first()
+    assert tuple(got) == (n - 1, n - 1, 0)
+
+
+@pytest.mark.parametrize("strategy", ["join", "sorted"])
+def test_a_killed_run_is_resumed(spark, monkeypatch, strategy):
+    """The loop dies in round 3; the next call neither reads the input nor runs rounds 1 and 2 again."""
+    import linkfold.operators.components as cc
+    e = random_graph(200, 210, 5) + chain(40)
+    want = connected_components(edges_df(spark, e), strategy=strategy)
+    real, calls = cc.round_output, []
+
+    def dying(*a, **k):
+        calls.append(len(calls))
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return real(*a, **k)
+
+    monkeypatch.setattr(cc, "round_output", dying)
+    name = f"killed-{strategy}"
+    with pytest.raises(KeyboardInterrupt):
+        connected_components(edges_df(spark, e), strategy=strategy, resume=name)
+    monkeypatch.setattr(cc, "round_output", lambda *a, **k: (calls.append("again"), real(*a, **k))[1])
+    monkeypatch.setattr(cc, "write_table", lambda df, path, w=cc.write_table: w(df, path) if "cc-r0" not in path else 1 / 0)
+    res = connected_components(edges_df(spark, e), strategy=strategy, resume=name)
+    assert res.trace == want.trace and rows(res.membership(), "node", "component") == membership_of(e)
+    assert calls.count("again") == len(want.trace) - 3    # not rounds 1 and 2, and the last is only recorded
+    done = connected_components(edges_df(spark, e), strategy=strategy, resume=name)     # a finished run gives its result again
+    assert done.trace == want.trace and rows(done.membership(), "node", "component") == membership_of(e)
+    folder = res.run.folder.replace("file:", "")
+    assert os.path.exists(folder)
+    res.release()
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError):
+        connected_components(edges_df(spark, e), resume="../x")
+
+
 def test_hot_threshold_bound():
     assert hot_threshold(10**9, max_hot_keys=1000, min_hot_degree=10) == 10**6
     assert hot_threshold(100, max_hot_keys=1000, min_hot_degree=10) == 10

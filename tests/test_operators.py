@@ -97,18 +97,28 @@ def test_no_row_is_lost_in_silence(spark, tmp_path, text, good, short, unreadabl
 
 
 @pytest.mark.parametrize("split", [None, "64"])
-def test_lead_lines_are_skipped_by_number(spark, tmp_path, split):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lead_lines_are_skipped_by_number(spark, tmp_path, monkeypatch, split, broadcast):
+    import linkfold.sources.edges as src
+    if not broadcast:
+        monkeypatch.setattr(src, "MAX_STARTS", 2)
     for k in range(3):
         lines = ["head one", "1\t1", "", "head four"] + [f"{k}\t{i}" for i in range(100)]
         (tmp_path / f"f{k}.tsv").write_text("\n".join(lines))
-    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as with many files
     if split:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
-        got = sorted(tuple(r) for r in read_edges_csv(spark, str(tmp_path), sep="\t", skip_lines=4).collect())
+        df = read_edges_csv(spark, str(tmp_path), sep="\t", skip_lines=4)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in df.collect())
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+        for k, v in saved.items():
+            spark.conf.set(k, v)
     assert got == sorted((k, i) for k in range(3) for i in range(100))
+    if broadcast:   # one row per file is sent out; no line is shuffled
+        assert plan.count("Exchange") == 1 and "BroadcastExchange" in plan and "SortMergeJoin" not in plan
 
 
 def test_vector_csv_reader(spark, tmp_path):
@@ -118,6 +128,16 @@ def test_vector_csv_reader(spark, tmp_path):
     assert rows == [("setosa", [5.1, 3.5, 1.4, 0.2]), ("versicolor", [6.2, 2.9, 4.3, 1.3])]
 
 
+def test_sql_functions_of_several_id_types_live_together(spark):
+    from linkfold.functions.sql import register_relabel
+    longs = spark.createDataFrame([(9, 1, 1), (9, 1, 4)], "n1 long, mn long, n2 long")
+    texts = spark.createDataFrame([("z", "a", "a"), ("z", "a", "k")], "n1 string, mn string, n2 string")
+    of_long, of_text = register_relabel(longs), register_relabel(texts)
+    assert of_long != of_text
+    for df, fn, want in ((longs, of_long, [9, 4]), (texts, of_text, ["z", "k"])):     # both after both are registered
+        assert [r[0] for r in spark.sql(f"SELECT {fn}(n1, mn, n2) AS n1 FROM {{m}}", m=df).collect()] == want
+
+
 def test_partition_profile_follows_the_partitioner(spark):
     df = spark.createDataFrame([(i,) for i in [-1, 0, 1, 5, 10, 15, 16]], "k long")
     assert sorted(tuple(r) for r in partition_profile(df, "k", 5).collect()) == [(0, 4), (1, 2), (4, 1)]
