@@ -60,17 +60,30 @@ def checked_sql(features: str, dims: int) -> str:
             f"coalesce(cast(size({features}) as string), 'no'), ' elements, not {int(dims)}')))")
 
 
+def distance_sql(features: str, center: str) -> str:
+    return f"sqrt(aggregate(zip_with({features}, {center}, (x, y) -> (x - y) * (x - y)), 0D, (a, v) -> a + v))"
+
+
+def _keyed_sql(features: str, dims: int, centers: list[tuple[int, list[float]]] | None, digits: int, param: str | None) -> str:
+    """``array<struct<key, cid, dist>>``: every centroid with its distance and the distance rounded, which is what is compared."""
+    dist = distance_sql(checked_sql(f"`{features}`", dims), "c.center")
+    return (f"transform(transform({centers_sql(centers, param)}, "
+            f"c -> named_struct('cid', c.cid, 'dist', {dist})), "
+            f"d -> named_struct('key', round(d.dist, {digits}), 'cid', d.cid, 'dist', d.dist))")
+
+
 def nearest_sql(features: str, dims: int, centers: list[tuple[int, list[float]]] | None = None,
                 digits: int = 9, param: str | None = None) -> str:
     """SQL text of ``nearest`` over the column named ``features``.
 
     The centroids come inline or, with ``param``, from a named query parameter holding
     their JSON, so the text of a step is the same whatever the centroids are."""
-    f = checked_sql(f"`{features}`", dims)
-    dist = f"sqrt(aggregate(zip_with({f}, c.center, (x, y) -> (x - y) * (x - y)), 0D, (a, v) -> a + v))"
-    return (f"array_min(transform(transform({centers_sql(centers, param)}, "
-            f"c -> named_struct('cid', c.cid, 'dist', {dist})), "
-            f"d -> named_struct('key', round(d.dist, {digits}), 'cid', d.cid, 'dist', d.dist)))")
+    return f"array_min({_keyed_sql(features, dims, centers, digits, param)})"
+
+
+def ranked_sql(features: str, dims: int, digits: int = 9, param: str | None = None) -> str:
+    """The same as an array of all centroids, the nearest first."""
+    return f"array_sort({_keyed_sql(features, dims, None, digits, param)})"
 
 
 def nearest(features: str, centers: list[tuple[int, list[float]]], digits: int = 9) -> Column:

@@ -17,7 +17,7 @@ keys, of which there are at most ``max_hot_keys`` (see ``keyed``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkfold.operators.keyed import DEFAULT_MAX_HOT_KEYS, DEFAULT_MIN_HOT_DEGREE, hot_threshold, split_hot
@@ -54,20 +54,14 @@ def contracted(edges: DataFrame, reps: DataFrame, threshold: int, any_hot: bool)
     return canonical_pairs(out.where(F.col("n1") != F.col("n2")))
 
 
-def _named_by(members: DataFrame, names: DataFrame, **hot_opts) -> DataFrame:
+def named_by(members: DataFrame, names: DataFrame, n_members: int, **hot_opts) -> DataFrame:
     """``members(node, rep)`` with ``rep`` replaced by its name in ``names(node, rep)`` where it has one. As many members of one
     representative as there are rows do not meet in one task."""
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("deg"))
     known = sizes.join(names.select(F.col("node").alias("rep"), F.col("rep").alias("_name")), "rep", "left").select(
         "rep", F.coalesce("_name", "rep").alias("_to"), "deg")
-    known = write_table(known, new_scratch_path(members.sparkSession, "contract-names"))
-    return _replace_hot(members, known, **hot_opts)
-
-
-def _replace_hot(members: DataFrame, known: DataFrame, **hot_opts) -> DataFrame:
-    row = known.agg(F.sum("deg").alias("rows"), F.max("deg").alias("most")).first()
-    threshold = hot_threshold(row["rows"] or 0, **hot_opts)
-    return replaced(members, "rep", known, threshold, (row["most"] or 0) > threshold).select("node", "rep")
+    return replaced(members, "rep", known, hot_threshold(n_members, **hot_opts),
+                    n_members > hot_threshold(n_members, **hot_opts)).select("node", "rep")
 
 
 def contract(pairs: DataFrame, max_rounds: int = 1000, hot_degree: int | None = None,
@@ -83,40 +77,43 @@ def contract(pairs: DataFrame, max_rounds: int = 1000, hot_degree: int | None =
         return write_table(df, path), path
 
     edges, at = table(canonical_pairs(pairs).where(F.col("n1") != F.col("n2")), "r0")
-    rounds: list[tuple[DataFrame, str]] = []
+    rounds: list[tuple[DataFrame, str, int]] = []
     trace: list[list[int]] = []
     for r in range(1, max_rounds + 1):
-        reps, reps_at = table(representatives(edges, seed + r), f"reps{r}")
-        row = reps.agg(F.sum("deg").alias("ends"), F.max("deg").alias("most"),
-                       F.count(F.when(F.col("rep") != F.col("node"), 1)).alias("moved")).first()
+        seen = Observation()   # counted while the table is written
+        reps, reps_at = table(representatives(edges, seed + r).observe(
+            seen, F.count(F.lit(1)).alias("nodes"), F.sum("deg").alias("ends"), F.max("deg").alias("most"),
+            F.count(F.when(F.col("rep") != F.col("node"), 1)).alias("moved")), f"reps{r}")
+        nodes, ends, most = (seen.get[k] or 0 for k in ("nodes", "ends", "most"))
         if trace:
-            trace[-1][2] = (row["ends"] or 0) // 2   # every edge has two ends
-        if not row["ends"]:
+            trace[-1][2] = ends // 2   # every edge has two ends
+        if not ends:
             drop_path(spark, reps_at)
             break
-        threshold = hot_threshold(row["ends"], **opts)
-        out = contracted(edges, reps, threshold, row["most"] > threshold)
+        threshold = hot_threshold(ends, **opts)
+        out = contracted(edges, reps, threshold, most > threshold)
         nxt, nxt_at = table(out.repartition(num_partitions, "n1", "n2") if num_partitions else out, f"r{r}")
         drop_path(spark, at)
         edges, at = nxt, nxt_at
-        rounds.append((reps.select("node", "rep"), reps_at))
-        trace.append([r, row["moved"], -1])
+        rounds.append((reps.select("node", "rep"), reps_at, nodes))
+        trace.append([r, seen.get["moved"], -1])
     else:
         raise RuntimeError(f"edges are left after {max_rounds} rounds; raise max_rounds")
     if not rounds:   # no edge at all: the empty table is the result
         return edges, [(1, 0, 0)], at
     drop_path(spark, at)
-    names, names_at = rounds.pop()
+
+    names, names_at, n = rounds.pop()
     while rounds:   # from the last round, which has the fewest nodes, to the first
-        members, members_at = rounds.pop()
-        joined, joined_at = table(_named_by(members, names, **opts), "names")
+        members, members_at, n = rounds.pop()
+        joined, joined_at = table(named_by(members, names, n, **opts), "names")
         for old in (members_at, names_at):
             drop_path(spark, old)
         names, names_at = joined, joined_at
     # one aggregation gives the least id of each component, and its members take it as their root
-    known, known_at = table(names.groupBy("rep").agg(F.min("node").alias("_to"), F.count(F.lit(1)).alias("deg")), "roots")
-    rooted = _replace_hot(names, known, **opts).where(F.col("node") != F.col("rep"))
+    roots = names.groupBy("rep").agg(F.min("node").alias("_to"), F.count(F.lit(1)).alias("deg"))
+    threshold = hot_threshold(n, **opts)
+    rooted = replaced(names, "rep", roots, threshold, n > threshold).where(F.col("node") != F.col("rep"))
     stars, path = table(rooted.select(F.col("node").alias("n1"), F.col("rep").alias("n2")), "stars")
-    for old in (names_at, known_at):
-        drop_path(spark, old)
+    drop_path(spark, names_at)
     return stars, [tuple(t) for t in trace], path

@@ -4,10 +4,16 @@ Physical plan: centroids are ``k`` rows (a parameter, not data), so they travel
 literal inside the expression and every point picks its nearest one map-side: no join,
 no cross product, no shuffle of the points. One step is one aggregation job:
 
-    assign under the current centroids (and under the previous ones, in the same
-    projection, to count switches) -> groupBy(cid): count, sum(dist), switches,
-    per-dimension means (partial aggregation, so a cluster holding most points is
-    no hotter than any other) -> k rows to the driver.
+    assign -> groupBy(cid): count, sum(dist), switches, one array-valued vector sum (partial aggregation, so a
+        cluster holding most points is no hotter than any other) -> k rows to the driver.
+
+Distance bounds. Most points stay where they are, so a step does not compare them with every centroid. An *anchor* holds
+for each point its cluster ``c0``, the distance ``d0`` to it and the distance ``l0`` to the second
+nearest centroid, all under the centroids of one step. Later centroids have moved by known distances, so by the triangle inequality
+no other centroid is nearer than ``l0`` less the greatest move; a point whose own centroid is surely nearer needs that one
+distance and no more. Where the bounds cross, all ``k`` are computed. The anchor is renewed once the evaluations that
+its age has cost would have paid for a new one. It is a cached table made from the points and two sets of centroids, so a lost block is
+recomputed from the source, and its plan does not grow with the steps.
 
 Semantics kept from the analysed script: stop when no point switched cluster or after
 ``max_steps`` steps; empty clusters disappear; error is ``sqrt(sum(dist)) / n``
@@ -19,13 +25,18 @@ the result does not depend on summation order.
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.functions.vectors import centers_json, distances_to, nearest, nearest_sql
+from linkfold.functions.vectors import centers_json, distance_sql, distances_to, nearest, nearest_sql, ranked_sql
+from linkfold.operators.sampling import least_by_hash
 
 Centers = list[tuple[int, list[float]]]
 
@@ -55,8 +66,8 @@ def sample_order(id_col: str = "id", seed: int = 42):
 
 
 def sample_k(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """O6: ``k`` distinct rows in a seeded hash order (top-k: each task keeps ``k``)."""
-    return points.orderBy(sample_order("id", seed), "id").limit(k)
+    """O6: ``k`` distinct rows in a seeded hash order, cut by a bound on the hash (``sampling``): about ``k`` rows leave the tasks."""
+    return least_by_hash(points, sample_order("id", seed), k, 0, SAMPLE_MODULUS - 1, ["id"])
 
 
 def init_by_sample(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -88,18 +99,20 @@ def _dims(centers: Centers) -> int:
     return len(centers[0][1]) if centers else 0
 
 
-def cluster_aggregates(assigned: DataFrame, dims: int) -> DataFrame:
+def vector_sum(col: str) -> Column:
+    """The sum of vectors as one aggregate, whatever their width."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(col))))
+
+
+def cluster_aggregates(assigned: DataFrame) -> DataFrame:
     """``(cid, n, sum_dist, sums array<double>)``: one partial-aggregated pass."""
-    sums = [F.sum(F.col("features")[i]).alias(f"_s{i}") for i in range(dims)]
-    df = assigned.groupBy("cid").agg(F.count(F.lit(1)).alias("n"),
-                                     F.sum("dist").alias("sum_dist"), *sums)
-    return df.select("cid", "n", "sum_dist",
-                     F.array(*[F.col(f"_s{i}") for i in range(dims)]).alias("sums"))
+    return assigned.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("sum_dist"),
+                                       vector_sum("features").alias("sums"))
 
 
-def update(assigned: DataFrame, dims: int, digits: int = 9) -> DataFrame:
+def update(assigned: DataFrame, digits: int = 9) -> DataFrame:
     """K3: ``(cid, center)`` = mean of the cluster's points, rounded to ``digits``."""
-    agg = cluster_aggregates(assigned, dims)
+    agg = cluster_aggregates(assigned)
     return agg.select("cid", F.transform("sums", lambda s: F.round(s / F.col("n"), digits))
                       .alias("center"))
 
@@ -123,52 +136,101 @@ class KMeansResult:
     steps: int
     converged: bool   # no point switched in the last step; False if max_steps ended the run
     trace: list[tuple[int, int, float]] = field(default_factory=list)  # (step, switches, sum_dist)
+    evaluations: list[int] = field(default_factory=list)               # distances computed in each step
 
 
 def kmeans(points: DataFrame, init: DataFrame | Centers, max_steps: int = 100,
            digits: int = 9) -> KMeansResult:
     """K6: Lloyd steps until no point switches cluster or ``max_steps`` is reached (the result says which).
 
-    ``points`` is persisted (memory and disk) for the loop: each step rescans it. A lost
-    block is recomputed from the source scan, so no step depends on executor state.
+    Steps read the anchor (see the module text), a cached table; ``points`` is read again where it is renewed.
     """
     cur = collect_centers(init) if isinstance(init, DataFrame) else sorted(init)
-    pts = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _loop(points, pts, cur, _dims(cur), max_steps, digits)
-    finally:
-        pts.unpersist()
+    return _loop(points, cur, _dims(cur), max_steps, digits)
+
+
+def _anchor_sql(dims: int, digits: int, first: bool) -> str:
+    """The anchor under ``:cur`` over ``{pts}``: ``features, c0, d0, l0`` and whether the point has left its cluster under ``:old``."""
+    moved = "1" if first else f"CAST(({nearest_sql('features', dims, digits=digits, param='old')}).cid <> r[0].cid AS INT)"
+    return (f"SELECT features, r[0].cid AS c0, r[0].dist AS d0, coalesce(get(r, 1).dist, double('Infinity')) AS l0, {moved} AS sw0 "
+            f"FROM (SELECT features, {ranked_sql('features', dims, digits, 'cur')} AS r FROM {{pts}})")
+
 
+def _at_anchor_sql() -> str:
+    return "SELECT c0 AS cid, d0 AS dist, sw0 AS sw, 0 AS crossed, features FROM {pts}"
 
-def _step_sql(dims: int, digits: int, first: bool) -> str:
-    """One step as SQL text over ``{pts}``: the centroids of this step and the previous
-    one are the parameters ``:cur`` and ``:old`` (JSON), so the text is
-    identical from step to step and is planned in one call."""
-    best = nearest_sql("features", dims, digits=digits, param="cur")
-    old = nearest_sql("features", dims, digits=digits, param="old")
-    sw = "1" if first else f"CAST(({old}).cid <> b.cid AS INT)"
-    sums = ", ".join(f"sum(features[{i}]) AS _s{i}" for i in range(dims))
-    return (f"SELECT b.cid AS cid, count(1) AS n, sum(b.dist) AS sum_dist, sum(sw) AS sw"
-            f"{', ' if sums else ''}{sums} "
-            f"FROM (SELECT b, {sw} AS sw, features FROM (SELECT {best} AS b, features FROM {{pts}})) "
-            f"GROUP BY b.cid")
 
+def _step_sql(dims: int, digits: int) -> str:
+    """One step over the anchor ``{pts}``. ``:cur`` and ``:old`` are the centroids of this step and the previous one (JSON), ``:now`` and ``:was``
+    how they have moved since the anchor, by cluster, so the text is the same from step to step. ``crossed`` counts the comparisons with all
+    centroids (0 to 2). The margin keeps rounded ties, which go to the lowest cid, out of what is sure."""
+    moves = "map<string,struct<center:array<double>,drift:double,slack:double>>"
+    margin = f"{4 * 10.0 ** -digits:.17f}D"
+    cur, old = (nearest_sql("features", dims, digits=digits, param=p) for p in ("cur", "old"))
+    own = distance_sql("features", "now.center")
+    return (
+        f"SELECT b.cid AS cid, b.dist AS dist, CAST(if(stayed, c0, ({old}).cid) <> b.cid AS INT) AS sw, "
+        f"CAST(NOT sure AS INT) + CAST(NOT stayed AS INT) AS crossed, features FROM ("
+        f"SELECT c0, features, sure, stayed, if(sure, named_struct('key', round(own, {digits}), 'cid', c0, 'dist', own), {cur}) AS b FROM ("
+        f"SELECT c0, features, own, coalesce(own + {margin} < l0 - now.slack, false) AS sure, "
+        f"coalesce(d0 + was.drift + {margin} < l0 - was.slack, false) AS stayed FROM ("
+        f"SELECT *, {own} AS own FROM ("
+        f"SELECT *, try_element_at(from_json(:now, '{moves}'), string(c0)) AS now, "
+        f"try_element_at(from_json(:was, '{moves}'), string(c0)) AS was FROM {{pts}}))))")
 
-def _loop(points, pts, cur: Centers, dims: int, max_steps: int, digits: int) -> KMeansResult:
-    spark = pts.sparkSession
+
+def _moves(anchor: Centers, now: Centers) -> str:
+    """For each cluster that is left: its centroid, how far it has moved since the anchor, and the farthest that another has."""
+    at, here = dict(anchor), dict(now)
+    drift = {c: math.dist(at[c], v) for c, v in here.items()}
+    return json.dumps({str(c): {"center": v, "drift": drift[c], "slack": max((d for o, d in drift.items() if o != c), default=0.0)}
+                       for c, v in here.items()})
+
+
+def _loop(points: DataFrame, cur: Centers, dims: int, max_steps: int, digits: int) -> KMeansResult:
+    spark = points.sparkSession
     prev: Centers | None = None
-    step, trace = 0, []
-    while True:
-        args = {"cur": centers_json(cur)} | ({} if prev is None else {"old": centers_json(prev)})
-        rows = spark.sql(_step_sql(dims, digits, prev is None), args=args, pts=pts).collect()   # at most k rows
-        n = sum(r["n"] for r in rows)
-        moved = sum(r["sw"] for r in rows)
-        total = sum(r["sum_dist"] for r in rows)
-        trace.append((step, int(moved), float(total)))
-        if moved == 0 or step == max_steps:
-            err = (total ** 0.5) / n if n else float("nan")
-            return KMeansResult(assign(points, cur), cur, err, step, moved == 0, trace)
-        nxt = sorted((int(r["cid"]), [round(r[f"_s{i}"] / r["n"], digits) for i in range(dims)])
-                     for r in rows)
-        prev, cur = cur, nxt
-        step += 1
+    cores = spark.sparkContext.defaultParallelism
+    spread = points.select("features")
+    if spread.rdd.getNumPartitions() < cores:   # a small input in few files: dealt out once per anchor, so every core has a part
+        spread = spread.repartition(cores)
+    base: Centers = []                 # the centroids of the anchor
+    anchor: DataFrame | None = None
+    fresh = paid = 0                   # evaluations of the first step on the anchor, and those its age has added
+    step, trace, evaluations = 0, [], []
+    try:
+        while True:
+            k = len(cur)
+            args = {"cur": centers_json(cur)} | ({} if prev is None else {"old": centers_json(prev)})
+            renewed = anchor is None or paid >= 2 * k * n
+            if renewed:
+                if anchor is not None:
+                    anchor.unpersist()
+                anchor = spark.sql(_anchor_sql(dims, digits, prev is None), args=args, pts=spread).persist(StorageLevel.MEMORY_AND_DISK)
+                base, fresh, paid = cur, None, 0
+                assigned = spark.sql(_at_anchor_sql(), pts=anchor)
+            else:
+                assigned = spark.sql(_step_sql(dims, digits), args=args | {"now": _moves(base, cur), "was": _moves(base, prev)}, pts=anchor)
+            rows = _step_aggregates(assigned).collect()   # at most k rows
+            n = sum(r["n"] for r in rows)
+            moved = sum(r["sw"] for r in rows)
+            total = sum(r["sum_dist"] for r in rows)
+            trace.append((step, int(moved), float(total)))
+            evaluations.append(k * n * (1 if prev is None else 2) if renewed else n + k * sum(r["crossed"] for r in rows))
+            if not renewed:
+                fresh = evaluations[-1] if fresh is None else fresh
+                paid += max(0, evaluations[-1] - fresh)
+            if moved == 0 or step == max_steps:
+                err = (total ** 0.5) / n if n else float("nan")
+                return KMeansResult(assign(points, cur), cur, err, step, moved == 0, trace, evaluations)
+            nxt = sorted((int(r["cid"]), [round(s / r["n"], digits) for s in r["sums"]]) for r in rows)
+            prev, cur = cur, nxt
+            step += 1
+    finally:
+        if anchor is not None:
+            anchor.unpersist()
+
+
+def _step_aggregates(assigned: DataFrame) -> DataFrame:
+    return assigned.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("sum_dist"), F.sum("sw").alias("sw"),
+                                       F.sum("crossed").alias("crossed"), vector_sum("features").alias("sums"))

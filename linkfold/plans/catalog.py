@@ -402,18 +402,18 @@ def q_cluster_counts(spark, sf):
 
 def q_cluster_vector_sum(spark, sf):
     c0 = _c0(spark, sf)
-    agg = km.cluster_aggregates(km.assign(_points(spark, sf), c0), len(c0[0][1]))
+    agg = km.cluster_aggregates(km.assign(_points(spark, sf), c0))
     return _long_centers(agg, "sums").withColumnRenamed("value", "total")
 
 
 def q_kmeans_update(spark, sf):
     c0 = _c0(spark, sf)
-    return _long_centers(km.update(km.assign(_points(spark, sf), c0), len(c0[0][1])))
+    return _long_centers(km.update(km.assign(_points(spark, sf), c0)))
 
 
 def q_kmeans_switches(spark, sf):
     pts, c0 = _points(spark, sf), _c0(spark, sf)
-    c1 = km.collect_centers(km.update(km.assign(pts, c0), len(c0[0][1])))
+    c1 = km.collect_centers(km.update(km.assign(pts, c0)))
     return km.switches(pts, c0, c1)
 
 

@@ -309,20 +309,68 @@ def test_initial_ids_must_exist(spark):
 
 
 def test_kmeans_step_plan_has_one_exchange_and_no_join(spark):
-    """Points never meet the centroids in a join: one partial + final aggregation."""
+    """Points never meet the centroids in a join: one partial + final aggregation, with one vector sum whatever the width."""
     from linkfold.functions.vectors import centers_json
     pts = embedding_vectors(spark, SF0001).select("features")
     c0 = km.collect_centers(km.init_by_ids(embedding_vectors(spark, SF0001), [0, 1, 2]))
-    q = km._step_sql(len(c0[0][1]), 9, first=False)
+    dims = len(c0[0][1])
+    args = {"cur": centers_json(c0), "old": centers_json(c0)}
     saved = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        df = spark.sql(q, args={"cur": centers_json(c0), "old": centers_json(c0)}, pts=pts)
+        anchor = spark.sql(km._anchor_sql(dims, 9, False), args=args, pts=pts)
+        still = {"now": km._moves(c0, c0), "was": km._moves(c0, c0)}
+        df = km._step_aggregates(spark.sql(km._step_sql(dims, 9), args=args | still, pts=anchor))
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert sum(r["sw"] for r in df.collect()) == 0   # same centroids: nobody moves
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", saved)
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Cartesian" not in plan
+    final = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert final.count("sum(") <= 4 and final.lower().count("summary") <= 2 and len(final) < 2000     # not one aggregate a dimension
+
+
+def test_wide_vectors(spark):
+    dims = 4096
+    pts = spark.range(12).select("id", F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: (F.col("id") % 2 * 100 + i % 7).cast("double")).alias("features"),
+                                 F.lit("x").alias("label"))
+    res = km.kmeans(pts, km.init_by_ids(pts, [0, 1]))
+    assert res.converged and [len(v) for _, v in res.centers] == [dims, dims] and res.centers[1][1][:3] == [101.0, 102.0, 103.0]
+    got = {r.cid: (r.n, r.sums[0]) for r in km.cluster_aggregates(km.assign(pts, res.centers)).collect()}
+    assert got == {0: (6, 6.0), 1: (6, 606.0)}
+
+
+@pytest.mark.parametrize("k", [3, 12])
+def test_bounds_save_distances_and_change_nothing(spark, k):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(0, 10, (k, 5))
+    x = np.concatenate([c + rng.normal(0, 2.5, (60, 5)) for c in centers])
+    pts = spark.createDataFrame([(i, [float(a) for a in v], "x") for i, v in enumerate(x)], "id long, features array<double>, label string")
+    c0 = km.collect_centers(km.init_by_sample(pts, k))
+    want_a, want_err, want_steps = _numpy_kmeans(x, {c: np.array(v) for c, v in c0})
+    res = km.kmeans(pts, c0)
+    got = dict((r.id, r.cid) for r in res.assignment.collect())
+    assert (res.steps, [got[i] for i in range(len(x))]) == (want_steps, list(want_a)) and abs(res.error - want_err) < 1e-9
+    assert len(res.evaluations) == want_steps + 1 and res.evaluations[0] == k * len(x)
+    assert sum(res.evaluations) < 0.7 * 2 * k * len(x) * (want_steps + 1)      # all distances under two sets of centroids
+
+
+def test_hash_bound_leaves_about_k_rows(spark):
+    from linkfold.operators.sampling import hash_bound, least_by_hash
+    df = spark.range(0, 50_000, 1, 40)
+    order = km.sample_order("id", 42)
+    for k in (1, 700, 20_000):
+        bound = hash_bound(df, order, k, 0, km.SAMPLE_MODULUS - 1, cells=64)
+        assert k <= df.where(order <= bound).count() <= 1.1 * k + 1
+        want = sorted(range(50_000), key=lambda i: (i * 1103515245 + 42) % 2**31)[:k]
+        got = least_by_hash(df, order, k, 0, km.SAMPLE_MODULUS - 1, ["id"], cells=64)
+        assert [r[0] for r in got.collect()] == want
+    assert hash_bound(df, order, 50_000, 0, km.SAMPLE_MODULUS - 1) is None
+    h = F.xxhash64("id")
+    bound = hash_bound(df, h, 300, -2**63, 2**63 - 1)
+    assert 300 <= df.where(h <= bound).count() <= 331
+    same = df.select(F.lit(7).cast("long").alias("id"))       # one hash for all rows: the ties decide
+    assert least_by_hash(same, km.sample_order("id", 42), 5, 0, km.SAMPLE_MODULUS - 1, ["id"]).count() == 5
 
 
 def test_secondary_sort_splits_a_hub_and_sorts_partitions(spark):
