@@ -38,7 +38,23 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def boxed(docs: DataFrame) -> DataFrame:
     """``(row, doc_id, text)``: the whole row in one column, so no name in it can clash with an operator's own."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_or_empty().alias("text"))
+    return docs.select(_whole_row(docs).alias("row"), "doc_id", text_or_empty().alias("text"))
+
+
+def _whole_row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def placed(docs: DataFrame, tag: str) -> DataFrame:
+    """``(row, doc_id, source, text, _place)``: boxed rows and where each lies, the file (128 bits of its path) and the number in it.
+    The place is the same at every reading, so narrow results can be joined back without a second copy of the texts: a plain
+    Parquet scan is taken as it is, anything else is stored first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
+        docs = stored(docs, tag)
+    at = docs.metadataColumn("_metadata")
+    place = F.struct(F.xxhash64(at["file_path"], F.lit(1)).alias("a"), F.xxhash64(at["file_path"], F.lit(2)).alias("b"), at["row_index"].alias("n"))
+    return docs.select(_whole_row(docs).alias("row"), "doc_id", "source", text_or_empty().alias("text"), place.alias("_place"))
 
 
 def release(table: DataFrame) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkfold.llm.common import stored, text_or_empty
+from linkfold.llm.common import boxed, stored, text_or_empty
 
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def known_language(docs: DataFrame, min_score: float = 0.0, **options) -> DataFrame:
-    """``docs`` without those that language ID rejects: no letter at all, or a score below ``min_score``."""
-    named = predict(docs, train(docs.where(~held_out()), **options))
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    """``docs`` without those that language ID rejects: no letter at all, or a score below ``min_score``. Columns that
+    happen to be named like the prediction's stay as they are."""
+    named = predict(boxed(docs).select("row", "text"), train(docs.where(~held_out()), **options))
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

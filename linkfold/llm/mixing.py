@@ -8,12 +8,13 @@
   source takes block ``r`` of its stream. Slots past a source's last block are left out; blocks
   that no slot has reached come after the schedule.
 
-A source's words taken are its target rounded to whole words. No step gathers a source in one task: the
-stream offsets and slot ranks are running totals over buckets (``running_total``).
+A source's words taken are its target rounded to whole words. No step gathers a source, or the rows of one id, in one task: the
+stream offsets are prefix sums over range partitions, the slot ranks running totals over buckets (``running_total``).
 
 Cases: a null source is a source of its own, last in order; a null text has size 0; a document
 without words is never taken; an empty table gives an empty result; rows with the same id
-count one by one, in the order of their row numbers.
+count one by one, in the order of a hash of their texts, and a row without an id lies where that hash says, so only
+rows equal in source, id and text can change places, and reruns over other partitions agree.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import SPACE_WORD, boxed, numbered, running_total, stored
-from linkfold.operators.ordering import row_index
+from linkfold.llm.common import SPACE_WORD, numbered, placed, running_total, stored
+from linkfold.operators.ordering import ordered, row_index, running_totals
 
 _MOD = 1 << 31                # the schedule's points are multiples of 1 / 2^31
 _PHI = 1_327_217_885          # odd whole number nearest to 2^31 times the golden ratio's fraction
@@ -62,7 +63,7 @@ def source_targets(sources: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1
 @dataclass
 class Mix:
     """``documents``: one row each, with its words ``taken``, the ``first_slot`` that takes some (null if none does) and
-    its ``n_blocks``; ``pieces``: the mix in the order ``slot, at``, as ``slot, at, sid, block, _row, doc_id, pass, from_word,
+    its ``n_blocks``; ``pieces``: the mix in the order ``slot, at``, as ``slot, at, sid, block, _row, doc_id, size, pass, from_word,
     to_word`` (words of the document, ``to_word`` exclusive; ``at`` is the place in the block)."""
     documents: DataFrame
     pieces: DataFrame
@@ -73,27 +74,29 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ca
                 row_col: str | None = None) -> Mix:
     """Plan the mix of ``docs(doc_id, text, source)``; see the module text.
 
-    ``block`` is the words per slot. ``max_buckets`` bounds the rows of one window of bucket totals.
+    ``block`` is the words per slot. ``max_buckets`` bounds the rows of one window of slot totals.
     ``row_col`` names a column of unique row numbers, if ``docs`` has one.
     """
-    sized = numbered(docs.select(
-        *([F.col(row_col).alias("_given")] if row_col else []), "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SPACE_WORD)).cast("long").alias("size"),
-        F.xxhash64("doc_id", F.lit(seed)).alias("_h")), "mix-docs")
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select(*([F.col(row_col).alias("_given")] if row_col else []), "doc_id", "source",
+                        F.regexp_count(text, F.lit(SPACE_WORD)).cast("long").alias("size"), F.xxhash64(text).alias("_t"))
+    sized = numbered(sized.withColumn("_h", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed)))
+                                      .otherwise(F.xxhash64("_t", F.lit(seed)))), "mix-docs")
     if row_col:
         sized = sized.withColumn("_row", F.col("_given")).drop("_given")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = row_index(by_source.withColumn("_last", F.col("source").isNull()), ["_last", "source"], "sid").drop("_last")
     targets = stored(source_targets(ranked, weights, share, cap)
                      .withColumn("_words", F.round("target").cast("long"))
                      .withColumn("_blocks", F.ceil(F.col("_words") / F.lit(block)).cast("long")), "mix-targets")
-    sums = targets.agg(F.sum("target").alias("t"), F.sum("_blocks").alias("b"), F.sum("_docs").alias("d")).first()
-    total, n_slots, n_docs = sums["t"] or 0.0, sums["b"] or 0, sums["d"] or 0
+    sums = targets.agg(F.sum("target").alias("t"), F.sum("_blocks").alias("b")).first()
+    total, n_slots = sums["t"] or 0.0, sums["b"] or 0
 
-    # the sources' streams, shuffled: bucket, hash, id
+    # the sources' streams, shuffled: in the order of the hash
     docs_s = (sized.join(targets.select(F.col("source").alias("_s"), "sid", "source_size", "target", "_words"),
-                         F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-              .withColumn("_bucket", F.pmod("_h", F.lit(max(1, min(max_buckets, n_docs // 2000))))))
-    stream = stored(running_total(docs_s, "sid", "_bucket", ["_h", "doc_id", "_row"], "size", "_at"), "mix-stream")
+                         F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    stream = stored(running_totals(ordered(docs_s, ["sid", "_h", "doc_id", "_t", "_row"]), {"_at": F.col("size")}, ["sid"])
+                    .drop("_mid", "_pid"), "mix-stream")
     passes = math.ceil(cap)
     spans = (stream.where("size > 0")
              .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
@@ -108,7 +111,7 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ca
 
     slots = schedule(targets, total, n_slots, max_buckets)
     pieces = in_blocks.join(slots, ["sid", "block"]).select(
-        "slot", "at", "sid", "block", "_row", "doc_id", "pass", "from_word", "to_word")
+        "slot", "at", "sid", "block", "_row", "doc_id", "size", "pass", "from_word", "to_word")
     taken = pieces.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"),
                                        F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("_blocks"))
     documents = stream.join(taken, "_row", "left").select(
@@ -150,12 +153,14 @@ def schedule(targets: DataFrame, total: float, n_slots: int, max_buckets: int =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: whole rows, each as often as the words taken from it fill it (rounded;
     only the document at which a source's target ends is taken in part), in the order of the slots at which the
-    copies begin: range-partitioned, and sorted in each partition. A row without words goes."""
-    rows = numbered(boxed(docs).withColumn("source", F.col("row.source")), "mix-rows", "_mix_row")
-    pieces = mix_sources(rows, row_col="_mix_row", **options).pieces
+    copies begin: range-partitioned, and sorted in each partition. A row without words goes.
+
+    The plan of the mix is made on narrow rows and joined to the texts by their places, so no copy of them is stored."""
+    rows = placed(docs, "mix-rows")
+    pieces = mix_sources(rows, row_col="_place", **options).pieces
     # a pass reads a document from its first word on; it gives a copy if it takes half of the words or more
     copies = (pieces.groupBy(F.col("_row").alias("_copy_of"), "pass").agg(
-        F.min(F.struct("slot", "at")).alias("_place"), F.sum(F.col("to_word") - F.col("from_word")).alias("_taken")))
-    joined = rows.withColumn("_size", F.regexp_count("text", F.lit(SPACE_WORD))).drop("text", "source", "doc_id")
-    return (joined.join(copies, F.col("_mix_row") == F.col("_copy_of")).where("2 * _taken >= _size")
-            .repartitionByRange("_place").sortWithinPartitions("_place").select("row.*"))
+        F.min(F.struct("slot", "at")).alias("_to"), F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"), F.min("size").alias("_size"))
+        .where("2 * _taken >= _size").select("_copy_of", "_to"))
+    return (rows.select("row", "_place").join(copies, F.col("_place") == F.col("_copy_of"))
+            .repartitionByRange("_to").sortWithinPartitions("_to").select("row.*"))

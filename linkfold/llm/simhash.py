@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from linkfold.llm.common import boxed, stored, texts
 from linkfold.llm.exact_dedup import sha256
 from linkfold.operators.components import connected_components
+from linkfold.operators.sampling import least_by_hash
 
 _BLOCK = 1 << 16
 
@@ -180,7 +181,8 @@ def near_links(reps: DataFrame, max_bits: int = 4, sample: int = 100_000, shard:
                shard_cap: int = 100_000) -> DataFrame:
     """``(a, b)``: a spanning forest per shard of the links between the classes ``reps(fp, rep)``."""
     total = reps.count()
-    picked = reps.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").toPandas()["fp"].to_numpy("<i8").view("<u8")
+    picked = (least_by_hash(reps.select("fp"), F.xxhash64("fp"), sample, -1 << 63, (1 << 63) - 1, ["fp"])
+              .toPandas()["fp"].to_numpy("<i8").view("<u8"))
     tree = fit_tree(picked, total, shard, max_bits)
 
     def routed(batches):

@@ -1,4 +1,8 @@
+import random
+import struct
+
 import pytest
+import xxhash
 
 from linkfold.llm.mixing import mix_sources, mixed_documents
 
@@ -67,6 +71,46 @@ def test_reruns_agree(spark):
     assert run(2) == run(5)
 
 
+def test_reruns_agree_with_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, None, 1, 2, 3, 4, 5, 6, 7]), "w" * rng.randint(1, 3) + " x" * rng.randint(0, 40) + f" t{rng.randrange(300)}", "en",
+             rng.choice(["s1", "s2", "s3"]), 1) for _ in range(400)] + [(3, "the same", "en", "s1", 1)] * 60
+    def run(parts):
+        out = mix_sources(table(spark, rows, partitions=parts), block=16).documents
+        return sorted((str(r["doc_id"]), r["size"], r["taken"], str(r["first_slot"]), r["n_blocks"]) for r in out.collect())
+    first = run(2)
+    assert first == run(5) == run(7)
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_words_taken_of_every_document(spark, block):
+    """The streams laid out in plain Python: the order of the hash, then the target's words from the front, pass by pass."""
+    rows = random_rows(150)
+    want, (target, size) = {}, targets(rows)
+    signed = lambda h: struct.unpack("<q", struct.pack("<Q", h))[0]
+    for s in target:
+        mine = sorted((r for r in rows if r[3] == s), key=lambda r: signed(
+            xxhash.xxh64_intdigest(struct.pack("<i", 42), xxhash.xxh64_intdigest(struct.pack("<q", r[0]), 42))))
+        left = round(target[s])
+        for r in mine * 2:
+            n = min(left, words(r[1]))
+            left -= n
+            want[r[0]] = want.get(r[0], 0) + n
+    got = {r["doc_id"]: r["taken"] for r in mix_sources(table(spark, rows), block=block).documents.collect()}
+    assert got == want
+
+
+def test_a_parquet_scan_is_not_copied(spark, tmp_path):
+    from linkfold.storage import scratch
+    table(spark, random_rows(60)).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    with scratch(spark, keep=True) as owned:
+        n = mixed_documents(docs).count()
+        stored = [c for p in owned.paths for c in spark.read.parquet(p).columns]
+    owned.release()
+    assert n > 60 and not {"row", "text", "lang"} & set(stored)
+
+
 def test_mixed_documents_are_whole_rows(spark):
     rows = edge_rows()
     docs = table(spark, rows)

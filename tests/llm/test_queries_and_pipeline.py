@@ -89,6 +89,18 @@ def test_stages_on_odd_and_empty_tables(spark, name):
     assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_the_values_of_every_column(spark, name):
+    """Also of columns named like those that the operators make, and with a dot in the name."""
+    rows = [(i, f"some words of text number {i} " * 3 + "xyzzy"[:i % 5] * i, "en", f"s{i % 3}", 1) for i in range(40)]
+    docs = table(spark, rows).selectExpr("*", "doc_id * 0.125 as `a.b`").drop("score", "lang_pred").selectExpr(
+        "*", "doc_id / 8 as score", "concat('mine', doc_id) as lang_pred")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert out.columns == docs.columns and out.count() > 0
+    want = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    assert all(want[r["doc_id"]] == tuple(r) for r in out.collect())
+
+
 def plain_pipeline(rows):
     """The stages in plain Python. Rows with null or repeated ids are of a source that the mix takes whole, so ties in
     its shuffle do not matter."""
