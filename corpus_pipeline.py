@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linkfold.llm import exact_dedup, langid, mixing, packing, queries, simhash
-from linkfold.llm.common import read_documents, stored
+from linkfold.llm.common import read_documents
+from linkfold.storage import drop_path, new_scratch_path, scratch, write_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
+    docs, before = read_documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_scratch_path(spark, f"stage-{name}")
+        with scratch(spark):   # what the stage has stored goes with it
+            docs = write_table(stage(spark, docs, sf_dir), path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
