@@ -4,9 +4,10 @@
 only classes are compared:
 
 1. A tree is fitted on a bounded sample of the fingerprints (``sample`` of them, by hash order). A node holds a vantage
-   point and the median distance to it. Points within the median go to the inner shard, the others to the outer one, and
-   those near the boundary on either side (by the triangle inequality no others can be within ``max_bits`` across it)
-   also to a shard that compares the two strips. Every pair within ``max_bits`` meets in exactly one shard.
+   point and a radius, chosen among several for the rows they deal. Points within the radius go to the inner shard, the others to the
+   outer one, and of the two strips along the boundary (by the triangle inequality no other points can be within ``max_bits`` across
+   it) the smaller one is also sent to the other side, as queries, which are pruned on their way down. Every pair within ``max_bits``
+   meets in exactly one shard.
 2. Every fingerprint is routed through the tree; shards are Spark groups. A shard above ``shard_cap`` points, which
    happens where near copies are dense, is compared in blocks, one group for each pair of blocks.
 3. Inside a group the same splitting goes on down to small arrays, compared bit by bit: an exact check, no recall loss.
@@ -20,6 +21,7 @@ the least other id of its component and is never a component's id; an empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -107,36 +109,70 @@ def _vantage(a: np.ndarray, ia: np.ndarray) -> tuple | None:
     return (point, mid) if mid >= 0 else None
 
 
+def _choose(sample: np.ndarray, stored: np.ndarray, queries: np.ndarray, r: int, tries: int = 8) -> tuple[int, int, bool] | None:
+    """``(vantage, radius, whether the inner strip is sent)``: of several vantage points and all radii the one that deals the fewest
+    further rows for each bit that it tells apart; None if every cut deals most rows twice."""
+    n, best, score = len(stored), None, math.inf
+    for t in range(tries):
+        point = int(sample[stored[(2 * t + 1) * n // (2 * tries)]])
+        # points and queries up to each distance, with r places of padding on either side
+        held, asked = (np.pad(np.cumsum(np.bincount(_bits(sample[x], point), minlength=65)), r, mode="edge") for x in (stored, queries))
+        held[:r] = asked[:r] = 0
+        for mid in range(64):
+            at = mid + r
+            share = held[at] / n
+            if not 0.1 <= share <= 0.9:
+                continue
+            near_in, near_out = held[at] - held[at - r], held[at + r] - held[at]
+            more = min(near_in, near_out) + asked[at + r] - asked[at - r]
+            told = -share * math.log2(share) - (1 - share) * math.log2(1 - share)
+            if more <= 0.75 * (n + len(queries)) and more / told < score:
+                best, score = (point, mid, bool(near_in <= near_out)), more / told
+    return best
+
+
+def _sides(node: tuple[int, int, bool], a: np.ndarray, stored: np.ndarray, queries: np.ndarray, r: int):
+    """The inner and the outer part, each as ``(stored, queries)``. Every stored point is in one of them; the smaller strip along the
+    boundary is sent as queries to the other side, and a query goes wherever the triangle inequality leaves room for a link."""
+    point, mid, send_inner = node
+    d, q = _bits(a[stored], point), _bits(a[queries], point)
+    inner, outer = [queries[q <= mid + r]], [queries[q > mid - r]]
+    if send_inner:
+        outer.append(stored[(d <= mid) & (d > mid - r)])
+    else:
+        inner.append(stored[(d > mid) & (d <= mid + r)])
+    return (stored[d <= mid], np.concatenate(inner)), (stored[d > mid], np.concatenate(outer))
+
+
 def fit_tree(sample: np.ndarray, total: int, shard: int, r: int, least: int = 64):
-    """Nested ``(vantage, children)``; a leaf is its number. Splits until a shard is expected to hold ``shard`` points or
+    """Nested ``(node, inner, outer)``; a leaf is its number. Splits until a shard is expected to hold ``shard`` points or
     the sample has fewer than ``least`` in it."""
     scale, leaves = total / max(1, len(sample)), [0]
 
-    def build(ia, ib):
-        n = len(ia) + (0 if ib is None else len(ib))
-        v = _vantage(sample, ia) if n * scale > shard and len(ia) >= least else None
-        if v is None:
+    def build(stored, queries):
+        node = _choose(sample, stored, queries, r) if len(stored) * scale > shard and len(stored) >= least else None
+        if node is None:
             leaves[0] += 1
             return leaves[0] - 1
-        return v, [build(x, y) for x, y in _split(v, sample, ia, ib, r)]
+        return node, *[build(*side) for side in _sides(node, sample, stored, queries, r)]
 
-    return build(np.arange(len(sample)), None)
+    return build(np.arange(len(sample)), np.zeros(0, int))
 
 
 def route(tree, a: np.ndarray, r: int) -> list[tuple[int, int, np.ndarray]]:
-    """``(shard, side, indices)``: side 0 compares with side 0 (a whole shard) or, in a strip shard, side 1 with side 2."""
+    """``(shard, side, indices)``: side 0, the points that the shard stores, is compared with itself and with side 1, the queries.
+    Every pair within ``r`` bits meets in one shard, once."""
     out = []
 
-    def go(node, ia, ib):
+    def go(node, stored, queries):
         if isinstance(node, int):
-            out.extend([(node, 0, ia)] if ib is None else [(node, 1, ia), (node, 2, ib)])
+            out.extend((node, side, x) for side, x in ((0, stored), (1, queries)) if len(x))
             return
-        v, children = node
-        for child, (x, y) in zip(children, _split(v, a, ia, ib, r)):
-            if len(x) or (y is not None and len(y)):
-                go(child, x, y)
+        for child, side in zip(node[1:], _sides(node[0], a, stored, queries, r)):
+            if len(side[0]) or len(side[1]):
+                go(child, *side)
 
-    go(tree, np.arange(len(a)), None)
+    go(tree, np.arange(len(a)), np.zeros(0, int))
     return out
 
 
@@ -213,7 +249,7 @@ def near_links(reps: DataFrame, max_bits: int = 4, sample: int = 100_000, shard:
         a = group["fp"].to_numpy("<i8").view("<u8")
         side, rep, labels = group["side"].to_numpy(), group["rep"].to_numpy(), np.arange(len(group))
         link(a, np.flatnonzero(side == 0), None, max_bits, labels)
-        link(a, np.flatnonzero(side == 1), np.flatnonzero(side == 2), max_bits, labels)
+        link(a, np.flatnonzero(side == 0), np.flatnonzero(side == 1), max_bits, labels)
         to = np.flatnonzero(labels != np.arange(len(a)))
         return pd.DataFrame({"a": rep[to], "b": rep[labels[to]]})
 
