@@ -9,7 +9,7 @@ only classes are compared:
    it) the smaller one is also sent to the other side, as queries, which are pruned on their way down. Every pair within ``max_bits``
    meets in exactly one shard.
 2. Every fingerprint is routed through the tree; shards are Spark groups. A shard above ``shard_cap`` points, which
-   happens where near copies are dense, is compared in blocks, one group for each pair of blocks.
+   happens where near copies are dense, is compared in blocks: stored blocks in pairs, and each stored block with each block of queries.
 3. Inside a group the same splitting goes on down to small arrays, compared bit by bit: an exact check, no recall loss.
    A group gives a spanning forest of its links, never all pairs.
 4. The forests' edges are joined by the library's connected components.
@@ -235,21 +235,29 @@ def near_links(reps: DataFrame, max_bits: int = 4, sample: int = 100_000, shard:
     kind = dict(reps.dtypes)["rep"]
     rows = stored(reps.mapInPandas(routed, f"shard long, side tinyint, fp long, rep {kind}"), "simhash-shards")
 
-    # shards above the cap, at most (rows / cap) of them, are compared in pairs of blocks
-    big = (rows.groupBy("shard").count().where(F.col("count") > shard_cap)
-           .select("shard", F.ceil(F.col("count") / (shard_cap // 2)).cast("int").alias("_blocks")))
-    block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("_blocks")).cast("int")
-    pairs = F.when(F.col("_blocks") > 1, F.transform(
-        F.sequence(F.lit(0), F.col("_blocks") - 1),
-        lambda j: F.least(j, F.col("_block")) * F.col("_blocks") + F.greatest(j, F.col("_block")))).otherwise(F.array(F.lit(0)))
-    dealt = (rows.join(F.broadcast(big), "shard", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-             .withColumn("_block", block).withColumn("pair", F.explode(pairs)))
+    # shards above the cap, at most (rows / cap) of them, are compared in groups: of stored blocks in pairs (one, where half the
+    # cap holds all that is stored) and of a stored block with a block of queries. Side 2 is stored and only compared with queries.
+    sizes = rows.groupBy("shard").agg(F.count(F.when(F.col("side") == 0, 1)).alias("n"), F.count(F.when(F.col("side") == 1, 1)).alias("q"))
+    half = max(1, shard_cap // 2)
+    big = sizes.where(F.col("n") + F.col("q") > shard_cap).selectExpr(
+        "shard", f"int(greatest(1, ceil(n / {half}))) as bs",
+        f"int(greatest(1, ceil(q / if(n <= {half}, {max(2, shard_cap)} - n, {half})))) as bq")
+    dealt = (rows.join(F.broadcast(big), "shard", "left")
+             .selectExpr("shard", "side", "fp", "rep", "coalesce(bs, 1) as bs", "coalesce(bq, 1) as bq", "xxhash64(fp, 1) as h")
+             .selectExpr("*", "int(pmod(h, bs)) as i", "int(pmod(h, bq)) as j")
+             .selectExpr("shard", "fp", "rep", """inline(case
+                 when side = 0 and bs = 1 then transform(sequence(0, bq - 1), y -> named_struct('pair', y, 'to', if(y = 0, 0, 2)))
+                 when side = 0 then concat(
+                     transform(sequence(0, bs - 1), x -> named_struct('pair', least(x, i) * bs + greatest(x, i), 'to', 0)),
+                     transform(sequence(0, bq - 1), y -> named_struct('pair', bs * bs + i * bq + y, 'to', 2)))
+                 when bs = 1 then array(named_struct('pair', j, 'to', 1))
+                 else transform(sequence(0, bs - 1), x -> named_struct('pair', bs * bs + x * bq + j, 'to', 1)) end) as (pair, to)"""))
 
     def forest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a = group["fp"].to_numpy("<i8").view("<u8")
-        side, rep, labels = group["side"].to_numpy(), group["rep"].to_numpy(), np.arange(len(group))
+        side, rep, labels = group["to"].to_numpy(), group["rep"].to_numpy(), np.arange(len(group))
         link(a, np.flatnonzero(side == 0), None, max_bits, labels)
-        link(a, np.flatnonzero(side == 0), np.flatnonzero(side == 1), max_bits, labels)
+        link(a, np.flatnonzero(side != 1), np.flatnonzero(side == 1), max_bits, labels)
         to = np.flatnonzero(labels != np.arange(len(a)))
         return pd.DataFrame({"a": rep[to], "b": rep[labels[to]]})
 

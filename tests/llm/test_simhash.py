@@ -80,7 +80,7 @@ def test_every_pair_meets_in_exactly_one_shard():
     assert (meet[near] == 1).all()
 
 
-@pytest.mark.parametrize("options", [{}, {"shard": 20, "sample": 60}, {"shard": 50, "shard_cap": 10}])
+@pytest.mark.parametrize("options", [{}, {"shard": 20, "sample": 60}, {"shard": 50, "shard_cap": 10}, {"shard": 20, "shard_cap": 70}])
 def test_links_in_spark(spark, options):
     a = clustered(600, 11)
     reps = spark.createDataFrame(pd.DataFrame({"fp": a.view("<i8"), "rep": np.arange(len(a))})).repartition(3)
