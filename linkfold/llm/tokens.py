@@ -91,31 +91,36 @@ def by_size(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+class PreTokenIds(dict):
+    """Ids of each pre-token, by the library's model alone: nothing is left to normalise or to split. The first ``entries`` that
+    are asked for stay; one look-up serves a pre-token, and the entries of frequent ones lie in the processor's cache."""
+
+    def __init__(self, tok, entries: int):
+        super().__init__()
+        self.merge, self.letters, self.entries = tok.model.tokenize, byte_letters(), entries
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]
+        data = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.entries:
+            self[word] = data
+        return data
+
+
 class ByteBpeEncoder:
     """Ids of whole texts under a byte-level BPE tokenizer, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tok, self.special = load(path), special_strings(path)
-        self.letters = byte_letters()
-        self.words = Memory(self._words, entries)
+        self.words = PreTokenIds(self.tok, entries)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each pre-token, by the library's model alone: nothing is left to normalise or to split."""
-        merge, letters = self.tok.model.tokenize, self.letters
-        found = ([t.id for t in merge(w.encode().decode("latin-1").translate(letters))] for w in words)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
-
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         with collector_off():
-            texts = list(texts)
-            split = [_PRE_TOKEN.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None
-                     for t in texts]
-            ids = self.words.of(set().union(*(w for w in split if w is not None)))
-            return [b"".join(map(ids.__getitem__, w)) if w is not None else self._whole([t])[0]
-                    for t, w in zip(texts, split)]
+            return [b"".join(map(self.words.__getitem__, _PRE_TOKEN.findall(t)))
+                    if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else self._whole([t])[0] for t in texts]
 
 
 @functools.cache
