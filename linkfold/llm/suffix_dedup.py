@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, **options) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, spans, kept``: the removed byte ranges, and the other bytes."""
     spots = repeated_windows(docs, window, **options)
     by_doc = spots.groupBy(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h")).agg(
-        F.collect_list(F.struct("first", "last")).alias("found"))   # of one text
+        F.collect_set(F.struct("first", "last")).alias("found"))   # of one text, however many rows have it
     src = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("doc_hash"), text_or_empty().cast("binary").alias("data"))
     kind = dict(src.dtypes)["doc_id"]
 

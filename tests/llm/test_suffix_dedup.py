@@ -57,6 +57,10 @@ def test_odd_rows_with_the_default_window(spark):
     check(spark, rows + [(1000 + r[0], *r[1:]) for r in random_rows(60, words=150)])
 
 
+def test_many_equal_rows(spark):
+    check(spark, [(7, "a passage that all of them share", "en", "s", 0)] * 300 + [(8, "and a passage that all of them have", "en", "s", 0)] * 2, window=20, key=8)
+
+
 def test_chunks_hold_every_window_once(monkeypatch):
     monkeypatch.setattr(X, "CHUNK", 50)
     lengths = np.array([0, 5, 20, 19, 49, 50, 69, 70, 500, 21])
