@@ -3,8 +3,9 @@
 Base: the places where a phrase's words stand one after the other.
 
 Method: a text's words are cut into overlapping blocks (``2 * span`` words, one every ``span``), so any run of up to ``span + 1``
-words lies whole in some block. Each block is joined with every template of which it contains the share
-``threshold``:
+words lies whole in some block. Longer templates, whole license texts, take blocks two, four, ... times as wide, the
+least width that holds them; only texts that hold enough of such a template get wide blocks. Each block is joined with every
+template of its width of which it contains the share ``threshold``:
 
 1. Tokens are ordered by how many documents of the whole table hold them, rarest first.
 2. Prefix filter: a block that shares ``k`` of a template's ``n`` tokens must hold one of the template's first ``n - k + 1``,
@@ -20,6 +21,7 @@ any place or block the labels are empty strings and the score 0; an empty table
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -52,6 +54,26 @@ TEMPLATES = [
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
+#: fixed values: public license texts as a whole, by label
+BODIES = [
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS "
+            "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+            "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+            "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+            "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the Software), to deal in the Software without restriction, including without limitation the rights "
+            "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+            "whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
+            "notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT "
+            "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+            "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES "
+            "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+            "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+]
+TEMPLATES += BODIES
+
 
 def words_of(text: Column) -> Column:
     """The words, A-Z lower-cased. ``lower`` also maps other letters, which never meet a template's; the two that it would
@@ -83,22 +105,30 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(may, F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts), F.lit(0))), here)).otherwise(none)
 
 
-def _needs(templates, threshold: float, span: int) -> list[tuple[str, list[str], int]]:
-    """``(label, tokens, how many a block must hold)`` of each template."""
-    sets = [template_words(t) for _, t in templates]
-    if any(not tokens or len(re.findall(WORD, t.lower())) > span + 1 for tokens, (_, t) in zip(sets, templates)):
-        raise ValueError("a template has no word or more than span + 1 words")
-    return [(label, tokens, math.ceil(threshold * len(tokens))) for (label, _), tokens in zip(templates, sets)]
+def template_span(text: str, span: int) -> int:
+    """The least of ``span``, ``2 * span``, ``4 * span``, ... of which a block holds every run of the template's length."""
+    n = len(re.findall(WORD, text.lower()))
+    if not n:
+        raise ValueError("a template has no word")
+    while n > span + 1:
+        span *= 2
+    return span
+
+
+def _needs(templates, threshold: float, span: int) -> list[tuple[str, list[str], int, int]]:
+    """``(label, tokens, how many a block must hold, span of its blocks)`` of each template."""
+    sets = [(label, template_words(t), template_span(t, span)) for label, t in templates]
+    return [(label, tokens, math.ceil(threshold * len(tokens)), wide) for label, tokens, wide in sets]
 
 
 def read_words(docs: DataFrame, phrases, needs) -> DataFrame:
     """One pass over the texts, stored: ``doc_id, doc_hash, n_words, at0, at1, ..`` (places of the phrases), ``held`` (template
     tokens in the text) and ``words``, all of them, of the texts that hold enough of a template as a whole, else null."""
-    every = sorted(set().union(*(tokens for _, tokens, _ in needs))) if needs else []
+    every = sorted(set().union(*(tokens for _, tokens, *_ in needs))) if needs else []
     src = texts(docs).select("doc_id", F.xxhash64("text").alias("doc_hash"), words_of(F.col("text")).alias("words"))
     src = src.select("*", F.array_intersect("words", _strings(every)).alias("held"))
     enough = F.lit(False)
-    for _, tokens, need in needs:
+    for _, tokens, need, _ in needs:
         enough = enough | (F.size(F.array_intersect("held", _strings(tokens))) >= need)
     return stored(src.select("doc_id", "doc_hash", F.size("words").cast("long").alias("n_words"),
                              *[phrase_starts(F.col("words"), p).alias(f"at{i}") for i, p in enumerate(phrases.values())],
@@ -112,16 +142,25 @@ def order_tokens(read: DataFrame, tokens: list[str]) -> list[str]:
     return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def matching_blocks(read: DataFrame, needs, span: int) -> DataFrame:
-    """``doc_id, doc_hash, block, label, template, score``: every block that holds enough of a template's tokens.
+def matching_blocks(read: DataFrame, needs) -> DataFrame:
+    """``doc_id, doc_hash, span, block, label, template, score``: every block that holds enough of a template's tokens.
 
-    ``block`` counts from 0; block ``b`` is the words from ``b * span`` on. ``doc_hash`` is the text's XXH64.
+    ``block`` counts from 0 among those of its width; block ``b`` is the ``2 * span`` words from ``b * span`` on. ``doc_hash`` is the
+    text's XXH64.
     """
-    order = order_tokens(read, sorted(set().union(*(tokens for _, tokens, _ in needs))))
+    order = order_tokens(read, sorted(set().union(*(tokens for _, tokens, *_ in needs))))
+    spans = sorted({wide for *_, wide in needs})
+    found = [_blocks_of(read, [(k, *n) for k, n in enumerate(needs) if n[3] == span], order, span) for span in spans]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _blocks_of(read: DataFrame, needs, order: list[str], span: int) -> DataFrame:
+    """``matching_blocks`` for the templates whose blocks are ``2 * span`` words."""
+    order = [t for t in order if any(t in tokens for _, _, tokens, *_ in needs)]
     rank = {t: i for i, t in enumerate(order)}
-    least = min(need for _, _, need in needs)
+    least = min(need for _, _, _, need, _ in needs)
     rows = []
-    for k, (label, tokens, need) in enumerate(needs):
+    for k, label, tokens, need, _ in needs:
         ranks = sorted(rank[t] for t in tokens)
         rows += [(r, p, k, label, need, ranks) for p, r in enumerate(ranks[:len(ranks) - need + 1])]
     index = read.sparkSession.createDataFrame(
@@ -129,7 +168,8 @@ def matching_blocks(read: DataFrame, needs, span: int) -> DataFrame:
     prefix = sorted({order[r[0]] for r in rows})
 
     ranks_of = F.create_map(*[F.lit(x) for t in order for x in (t, rank[t])])
-    near = read.where(F.col("words").isNotNull() & F.arrays_overlap("held", _strings(prefix)))
+    near = read.where(F.col("words").isNotNull() & F.arrays_overlap("held", _strings(prefix))
+                      & (F.size(F.array_intersect("held", _strings(order))) >= least))
     last = F.floor(F.greatest(F.col("n_words") - span - 1, F.lit(0)) / span).cast("int")
     blocks = (near.select("doc_id", "doc_hash", F.posexplode(F.transform(
                   F.sequence(F.lit(0), last),
@@ -143,7 +183,7 @@ def matching_blocks(read: DataFrame, needs, span: int) -> DataFrame:
              .where(F.least(F.size("_ranks") - F.col("_p"), size - F.col("_q")) >= F.col("_need"))
              .withColumn("_both", F.size(F.array_intersect("_held", "_ranks")))
              .where("_both >= _need"))
-    return found.select("doc_id", "doc_hash", "block", "label", "template",
+    return found.select("doc_id", "doc_hash", F.lit(span).alias("span"), "block", "label", "template",
                         (F.col("_both") / F.size("_ranks")).alias("score")).distinct()
 
 
@@ -160,7 +200,7 @@ def scan_licenses(docs: DataFrame, phrases=None, templates=TEMPLATES, threshold:
     base = read.select("doc_id", "doc_hash", "n_words", F.size(every).cast("long").alias("n_base"),
                        F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
                        F.array_distinct(labels).alias("_base"))
-    more = (matching_blocks(read, needs, span).groupBy("doc_id", "doc_hash")
+    more = (matching_blocks(read, needs).groupBy("doc_id", "doc_hash")
             .agg(F.collect_set("label").alias("_more"), F.max("score").alias("_score"))
             .select(F.col("doc_id").alias("_i"), F.col("doc_hash").alias("_h"), "_more", "_score"))
     both = base.join(more, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("doc_hash") == F.col("_h")), "left")
@@ -180,7 +220,11 @@ def scan_sql(phrases=None, templates=TEMPLATES, threshold: float = 0.9, span: in
         f"select n, i, '{label}' as label from words, unnest(range(len(w))) as r(i) where "
         + " and ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split(), 1))
         for label, phrase in phrases.items())
-    notices = ", ".join(f"('{label}', {quoted(template_words(t))})" for label, t in templates)
+    notices = ", ".join(f"('{label}', {quoted(template_words(t))}, {template_span(t, span)})" for label, t in templates)
+    blocks = " union all ".join(
+        f"select n, {wide} as span, list_intersect(list_distinct(w[b * {wide} + 1 : (b + 2) * {wide}]), every) as held "
+        f"from words, tokens, unnest(range(greatest(len(w) - {wide} - 1, 0) // {wide} + 1)) as r(b)"
+        for wide in sorted({template_span(t, span) for _, t in templates}))
     every = quoted(sorted({w for _, t in templates for w in template_words(t)}))
     return f"""
         with words as (
@@ -190,11 +234,11 @@ def scan_sql(phrases=None, templates=TEMPLATES, threshold: float = 0.9, span: in
         places as ({places}),
         base as (select n, count(*) as n_base, min(i) as first_word, max(i) as last_word,
                         list(distinct label) as labels from places group by n),
-        blocks as (select n, list_intersect(list_distinct(w[b * {span} + 1 : (b + 2) * {span}]), {every}) as held
-                   from words, unnest(range(greatest(len(w) - {span} - 1, 0) // {span} + 1)) as r(b)),
-        notices(label, t) as (values {notices}),
+        tokens as (select {every} as every),
+        blocks as ({blocks}),
+        notices(label, t, span) as (values {notices}),
         shares as (select n, label, len(list_intersect(held, t)) / len(t) as share, len(list_intersect(held, t)) as hits, len(t) as size
-                   from blocks, notices where len(held) > 0),
+                   from blocks join notices using (span) where len(held) > 0),
         more as (select n, list(distinct label) as labels, max(share) as share from shares
                  where hits >= ceil({threshold} * size) group by n)
         select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,

@@ -19,8 +19,18 @@ LICENSES = [
 ]
 
 
+def bodies():
+    """Whole license texts: alone, amid much else at many places, with a few words changed, cut in half, and torn apart by other words."""
+    out = []
+    for _, t in L.BODIES:
+        w, other = t.split(), [f"w{i}" for i in range(900)]
+        out += [t, *(" ".join([*other[:k], *w, *other[k:]]) for k in range(0, 900, 131)), t.replace("IMPLIED", "tacit").replace("Software", "Work"),
+                " ".join(w[:len(w) // 2]), " ".join([*w[:len(w) // 2], *other, *w[len(w) // 2:]])]
+    return out
+
+
 def rows():
-    return edge_rows() + [(500 + i, t, "en", "s", len(t)) for i, t in enumerate(LICENSES)]
+    return edge_rows() + [(500 + i, t, "en", "s", len(t)) for i, t in enumerate(LICENSES + bodies())]
 
 
 def brute(text, threshold=0.9, span=32):
@@ -29,10 +39,11 @@ def brute(text, threshold=0.9, span=32):
     places = [(i, label) for label, p in L.PHRASES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
     labels, score = {x for _, x in places}, 1.0 if places else 0.0
     base = set(labels)
-    for b in range(max(0, len(w) - span - 1) // span + 1):
-        block = set(w[b * span:(b + 2) * span])
-        for label, t in L.TEMPLATES:
-            tokens = set(L.template_words(t))
+    for label, t in L.TEMPLATES:
+        tokens, n = set(L.template_words(t)), len(re.findall(L.WORD, t.lower()))
+        wide = next(span << k for k in range(30) if n <= (span << k) + 1)
+        for b in range(max(0, len(w) - wide - 1) // wide + 1):
+            block = set(w[b * wide:(b + 2) * wide])
             if len(tokens & block) >= math.ceil(threshold * len(tokens)):
                 labels.add(label)
                 score = max(score, len(tokens & block) / len(tokens))
@@ -71,9 +82,21 @@ def test_native_plan(spark):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
 
 
+def test_whole_license_texts_are_found(spark):
+    assert len(re.findall(L.WORD, L.BODIES[1][1].lower())) > 160
+    texts = bodies()
+    got = {r["doc_id"]: r for r in L.scan_licenses(table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), templates=L.BODIES).collect()}
+    half = len(texts) // 2
+    for start, (label, _) in zip((0, half), L.BODIES):
+        whole, (changed, cut, torn) = range(start, start + half - 3), range(start + half - 3, start + half)
+        assert all((got[i]["labels"], got[i]["score"]) == (label, 1.0) for i in whole)
+        assert got[changed]["labels"] == label and 0.9 <= got[changed]["score"] < 1
+        assert not got[cut]["labels"] and not got[torn]["labels"]
+
+
 def test_bad_templates(spark):
     with pytest.raises(ValueError):
-        L.scan_licenses(table(spark, rows()), templates=[("x", "a " * 99)])
+        L.scan_licenses(table(spark, rows()), templates=[("x", " .,-")])
 
 
 def test_empty_table(spark):
