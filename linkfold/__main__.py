@@ -60,6 +60,8 @@ def _parser() -> argparse.ArgumentParser:
     k.add_argument("--features", type=int, default=4)
     k.add_argument("--seed", type=int, default=42)
     k.add_argument("--max-steps", type=int, default=100)
+    k.add_argument("--on-bad", choices=("fail", "drop"), default="fail",
+                   help="rows with a missing field or a feature that is no number")
     return p
 
 
@@ -105,10 +107,10 @@ def run_components(spark: SparkSession, a: argparse.Namespace) -> dict:
 def run_kmeans(spark: SparkSession, a: argparse.Namespace) -> dict:
     from linkfold.operators import kmeans as km
     from linkfold.operators.ordering import row_index
-    from linkfold.sources.edges import read_vectors_csv
+    from linkfold.sources.edges import read_vectors_csv, vector_report
     from linkfold.sources.sinks import write_result
 
-    raw = read_vectors_csv(spark, a.input, n_features=a.features, sep=a.sep)
+    raw = read_vectors_csv(spark, a.input, n_features=a.features, sep=a.sep, on_bad=a.on_bad)
     # contiguous ids from 0 (what zipWithIndex gives), in the order of Spark's input splits
     points = row_index(raw.withColumn("_pos", F.monotonically_increasing_id()), ["_pos"], "id", position=["_pos"]) \
         .select("id", "features", "label")
@@ -118,7 +120,9 @@ def run_kmeans(spark: SparkSession, a: argparse.Namespace) -> dict:
     features = ["features"] if a.format == "parquet" else [F.col("features")[i].alias(f"f{i}") for i in range(a.features)]
     write_result(res.assignment.select("id", "cid", "dist", *features, "label"), a.output, fmt=a.format)
     t2 = time.time()
-    return {"command": "kmeans", "k": a.k, "steps": res.steps, "converged": res.converged, "error": res.error,
+    read = vector_report(spark, a.input, n_features=a.features, sep=a.sep).first()
+    return {"command": "kmeans", "k": a.k, "input_rows": read["n_rows"], "rejected_rows": read["n_short"] + read["n_unreadable"],
+            "steps": res.steps, "converged": res.converged, "error": res.error,
             "switches": [t[1] for t in res.trace], "centers": [[c, v] for c, v in res.centers],
             "process_s": round(t1 - t0, 3), "write_s": round(t2 - t1, 3)}
 

@@ -30,7 +30,7 @@ from linkfold.operators.reports import (MEMBER_CHUNK, component_count, component
                                         top_components)
 from linkfold.operators.rounds import cc_round
 from linkfold.sources.edges import (GRAPHS, edge_report, embedding_vectors, read_edges_csv,
-                                    read_edges_text, table, write_edges_text)
+                                    read_edges_text, read_vectors_csv, table, vector_report, write_edges_text)
 from linkfold.sources.sinks import read_result, write_result
 from linkfold.storage import new_scratch_path
 
@@ -124,6 +124,26 @@ def q_scan_drop_bad(spark, sf):
     return read_edges_csv(spark, _mixed_lines(spark, sf), on_bad="drop")
 
 
+def _vector_lines(spark, sf):
+    """A vector file of ``embeddings``: four features and the label a line; some lines without a label, some with a feature that is no number."""
+    e = table(spark, sf, "embeddings")
+    fields = [F.col("embedding")[i].cast("double").cast("string") for i in range(4)]
+    fields[1] = F.when(F.col("vec_id") % 11 == 3, F.lit("n/a")).otherwise(fields[1])
+    label = F.when(F.col("vec_id") % 7 != 0, F.col("label").cast("string"))
+    path = new_scratch_path(spark, "vector-lines")
+    e.select(F.concat_ws(",", *fields, label).alias("value")).write.text(path)
+    return path
+
+
+def q_scan_vectors_csv(spark, sf):
+    v = read_vectors_csv(spark, _vector_lines(spark, sf), on_bad="drop")
+    return v.select(*[F.col("features")[i].alias(f"f{i}") for i in range(4)], "label")
+
+
+def q_scan_vector_rejects(spark, sf):
+    return vector_report(spark, _vector_lines(spark, sf))
+
+
 def q_sink_roundtrip(spark, sf):
     path = new_scratch_path(spark, "sink")
     write_result(edges(spark, sf), path, fmt="parquet")
@@ -472,6 +492,8 @@ QUERIES: dict[str, Query] = {
     "scan_rejects": q_scan_rejects,
     "scan_drop_bad": q_scan_drop_bad,
     "scan_vectors": q_scan_vectors,
+    "scan_vectors_csv": q_scan_vectors_csv,
+    "scan_vector_rejects": q_scan_vector_rejects,
     "row_index": q_row_index,
     "sink_roundtrip": q_sink_roundtrip,
     "head_edges": q_head_edges,

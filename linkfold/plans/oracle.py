@@ -141,6 +141,8 @@ def _with_center() -> str:
 
 
 # edge lines with short and unreadable fields, and why a line is rejected
+_VECTORS = ("select *, case when vec_id % 7 = 0 or label is null then 'short' "
+            "when vec_id % 11 = 3 then 'unreadable' end as problem from embeddings")
 _MIXED = ("select l_orderkey as src, l_partkey as dst, case when l_linenumber = 7 then 'short' "
           "when l_quantity > 45 then 'unreadable' end as problem from lineitem")
 
@@ -158,6 +160,10 @@ SQL: dict[str, str] = {
     "sink_roundtrip": E1,
     "partition_profile": (f"select cast(src % 16 as integer) as partition, count(*) as n_rows from ({E1}) "
                           f"group by src % 16"),
+    "scan_vectors_csv": (f"select cast(embedding[1] as double) as f0, cast(embedding[2] as double) as f1, cast(embedding[3] as double) as f2, "
+                         f"cast(embedding[4] as double) as f3, cast(label as varchar) as label from ({_VECTORS}) where problem is null"),
+    "scan_vector_rejects": (f"select count(*) as n_rows, count(*) filter (problem = 'short') as n_short, "
+                            f"count(*) filter (problem = 'unreadable') as n_unreadable from ({_VECTORS})"),
     "scan_vectors": ("select vec_id as id, cast(i - 1 as integer) as dim, cast(embedding[i] as double) as value, "
                      "cast(label as varchar) as label from embeddings, generate_series(1, len(embedding)) g(i)"),
     "row_index": f"select src, dst, row_number() over (order by src, dst) - 1 as idx from ({E1})",

@@ -114,14 +114,41 @@ def write_edges_text(df: DataFrame, path: str, sep: str = "\t", header: bool = F
             .coalesce(1).write.mode("overwrite").text(f"{path}/preamble")
 
 
-def read_vectors_csv(spark: SparkSession, path: str, n_features: int = 4,
-                     sep: str = ",") -> DataFrame:
-    """``f0..f{n-1}`` doubles then a label string per line ->
-    ``(features array<double>, label string)``."""
-    fields = ", ".join(f"f{i} double" for i in range(n_features))
-    df = spark.read.schema(f"{fields}, label string").option("sep", sep).csv(path)
-    return df.select(F.array(*[F.col(f"f{i}") for i in range(n_features)]).alias("features"),
-                     "label")
+def _raw_vectors(spark: SparkSession, path, n_features: int, sep: str) -> DataFrame:
+    """``(f0, .., f{n-1}, label)`` of every line as strings and why it is no labelled vector: ``short`` (a field is missing),
+    ``unreadable`` (a feature is no number), else null."""
+    names = [f"f{i}" for i in range(n_features)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in [*names, "label"])).option("sep", sep).csv(path)
+    holds = lambda test: F.exists(F.array(*names), test) if names else F.lit(False)
+    return raw.withColumn("_problem", F.when(F.col("label").isNull() | holds(lambda x: x.isNull()), "short")
+                          .when(holds(lambda x: x.try_cast("double").isNull()), "unreadable"))
+
+
+def vector_report(spark: SparkSession, path, n_features: int = 4, sep: str = ",") -> DataFrame:
+    """One row: ``n_rows, n_short, n_unreadable`` of a vector file: what ``read_vectors_csv`` with ``on_bad='drop'`` leaves out."""
+    raw = _raw_vectors(spark, path, n_features, sep).select("_problem")
+    return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("_problem") == "short", 1)).alias("n_short"),
+                   F.count(F.when(F.col("_problem") == "unreadable", 1)).alias("n_unreadable"))
+
+
+def read_vectors_csv(spark: SparkSession, path, n_features: int = 4, sep: str = ",", on_bad: str = "fail") -> DataFrame:
+    """``f0..f{n-1}`` doubles then a label string per line -> ``(features array<double>, label string)``; later fields are ignored.
+
+    A row with a missing field or a feature that is no number ends the run where it is read (``on_bad='fail'``), so no null reaches
+    a distance; ``on_bad='drop'`` leaves it out, and ``vector_report`` counts such rows.
+    """
+    if on_bad not in ("fail", "drop"):
+        raise ValueError(f"on_bad must be 'fail' or 'drop', got {on_bad!r}")
+    raw = _raw_vectors(spark, path, n_features, sep)
+    names = [f"f{i}" for i in range(n_features)]
+    features = F.array(*[F.col(c).try_cast("double") for c in names]) if names else F.array().cast("array<double>")
+    if on_bad == "drop":
+        return raw.where(F.col("_problem").isNull()).select(features.alias("features"), "label")
+    fields = F.concat_ws(sep, *names, "label")
+    message = F.concat(F.col("_problem"), F.lit(" vector row: "), fields)
+    # in both columns, so that whichever is read meets the check
+    checked = lambda value, kind: F.when(F.col("_problem").isNotNull(), F.raise_error(message).cast(kind)).otherwise(value)
+    return raw.select(checked(features, "array<double>").alias("features"), checked(F.col("label"), "string").alias("label"))
 
 
 # ---------------------------------------------------------------- driver-table graphs

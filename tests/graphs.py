@@ -2,7 +2,7 @@
 
 import random
 
-# fixed values: the example graph of the CCF paper and a hand-made graph
+# fixed values: the example graph of the CCF paper and the public two-component fixture
 EXAMPLE = [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("F", "G"), ("G", "H")]
 TWO_GRAPHS = [(1, 2), (1, 3), (2, 3), (2, 4), (2, 5), (3, 4), (4, 5), (4, 6), (5, 7), (5, 8),
               (7, 8), (13, 14), (13, 15), (13, 9), (14, 15), (15, 10), (9, 10)]

@@ -59,3 +59,14 @@ def test_kmeans_cli(spark, tmp_path):
     for r in rows:
         by_label.setdefault(r.label, set()).add(r.cid)
     assert all(len(c) == 1 for c in by_label.values()) and by_label["a"] != by_label["b"]
+
+
+def test_kmeans_cli_bad_rows(spark, tmp_path):
+    src = tmp_path / "points.csv"
+    src.write_text("0,0,a\n0,1,a\n9,9,b\n9,none,b\n9,8\n8,9,b\n")
+    args = ["kmeans", "--input", str(src), "--k", "2", "--features", "2"]
+    with pytest.raises(Exception, match="vector row"):
+        main([*args, "--output", str(tmp_path / "fail")])
+    report = main([*args, "--output", str(tmp_path / "drop"), "--on-bad", "drop"])
+    assert (report["input_rows"], report["rejected_rows"]) == (6, 2)
+    assert spark.read.parquet(str(tmp_path / "drop")).count() == 4

@@ -12,7 +12,7 @@ from linkfold.operators.ordering import (chunked_lists, ordered, partition_carri
                                          rank_in_group, row_index, running_totals, sorted_sets)
 from linkfold.operators.reports import component_members, top_components
 from linkfold.sources.edges import (duplicate_doc_edges, edge_report, embedding_vectors, order_part_edges,
-                                    read_edges_csv, read_edges_text, read_vectors_csv,
+                                    read_edges_csv, read_edges_text, read_vectors_csv, vector_report,
                                     write_edges_text)
 from linkfold.storage import scratch
 
@@ -128,6 +128,20 @@ def test_vector_csv_reader(spark, tmp_path):
     assert rows == [("setosa", [5.1, 3.5, 1.4, 0.2]), ("versicolor", [6.2, 2.9, 4.3, 1.3])]
 
 
+def test_vector_csv_bad_rows(spark, tmp_path):
+    path = tmp_path / "v.csv"
+    path.write_text("1.5,2,a\n,2,b\n3,x,c\n4,5\n\n6,7,d,more\n8,nine,e\n")
+    report = vector_report(spark, str(path), n_features=2).first()
+    assert tuple(report) == (6, 2, 2)
+    kept = read_vectors_csv(spark, str(path), n_features=2, on_bad="drop").collect()
+    assert sorted((r.label, r.features) for r in kept) == [("a", [1.5, 2.0]), ("d", [6.0, 7.0])]
+    for col in ("features", "label"):      # whichever column is read
+        with pytest.raises(Exception, match="(short|unreadable) vector row"):
+            read_vectors_csv(spark, str(path), n_features=2).select(col).collect()
+    with pytest.raises(ValueError):
+        read_vectors_csv(spark, str(path), on_bad="skip")
+
+
 def test_sql_functions_of_several_id_types_live_together(spark):
     from linkfold.functions.sql import register_relabel
     longs = spark.createDataFrame([(9, 1, 1), (9, 1, 4)], "n1 long, mn long, n2 long")
