@@ -52,14 +52,18 @@ def test_against_brute_force(spark, part_rows):
     got = S.fingerprint_edits(table(spark, rows), part_rows=part_rows, rows=2 if part_rows == 1 else 7).collect()
     assert Counter((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9))
                    for r in got) == Counter(want)
-    by_text = {}
-    for r, t in zip(sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)), []):
-        by_text.setdefault(t, set()).add(r["fingerprint"])
-    prints = {}
-    for r in got:
-        prints.setdefault(r["doc_id"], set()).add(r["fingerprint"])
-    same = [r[0] for r in rows if r[1] == "the same text" and r[0] is not None and len(prints[r[0]]) == 1]
-    assert len({next(iter(prints[i])) for i in same}) == 1
+
+
+def test_equal_texts_have_equal_fingerprints(spark):
+    texts = [t or "" for t in EDGE_TEXTS] + [r[1] for r in random_rows(40, seed=5, words=120)]
+    rows = [(i, texts[i % len(texts)], "en", "s", 0) for i in range(2 * len(texts) + 7)]
+    prints, lists = {}, {}
+    for r in S.fingerprint_edits(table(spark, rows), part_rows=9).collect():
+        prints.setdefault(texts[r["doc_id"] % len(texts)], set()).add(r["fingerprint"])
+    assert set(prints) == set(texts) and all(len(p) == 1 for p in prints.values())
+    for t, p in prints.items():      # the fingerprint is that of the paragraphs: others have others
+        lists.setdefault(tuple(sorted(S.paragraphs(t))), set()).update(p)
+    assert all(len(p) == 1 for p in lists.values()) and len(set().union(*lists.values())) == len(lists)
 
 
 def test_one_row_is_its_own_next(spark):
