@@ -45,6 +45,31 @@ def test_distance_by_hand():
     assert lang == min(apart, key=apart.get) and score == pytest.approx(1 - apart[lang] / 9)
 
 
+def brute_identify(rows, size=400, max_n=5):
+    """The whole operator in plain Python: profiles of all documents that are not held out, then the least out-of-place distance."""
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows]
+    counts = {}
+    for r, out in zip(rows, held):
+        if not out and r[2] is not None:
+            counts.setdefault(r[2], Counter()).update(brute_grams(r[1] or "", max_n))
+    profiles = {lang: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size])} for lang, c in counts.items() if c}
+    for r, out in zip(rows, held):
+        ranked = sorted(brute_grams(r[1] or "", max_n).items(), key=lambda x: (-x[1], langid.gram_hash(x[0])))[:size]
+        apart = {lang: sum(abs(p[g] - i) if g in p else size for i, (g, _) in enumerate(ranked)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get, default=None) if ranked else None
+        yield (r[0], out, best or "und", round(1 - apart[best] / (size * len(ranked)), 9) if best else 0.0)
+
+
+@pytest.mark.parametrize("options", [{}, {"profile_size": 50, "max_n": 3}])
+def test_the_whole_operator_against_brute_force(spark, options):
+    docs = read_documents(spark, "/root/testdata/sf0.001").select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars"))
+    rows = [tuple(r) for r in docs.collect()] + [(10_000 + (r[0] or 0), *r[1:]) for r in edge_rows()]
+    got = langid.identify(table(spark, rows), **options).collect()   # fewer documents of a language than the sample may hold
+    want = Counter(brute_identify(rows, *options.values()))
+    assert Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in got) == want
+    assert len({k[2] for k in want}) > 3
+
+
 def test_held_out_accuracy(spark):
     docs = read_documents(spark, "/root/testdata/sf0.01")
     got = langid.identify(docs, docs_per_lang=60).join(docs.select("doc_id", "lang"), "doc_id").collect()
