@@ -45,18 +45,36 @@ def _whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def placed(docs: DataFrame, tag: str) -> DataFrame:
-    """``(row, doc_id, source, text, _place)``: boxed rows and where each lies, the file (128 bits of its path) and the number in it.
-    The place is the same at every reading, so narrow results can be joined back without a second copy of the texts: a plain
-    Parquet scan is taken as it is, anything else is stored first."""
+def _with_place(docs: DataFrame, tag: str) -> tuple[DataFrame, Column, Column]:
+    """The rows, the file each lies in and the number in it, the same at every reading: a plain Parquet scan is taken as it is,
+    anything else is stored first."""
     plan = docs._jdf.queryExecution().analyzed()
     if plan.nodeName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
         docs = stored(docs, tag)
     at = docs.metadataColumn("_metadata")
-    place = F.struct(F.xxhash64(at["file_path"], F.lit(1)).alias("a"), F.xxhash64(at["file_path"], F.lit(2)).alias("b"), at["row_index"].alias("n"))
+    return docs, at["file_path"], at["row_index"]
+
+
+def placed(docs: DataFrame, tag: str) -> DataFrame:
+    """``(row, doc_id, source, text, _place)``: boxed rows and where each lies, the file (128 bits of its path) and the number in it,
+    so narrow results can be joined back without a second copy of the texts."""
+    docs, path, n = _with_place(docs, tag)
+    place = F.struct(F.xxhash64(path, F.lit(1)).alias("a"), F.xxhash64(path, F.lit(2)).alias("b"), n.alias("n"))
     return docs.select(_whole_row(docs).alias("row"), "doc_id", "source", text_or_empty().alias("text"), place.alias("_place"))
 
 
+def in_id_order(docs: DataFrame, tag: str, partitions: int | None = None) -> DataFrame:
+    """``(doc_id, text)`` in range partitions, sorted: by id (nulls first), the first 64 characters of the text, its digest. Rows equal
+    in all of these go by where they lie, so neither a null id nor copies under one id fill a partition. Spark's sample for the
+    ranges holds the keys, not the texts."""
+    docs, path, n = _with_place(docs, tag)
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(path, n).alias("_at"))
+    keys = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.xxhash64("text"), F.col("_at")
+    dealt = rows.repartitionByRange(*([partitions] if partitions else []), *keys)
+    return (dealt.select("doc_id", "text", keys[1].alias("_start"), keys[2].alias("_digest"), "_at")
+            .sortWithinPartitions(keys[0], "_start", "_digest", "_at").select("doc_id", "text"))
+
+
 def release(table: DataFrame) -> None:
     """Delete a ``stored`` table that nothing reads any more, and let Spark drop the shuffle files of finished plans."""
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:

@@ -8,13 +8,13 @@ larger, with other hashes. From what differs, ``likeness`` is the Jaccard simila
 
 The fingerprint is the number of digests and the smallest sketch, so equal texts have equal fingerprints.
 
-Cases: null text is the empty text (no paragraphs; like another empty text 1, else 0); rows with the same id follow one another by their
-texts; null ids come first; one row alone is its own next document; an empty table gives an empty result.
+Cases: null text is the empty text (no paragraphs; like another empty text 1, else 0); null ids come first; rows with the same id
+follow one another by the first 64 characters of their texts, then by a digest of them; one row alone is its own next document; an empty
+table gives an empty result. Ids may be of any type that sorts and casts to a string and back.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -22,11 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import stored, text_or_empty
+from linkfold.llm.common import in_id_order, stored
 
+RESULT = ("doc_id string, n_chars long, edited_sha256 binary, size long, cells binary, edited_size long, edited_cells binary, "
+          "near_edited double, near_next double")
+EDGES = "part int, first string, last string, last_id string"
+BATCH_CHARS = 1 << 23     # texts of so many characters are compared at once
 CELLS, HASHES = 15, 3     # cells of the least sketch, cells that a digest is added to
 LONG, LONGEST = 6, 16     # words of a line that stays whole, most words of a part
 _U = np.uint64
@@ -122,11 +127,12 @@ class Sketches:
         parts = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)]
         return *parts, empty
 
-    def strings(self, sizes: np.ndarray) -> list[str]:
+    def cells_of(self) -> list[bytes]:
+        """Each text's cells: the count (16 bits), the XOR of the digests (64) and that of their checksums (32), little-endian."""
         cell = np.zeros(self.n * self.cells, [("n", "<i2"), ("key", "<u8"), ("sum", "<u4")])
         cell["n"], cell["key"], cell["sum"] = self.count, self.keys, self.sums
         data, step = cell.tobytes(), self.cells * cell.itemsize
-        return [f"{n}:{base64.b64encode(data[i * step:(i + 1) * step]).decode()}" for i, n in enumerate(sizes.tolist())]
+        return [data[i * step:(i + 1) * step] for i in range(self.n)]
 
 
 def likeness(n: int, a: tuple, b: tuple) -> np.ndarray:
@@ -164,76 +170,81 @@ def picked(found: tuple[np.ndarray, np.ndarray], texts: np.ndarray) -> tuple[np.
     return np.repeat(np.arange(len(texts)), n), d[at]
 
 
-def compare(ids: list, texts: list[str], first: np.ndarray, following: np.ndarray) -> pd.DataFrame:
-    """A row for each pair of a text and the one that follows it (numbers in ``texts``)."""
-    changed = [edited(texts[i], texts[j]) for i, j in zip(first, following)]
+def compare(ids: list, texts: list[str]) -> pd.DataFrame:
+    """A row for each text but the last, with the one that follows it."""
+    changed = [edited(t, after) for t, after in zip(texts, texts[1:])]
     n, whole = len(changed), digests(texts)
-    own, nxt, alt = picked(whole, first), picked(whole, following), digests(changed)
+    own, nxt, alt = picked(whole, np.arange(n)), picked(whole, np.arange(1, n + 1)), digests(changed)
     size = lambda x: np.bincount(x[0], minlength=n)
     return pd.DataFrame({
-        "doc_id": pd.array([ids[i] for i in first], "Int64"),
-        "n_chars": [len(texts[i]) for i in first],
-        "edited_sha256": [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed],
-        "fingerprint": Sketches(n, CELLS, *own).strings(size(own)),
-        "edited_fingerprint": Sketches(n, CELLS, *alt).strings(size(alt)),
+        "doc_id": ids[:n], "n_chars": [len(t) for t in texts[:n]],
+        "edited_sha256": [hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest() for c in changed],
+        "size": size(own), "cells": Sketches(n, CELLS, *own).cells_of(),
+        "edited_size": size(alt), "edited_cells": Sketches(n, CELLS, *alt).cells_of(),
         "near_edited": likeness(n, own, alt), "near_next": likeness(n, own, nxt)})
 
 
-def fingerprint_edits(docs: DataFrame, part_rows: int = 800, max_parts: int = 20_000, rows: int = 400) -> DataFrame:
-    """One row per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+def compared(ordered: DataFrame, rows: int) -> DataFrame:
+    """``RESULT`` of every row of a range partition but its last, whose next one lies in another partition: that one, and the text
+    that the partition begins with, leave as one ``EDGES`` row. At most ``rows`` texts, or few more than ``BATCH_CHARS``, are held."""
+    result, edge = ([c.split()[0] for c in x.split(", ")] for x in (RESULT, EDGES))
 
-    The order by id is cut into parts of about ``part_rows`` rows. Each part also gets the first document of the part after
-    it (the last part: of the first), so one shuffle brings every document together with its next one.
-    """
-    least = F.lit(-(1 << 63))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn(
-        "_key", F.coalesce("doc_id", least))
-    keys = stored(src.select("_key"), "sketch-keys")
-    n_parts = max(1, min(max_parts, keys.count() // part_rows))
-    cuts = sorted(set(keys.approxQuantile("_key", [i / n_parts for i in range(1, n_parts)], 0.1 / n_parts))) if n_parts > 1 else []
-    bounds = np.array([int(c) for c in cuts], np.int64)
-
-    @F.pandas_udf("long")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right"))
-
-    # the first id of every part that has rows: at most one number for each part
-    firsts = [tuple(r) for r in keys.groupBy(part_of("_key").alias("p")).agg(F.min("_key")).orderBy("p").collect()]
-    first_ids = np.array([k for _, k in firsts], np.int64)
-
-    @F.pandas_udf("array<struct<part: long, last: boolean>>")
-    def places(key: pd.Series) -> pd.Series:
-        k = key.to_numpy()
-        at = np.searchsorted(first_ids, k, side="right") - 1
-        is_first = first_ids[at] == k
-        return pd.Series([[{"part": a, "last": False}, {"part": (a - 1) % len(first_ids), "last": True}] if f
-                          else [{"part": a, "last": False}] for a, f in zip(at.tolist(), is_first.tolist())])
+    def with_nulls(frame: pd.DataFrame, missing: list[str]) -> pd.DataFrame:
+        return frame.astype(object).assign(**{c: [None] * len(frame) for c in missing})[[*result, *edge]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, first = TaskContext.get().partitionId(), None
+        ids, texts, chars = [], [], 0
+        for b in batches:
+            for doc, text in zip(b["doc_id"], b["text"]):
+                first = text if first is None else first
+                ids.append(doc)
+                texts.append(text)
+                chars += len(text)
+                if len(ids) > 1 and (len(ids) > rows or chars > BATCH_CHARS):
+                    yield with_nulls(compare(ids, texts), edge)
+                    ids, texts, chars = ids[-1:], texts[-1:], len(text)
+        if len(ids) > 1:
+            yield with_nulls(compare(ids, texts), edge)
+        if ids:
+            yield with_nulls(pd.DataFrame({"part": [part], "first": [first], "last": texts[-1:], "last_id": ids[-1:]}, dtype=object), result)
+
+    return ordered.mapInPandas(run, f"{RESULT}, {EDGES}")
+
+
+def across(edges: DataFrame) -> DataFrame:
+    """``RESULT`` of the partitions' last rows: each meets the first text of the next partition that has rows (the last: of the first).
+    One row a partition; only their numbers go through the window."""
+    order = Window.orderBy("part")
+    numbers = edges.select("part")
+    least = numbers.agg(F.min("part").alias("least"))
+    follows = (numbers.select("part", F.lead("part").over(order).alias("after"))
+               .join(F.broadcast(least)).select("part", F.coalesce("after", "least").alias("after")))
+    pairs = (edges.select("part", "last_id", "last").join(follows, "part")
+             .join(edges.select(F.col("part").alias("after"), "first"), "after").select("last_id", "last", "first"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []          # rows that wait for their next one
-        part, closed = None, False      # closed: the part's guard row has come
         for b in batches:
-            known = [None if null else int(x) for x, null in zip(b["doc_id"], b["doc_id"].isna())]
-            for doc, text, p, last in zip(known, b["text"], b["part"], b["last"]):
-                if p != part:
-                    part, closed = p, False
-                if closed:
-                    continue            # rows that share the guard's id
-                closed = bool(last)
-                held.append((doc, text, p, closed))
-                if len(held) > rows:
-                    yield from _pairs(held)
-                    held = held[-1:]
-        yield from _pairs(held)
-
-    def _pairs(held: list[tuple]) -> Iterator[pd.DataFrame]:
-        first = np.array([i for i in range(len(held) - 1) if not held[i][3]], np.int64)
-        if len(first):   # a frame without rows has no types
-            yield compare([h[0] for h in held], [h[1] for h in held], first, first + 1)
-
-    dealt = (src.select("doc_id", "text", "_key", F.explode(places("_key")).alias("_place"))
-             .select("doc_id", "text", "_key", F.col("_place.part").alias("part"), F.col("_place.last").alias("last"))
-             .repartition("part").sortWithinPartitions("part", "last", "_key", "text"))
-    return dealt.select("doc_id", "text", "part", "last").mapInPandas(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-             "near_edited double, near_next double")
+            for doc, last, first in zip(b["last_id"], b["last"], b["first"]):
+                yield compare([doc, None], [last, first])
+
+    return pairs.mapInPandas(run, RESULT)
+
+
+def fingerprint_edits(docs: DataFrame, part_rows: int | None = None, rows: int = 400) -> DataFrame:
+    """One row per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+
+    One shuffle brings the texts into range partitions by id (the session's number of them, or one for about ``part_rows`` rows), where each
+    document is compared with the next. What lies across two partitions comes from one row a partition, in a second small job.
+    The results of the first (no texts but those) are written to the checkpoint folder.
+    """
+    parts = None if part_rows is None else max(1, -(-docs.count() // part_rows))
+    ordered = in_id_order(docs, "sketch-docs", parts).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = stored(compared(ordered, rows), "sketches")
+    edges = found.where("part is not null").select("part", "first", "last", "last_id")
+    inner = found.where("part is null").drop("part", "first", "last", "last_id")
+    fingerprint = lambda n, cells: F.concat_ws(":", F.col(n).cast("string"), F.base64(cells))
+    return inner.unionByName(across(edges)).select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        fingerprint("size", "cells").alias("fingerprint"), fingerprint("edited_size", "edited_cells").alias("edited_fingerprint"),
+        "near_edited", "near_next")

@@ -73,3 +73,31 @@ def test_one_row_is_its_own_next(spark):
 
 def test_empty_table(spark):
     assert S.fingerprint_edits(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_ids_keep_type_and_digits(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "a b\nc d", "en", "s", 1), (None, "e f", "en", "s", 1), (big + 1, "g h", "en", "s", 1)]
+    df = table(spark, rows, partitions=1)
+    assert {r["doc_id"] for r in S.fingerprint_edits(df).collect()} == {big, None, big + 1}
+    named = S.fingerprint_edits(df.withColumn("doc_id", df["doc_id"].cast("string")))
+    assert named.schema["doc_id"].dataType.simpleString() == "string"
+    assert {r["doc_id"] for r in named.collect()} == {str(big), None, str(big + 1)}
+
+
+def test_a_hot_null_id_is_spread_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from linkfold.llm.common import in_id_order
+    rows = [(None, "one text", "en", "s", 1)] * 300 + [(None, f"text {i:03d}", "en", "s", 1) for i in range(100)] + random_rows(200)
+    parts = in_id_order(table(spark, rows), "t", 6).withColumn("p", F.spark_partition_id()).collect()
+    assert len(parts) == 600 and max(Counter(r["p"] for r in parts).values()) <= 200
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in sorted(parts, key=lambda r: r["p"])]
+    assert keys == sorted(keys)
+
+
+def test_long_texts_are_compared_a_few_at_a_time(spark, monkeypatch):
+    rows = [(i, f"{i} word " * 900, "en", "s", 1) for i in range(40)]
+    want = {r["doc_id"]: r for r in S.fingerprint_edits(table(spark, rows)).collect()}
+    monkeypatch.setattr(S, "BATCH_CHARS", 10_000)
+    assert {r["doc_id"]: r for r in S.fingerprint_edits(table(spark, rows)).collect()} == want and len(want) == 40
