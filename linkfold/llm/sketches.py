@@ -216,10 +216,8 @@ def across(edges: DataFrame) -> DataFrame:
     """``RESULT`` of the partitions' last rows: each meets the first text of the next partition that has rows (the last: of the first).
     One row a partition; only their numbers go through the window."""
     order = Window.orderBy("part")
-    numbers = edges.select("part")
-    least = numbers.agg(F.min("part").alias("least"))
-    follows = (numbers.select("part", F.lead("part").over(order).alias("after"))
-               .join(F.broadcast(least)).select("part", F.coalesce("after", "least").alias("after")))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = edges.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(whole)).alias("after"))
     pairs = (edges.select("part", "last_id", "last").join(follows, "part")
              .join(edges.select(F.col("part").alias("after"), "first"), "after").select("last_id", "last", "first"))
 
