@@ -2,7 +2,7 @@
 
 Format. Files are Parquet parts in ascending ``doc_id`` order; a row is a segment of about ``segment_tokens`` ids:
 
-* ``doc_ids``, ``doc_tokens``: the documents of the segment, whole, in order;
+* ``doc_ids``, ``doc_tokens``: the documents of the segment, whole, in order, their ids as strings (null: null);
 * ``table``: the symbol frequencies that all blocks of the segment share, scaled to 2^18 (zlib of symbols and counts);
 * ``blocks``: independent blocks of up to ``BLOCK`` ids. Id ``i`` of a block belongs to lane ``i % lanes``
   (``LANES``, fewer in small blocks); the lanes' 64-bit states write 32-bit words to one interleaved stream. ``checkpoints`` holds the lanes' states and the place in the stream
@@ -11,8 +11,9 @@ Format. Files are Parquet parts in ascending ``doc_id`` order; a row is a segmen
 
 A segment is read by its row alone and a block by the row's table, in any order, by any number of tasks.
 
-Cases: a null text is the empty text and gives the end id alone; rows with the same id stay apart, in the order of their
-texts; null ids come first; an empty table writes no segment and reads as an empty result.
+Cases: a null text is the empty text and gives the end id alone; rows with the same id stay apart, in the order of the first 64
+characters of their texts, then of a digest; null ids come first; an empty table writes no segment and reads as an empty result. Ids may
+be of any type that sorts and casts to a string and back; readers take the type (``long`` if not told).
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import running_total, texts
+from linkfold.llm.common import in_id_order, running_total
 from linkfold.llm.tokens import BATCH_CHARS, by_size, byte_bpe
 
 SCALE, LOW, LANES, EVERY, BLOCK = 18, 31, 2048, 128, 1 << 20
 _U = np.uint64
 
-SEGMENTS = ("file int, segment int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, table binary, "
+SEGMENTS = ("file int, segment int, n_tokens long, doc_ids array<string>, doc_tokens array<long>, table binary, "
             "blocks array<struct<n: int, lanes: int, checkpoints: binary, payload: binary, crc32: long>>")
 
 
@@ -165,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         file, segment, n, ids, held = TaskContext.get().partitionId(), 0, 0, [], []
         columns = [c.split()[0] for c in SEGMENTS.split(", ") if " " in c][:7]
         for b in batches:
-            known = [None if null else int(x) for x, null in zip(b["doc_id"], b["doc_id"].isna())]
+            known = [None if null else x for x, null in zip(b["doc_id"], b["doc_id"].isna())]
             texts_here = b["text"].tolist()
             for i, j in by_size(texts_here, BATCH_CHARS):
                 for doc, data in zip(known[i:j], byte_bpe(tokenizer).encode(texts_here[i:j])):
@@ -178,22 +179,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         if held:
             yield pd.DataFrame([segment_row(file, segment, ids, held)], columns=columns)
 
-    ordered = (texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    ordered = in_id_order(docs, "token-docs").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     ordered.mapInPandas(run, SEGMENTS).write.parquet(path)
 
 
-def decoded(segment) -> Iterator[tuple[int | None, int, bytes]]:
+def decoded(segment) -> Iterator[tuple[str | None, int, bytes]]:
     """``(doc_id, ids before it in the segment, ids as bytes)`` of a segment's documents."""
     table = Table.from_bytes(segment.table)
     data = b"".join(decode_block(block, table).tobytes() for block in segment.blocks)
     at = 0
     for doc, n in zip(segment.doc_ids, segment.doc_tokens):
-        yield None if doc is None or doc != doc else int(doc), at, data[4 * at:4 * (at + n)]
+        yield doc, at, data[4 * at:4 * (at + n)]
         at += int(n)
 
 
-def _read(spark: SparkSession, path: str, columns: list[str], schema: str, of) -> DataFrame:
+def _read(spark: SparkSession, path: str, columns: list[str], schema: str, id_type: str, of) -> DataFrame:
     """A row for each document from its segment: ``file``, ``segment`` and what ``of(doc_id, at, ids)`` gives."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -201,18 +201,18 @@ def _read(spark: SparkSession, path: str, columns: list[str], schema: str, of) -
                 docs = decoded(segment)
                 while part := list(islice(docs, 1000)):   # small batches: a segment's ids leave the worker bit by bit
                     out = pd.DataFrame([of(*d) for d in part], columns=columns)
-                    out["doc_id"] = out["doc_id"].astype("Int64")
                     out.insert(0, "segment", segment.segment)
                     out.insert(0, "file", segment.file)
                     yield out
 
-    return spark.read.schema(SEGMENTS).parquet(path).mapInPandas(run, f"file int, segment int, {schema}")
+    rows = spark.read.schema(SEGMENTS).parquet(path).mapInPandas(run, f"file int, segment int, doc_id string, {schema}")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """``file, segment, doc_id, at, n_tokens, ids``: every document's ids (little-endian unsigned 32-bit bytes); ``at`` counts the
     ids before it in its segment."""
-    return _read(spark, path, ["doc_id", "at", "n_tokens", "ids"], "doc_id long, at long, n_tokens long, ids binary",
+    return _read(spark, path, ["doc_id", "at", "n_tokens", "ids"], "at long, n_tokens long, ids binary", id_type,
                  lambda doc, at, ids: (doc, at, len(ids) // 4, ids))
 
 
@@ -223,9 +223,9 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
     return running_total(rows, "_all", "file", ["segment"], "n_tokens", "first").select("file", "segment", "first")
 
 
-def token_index(spark: SparkSession, path: str) -> DataFrame:
+def token_index(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """One row per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
-    docs = _read(spark, path, ["doc_id", "at", "n_tokens", "ids_crc32"], "doc_id long, at long, n_tokens long, ids_crc32 long",
+    docs = _read(spark, path, ["doc_id", "at", "n_tokens", "ids_crc32"], "at long, n_tokens long, ids_crc32 long", id_type,
                  lambda doc, at, ids: (doc, at, len(ids) // 4, zlib.crc32(ids)))   # the ids need not leave the task
     return (docs.join(segment_starts(spark, path), ["file", "segment"])
             .select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))

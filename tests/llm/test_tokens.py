@@ -175,6 +175,16 @@ def test_token_files(spark, tmp_path, segment_tokens):
     assert Counter((r["doc_id"], r["n_tokens"], zlib.crc32(bytes(r["ids"]))) for r in whole) == Counter((d, n, c) for d, _, n, c in want)
 
 
+def test_token_files_keep_ids(spark, tmp_path):
+    big = (1 << 53) + 1
+    docs = table(spark, [(big, "a", "en", "s", 1), (None, "b", "en", "s", 1), (big + 1, "c", "en", "s", 1)], partitions=1)
+    rans.write_token_files(docs, f"{tmp_path}/f", BYTE, end_id=2)
+    assert [r["doc_id"] for r in rans.token_index(spark, f"{tmp_path}/f").orderBy("start").collect()] == [None, big, big + 1]
+    rans.write_token_files(docs.selectExpr("concat('k', doc_id) as doc_id", "text"), f"{tmp_path}/g", BYTE, end_id=2)
+    assert [r["doc_id"] for r in rans.token_index(spark, f"{tmp_path}/g", "string").orderBy("start").collect()] == [
+        None, f"k{big}", f"k{big + 1}"]
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     rans.write_token_files(spark.createDataFrame([], SCHEMA), f"{tmp_path}/f", BYTE, end_id=2)
     assert rans.token_index(spark, f"{tmp_path}/f").collect() == []
