@@ -10,7 +10,8 @@ template of its width of which it contains the share ``threshold``:
 1. Tokens are ordered by how many documents of the whole table hold them, rarest first.
 2. Prefix filter: a block that shares ``k`` of a template's ``n`` tokens must hold one of the template's first ``n - k + 1``,
    among the block's own first tokens; the join is on those tokens, with the templates as the small side (their size is a
-   parameter). Documents that hold too little of every template as a whole leave the join before blocks are made.
+   parameter). Documents that hold too little of every template as a whole leave the join before blocks are made: a prefix
+   index over the templates, on an order known before the pass, says which templates a document has to be counted against.
 3. Length filter: the block must hold ``k`` tokens of templates. Positional filter: what follows the shared token on both
    sides must be long enough for ``k``.
 4. What is left is verified by the full intersection.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,18 +123,37 @@ def _needs(templates, threshold: float, span: int) -> list[tuple[str, list[str],
     return [(label, tokens, math.ceil(threshold * len(tokens)), wide) for label, tokens, wide in sets]
 
 
+def prefix_index(needs) -> dict[str, list[int]]:
+    """``token -> templates`` (their numbers) that have it in their prefix: all but ``need - 1`` tokens, those of fewer templates first.
+    A text that holds ``need`` of a template's tokens holds one of its prefix."""
+    uses = Counter(t for _, tokens, *_ in needs for t in tokens)
+    index: dict[str, list[int]] = {}
+    for k, (_, tokens, need, _) in enumerate(needs):
+        for t in sorted(tokens, key=lambda t: (uses[t], t))[:len(tokens) - need + 1]:
+            index.setdefault(t, []).append(k)
+    return index
+
+
+def holds_enough(held: str, needs) -> Column:
+    """Whether the tokens in ``held`` are enough of any template: only templates are counted that a prefix token leads to."""
+    index = prefix_index(needs)
+    if not index:
+        return F.lit(False)
+    templates_of = F.create_map(*[x for t, ks in index.items() for x in (F.lit(t), F.array(*[F.lit(k) for k in ks]))])
+    sets, least = F.array(*[_strings(tokens) for _, tokens, *_ in needs]), F.array(*[F.lit(need) for _, _, need, _ in needs])
+    found = F.array_distinct(F.flatten(F.transform(F.array_intersect(held, _strings(sorted(index))), lambda t: F.element_at(templates_of, t))))
+    return F.exists(found, lambda k: F.size(F.array_intersect(F.col(held), F.get(sets, k))) >= F.get(least, k))
+
+
 def read_words(docs: DataFrame, phrases, needs) -> DataFrame:
     """One pass over the texts, stored: ``doc_id, doc_hash, n_words, at0, at1, ..`` (places of the phrases), ``held`` (template
     tokens in the text) and ``words``, all of them, of the texts that hold enough of a template as a whole, else null."""
     every = sorted(set().union(*(tokens for _, tokens, *_ in needs))) if needs else []
     src = texts(docs).select("doc_id", F.xxhash64("text").alias("doc_hash"), words_of(F.col("text")).alias("words"))
     src = src.select("*", F.array_intersect("words", _strings(every)).alias("held"))
-    enough = F.lit(False)
-    for _, tokens, need, _ in needs:
-        enough = enough | (F.size(F.array_intersect("held", _strings(tokens))) >= need)
     return stored(src.select("doc_id", "doc_hash", F.size("words").cast("long").alias("n_words"),
                              *[phrase_starts(F.col("words"), p).alias(f"at{i}") for i, p in enumerate(phrases.values())],
-                             "held", F.when(enough, F.col("words")).alias("words")), "license-words")
+                             "held", F.when(holds_enough("held", needs), F.col("words")).alias("words")), "license-words")
 
 
 def order_tokens(read: DataFrame, tokens: list[str]) -> list[str]:

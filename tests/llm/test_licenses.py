@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -94,6 +95,22 @@ def test_whole_license_texts_are_found(spark):
         assert not got[cut]["labels"] and not got[torn]["labels"]
 
 
+def test_the_prefix_index_leads_to_every_template_held(spark):
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(25)]
+    needs = [(str(k), sorted(rng.sample(words, n)), math.ceil(share * n), 32)
+             for k, (n, share) in enumerate([(1, 1.0), (3, 0.5), (8, 0.9), (8, 0.6), (20, 0.8), (25, 0.3)] * 6)]
+    held = [rng.sample(words, rng.randint(0, 25)) for _ in range(400)] + [[]]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(held)], "i int, held array<string>").select(
+        "i", L.holds_enough("held", needs[1:]).alias("ok"), L.holds_enough("held", needs[4:6]).alias("few"), L.holds_enough("held", []).alias("none"))
+    enough = lambda h, some: any(len({*h} & {*tokens}) >= need for _, tokens, need, _ in some)
+    for r in got.collect():
+        assert (r["ok"], r["few"], r["none"]) == (enough(held[r["i"]], needs[1:]), enough(held[r["i"]], needs[4:6]), False)
+    index = L.prefix_index(L._needs(L.TEMPLATES, 0.9, 32))
+    every = {t for _, text in L.TEMPLATES for t in L.template_words(text)}
+    assert len(index) < len(every) / 2 and "the" not in index
+
+
 def test_bad_templates(spark):
     with pytest.raises(ValueError):
         L.scan_licenses(table(spark, rows()), templates=[("x", " .,-")])
