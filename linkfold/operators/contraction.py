@@ -13,16 +13,21 @@ component is its root.
 
 No node is gathered: a hub's edges and the members of a giant component are matched map-side against the broadcast hot
 keys, of which there are at most ``max_hot_keys`` (see ``keyed``).
+
+Ids that are no whole numbers (texts) are numbered in their order first, so that the rounds move two numbers an edge; the numbers are
+replaced by the ids again at the end. The order is kept, so the least number of a component stands for its least id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from linkfold.operators.keyed import DEFAULT_MAX_HOT_KEYS, DEFAULT_MIN_HOT_DEGREE, hot_threshold, split_hot
-from linkfold.operators.pairs import canonical_pairs, mirror_canonical
-from linkfold.storage import drop_path, new_scratch_path, write_table
+from linkfold.operators.ordering import row_index
+from linkfold.operators.pairs import canonical_pairs, mirror_canonical, mirror_union
+from linkfold.storage import drop_path, new_scratch_path, scratch, write_table
 
 
 def representatives(edges: DataFrame, seed: int) -> DataFrame:
@@ -64,6 +69,12 @@ def named_by(members: DataFrame, names: DataFrame, n_members: int, **hot_opts) -
                     n_members > hot_threshold(n_members, **hot_opts)).select("node", "rep")
 
 
+def numbered(pairs: DataFrame) -> DataFrame:
+    """``(node, code, deg)`` of every id in ``pairs(n1, n2)``: its place in the order of the ids, and the rows of both sides that hold it."""
+    nodes = mirror_union(pairs).groupBy(F.col("n1").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    return row_index(nodes, ["node"], "code")
+
+
 def contract(pairs: DataFrame, max_rounds: int = 1000, hot_degree: int | None = None,
              min_hot_degree: int = DEFAULT_MIN_HOT_DEGREE, max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
              num_partitions: int | None = None, seed: int = 0) -> tuple[DataFrame, list[tuple[int, int, int]], str]:
@@ -76,7 +87,21 @@ def contract(pairs: DataFrame, max_rounds: int = 1000, hot_degree: int | None =
         path = new_scratch_path(spark, f"contract-{tag}")
         return write_table(df, path), path
 
-    edges, at = table(canonical_pairs(pairs).where(F.col("n1") != F.col("n2")), "r0")
+    id_type, ids, coding = pairs.schema["n1"].dataType, None, []
+    pairs = pairs.where(F.col("n1") != F.col("n2"))
+    if not isinstance(id_type, IntegralType):
+        pairs, pairs_at = table(pairs, "ids")
+        seen, ids_at = Observation(), new_scratch_path(spark, "contract-codes")
+        with scratch(spark):   # owns the sorted ids
+            ids = write_table(numbered(pairs).observe(seen, F.sum("deg").alias("ends"), F.max("deg").alias("most")), ids_at)
+        threshold = hot_threshold(seen.get["ends"] or 0, **opts)
+        for col in ("n1", "n2"):
+            pairs = replaced(pairs, col, ids.select(F.col("node").alias(col), F.col("code").alias("_to"), "deg"),
+                             threshold, (seen.get["most"] or 0) > threshold)
+        coding = [pairs_at, ids_at]
+    edges, at = table(canonical_pairs(pairs), "r0")
+    for path in coding[:1]:
+        drop_path(spark, path)
     rounds: list[tuple[DataFrame, str, int]] = []
     trace: list[list[int]] = []
     for r in range(1, max_rounds + 1):
@@ -100,7 +125,9 @@ def contract(pairs: DataFrame, max_rounds: int = 1000, hot_degree: int | None =
     else:
         raise RuntimeError(f"edges are left after {max_rounds} rounds; raise max_rounds")
     if not rounds:   # no edge at all: the empty table is the result
-        return edges, [(1, 0, 0)], at
+        for path in coding[1:]:
+            drop_path(spark, path)
+        return edges.select(*[edges[c] if ids is None else F.lit(None).cast(id_type).alias(c) for c in ("n1", "n2")]), [(1, 0, 0)], at
     drop_path(spark, at)
 
     names, names_at, n = rounds.pop()
@@ -113,7 +140,11 @@ def contract(pairs: DataFrame, max_rounds: int = 1000, hot_degree: int | None =
     # one aggregation gives the least id of each component, and its members take it as their root
     roots = names.groupBy("rep").agg(F.min("node").alias("_to"), F.count(F.lit(1)).alias("deg"))
     threshold = hot_threshold(n, **opts)
+    if ids is not None:   # the ids of the roots and of their members for the numbers: one join each
+        roots = roots.join(ids.select(F.col("code").alias("_to"), F.col("node").alias("_id")), "_to").select("rep", F.col("_id").alias("_to"), "deg")
+        names = names.join(ids.select(F.col("code").alias("node"), F.col("node").alias("_id")), "node").select(F.col("_id").alias("node"), "rep")
     rooted = replaced(names, "rep", roots, threshold, n > threshold).where(F.col("node") != F.col("rep"))
     stars, path = table(rooted.select(F.col("node").alias("n1"), F.col("rep").alias("n2")), "stars")
-    drop_path(spark, names_at)
+    for old in [names_at, *coding[1:]]:
+        drop_path(spark, old)
     return stars, [tuple(t) for t in trace], path

@@ -317,7 +317,7 @@ def _round(strategy):
 
 
 def q_components_lexical(spark, sf):
-    res = connected_components(as_string_ids(edges(spark, sf)))
+    res = connected_components(as_string_ids(edges(spark, sf)), strategy="contract")
     return res.membership()
 
 

@@ -329,7 +329,7 @@ def test_release_deletes_the_result_table(spark):
     assert res.path is None and not os.path.exists(local)
 
 
-@pytest.mark.parametrize("name", ["connected_components", "component_sizes"])
+@pytest.mark.parametrize("name", ["connected_components", "component_sizes", "components_lexical"])
 def test_membership_queries_write_no_more_rows_than_the_graph_has_edges(spark, monkeypatch, name):
     """The star rounds of E1 write 9,645 pairs for 6,000 line items at this size, and 3.0 times the edges at sf0.1."""
     import __spark_entry__ as entry
@@ -350,3 +350,17 @@ def test_membership_queries_write_no_more_rows_than_the_graph_has_edges(spark, m
     with scratch(spark):
         assert entry.queries()[name](spark, SF0001).count() > 0
     assert sizes and max(sizes) <= n_edges
+
+
+@pytest.mark.parametrize("opts", [{}, {"min_hot_degree": 4, "max_hot_keys": 1000}])
+def test_contraction_of_text_ids_moves_numbers_and_keeps_their_order(spark, monkeypatch, opts):
+    import linkfold.operators.contraction as contraction
+    e = random_graph(120, 110, 3) + hub(60)
+    text = [(str(a), str(b)) for a, b in e]
+    kinds, real = [], contraction.representatives
+    monkeypatch.setattr(contraction, "representatives", lambda df, seed: (kinds.append(dict(df.dtypes)), real(df, seed))[1])
+    res = connected_components(edges_df(spark, text, "string"), strategy="contract", **opts)
+    assert rows(res.membership(), "node", "component") == membership_of(text)
+    assert kinds and all(k == {"n1": "bigint", "n2": "bigint"} for k in kinds)
+    none = connected_components(edges_df(spark, [("a", "a")], "string"), strategy="contract").membership()
+    assert none.dtypes == [("node", "string"), ("component", "string")] and none.count() == 0
