@@ -36,6 +36,7 @@ from linkfold.storage import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 KMEANS_INIT_IDS = [0, 1, 2]   # "start from vec_id < 3", k = 3
+LEAD_FILE_EDGES = 200_000     # edges of a file with lead lines
 VALUE_DIGITS = 6              # doubles are compared rounded to this many places
 
 
@@ -98,12 +99,11 @@ def q_scan_skip_lines(spark, sf):
     """Four lead lines without any mark in front of every file's edges, skipped by their number."""
     path = new_scratch_path(spark, "scan-lead")
     lead = [F.lit(x) for x in ("Undirected graph", "Nodes and edges", "From\tTo", "17\t4")]
-    files = F.pmod(F.col("src"), F.lit(6))
-    lines = edges(spark, sf).select(files.alias("file"), F.concat_ws("\t", "src", "dst").alias("value"))
-    heads = lines.select("file").distinct().select("file", F.posexplode(F.array(*lead)).alias("at", "value"))
-    # one part file for each `file` value, its lead lines first
-    (lines.withColumn("at", F.lit(9)).unionByName(heads).repartition("file").sortWithinPartitions("file", "at")
-     .select("file", "value").write.partitionBy("file").text(path))
+    # every LEAD_FILE_EDGES edges of a scan task begin a file, its lead lines first: tasks write as they read, nothing is sorted
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % LEAD_FILE_EDGES
+    lines = edges(spark, sf).select(F.concat_ws("\t", "src", "dst").alias("value"), at.alias("at"))
+    (lines.select(F.explode(F.when(F.col("at") == 0, F.array(*lead, "value")).otherwise(F.array("value"))).alias("value"))
+     .write.option("maxRecordsPerFile", LEAD_FILE_EDGES + len(lead)).text(path))
     return read_edges_csv(spark, path, sep="\t", id_type="long", skip_lines=4)
 
 

@@ -399,3 +399,17 @@ def test_secondary_sort_splits_a_hub_and_sorts_partitions(spark):
     assert all(rs == sorted(rs) for rs in parts.values())
     assert len({p for p, k, _ in got if k == 1}) > 1        # the hub spans partitions
     assert sorted((k, v) for _, k, v in got) == sorted(rows_)
+
+
+def test_files_with_lead_lines_are_written_without_a_shuffle(spark, monkeypatch, tmp_path):
+    """The edges went through one sort per file, and there were three files whatever their number."""
+    import linkfold.plans.catalog as cat
+    path = str(tmp_path / "lead")
+    monkeypatch.setattr(cat, "LEAD_FILE_EDGES", 1000, raising=False)
+    monkeypatch.setattr(cat, "new_scratch_path", lambda spark, tag: path)
+    got = cat.q_scan_skip_lines(spark, SF0001)
+    want = cat.edges(spark, SF0001)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    files = [f.read_text().splitlines() for f in (tmp_path / "lead").rglob("part-*.txt")]
+    assert len(files) >= want.count() / 1000
+    assert all(f[:4] == ["Undirected graph", "Nodes and edges", "From\tTo", "17\t4"] and 4 < len(f) <= 1004 for f in files)
