@@ -15,6 +15,9 @@ distance and no more. Where the bounds cross, all ``k`` are computed. The anchor
 its age has cost would have paid for a new one. It is a cached table made from the points and two sets of centroids, so a lost block is
 recomputed from the source, and its plan does not grow with the steps.
 
+The anchor and the steps run over Arrow batches with numpy (``_anchor_batches``, ``_step_batches``): a distance in SQL is a lambda evaluated for every
+element of every vector. A task sends one row per cluster and part on. ``_anchor_sql`` and ``_step_sql`` say the same in SQL; a test compares the two.
+
 Semantics kept from the analysed script: stop when no point switched cluster or after
 ``max_steps`` steps; empty clusters disappear; error is ``sqrt(sum(dist)) / n``
 (not a mean squared error). Fixed here: the first step's switch count is ``n`` (not a
@@ -27,15 +30,18 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.functions.vectors import centers_json, distance_sql, distances_to, nearest, nearest_sql, ranked_sql
+from linkfold.functions.vectors import distance_sql, distances_to, nearest, nearest_sql, ranked_sql
 from linkfold.operators.sampling import least_by_hash
 
 Centers = list[tuple[int, list[float]]]
@@ -156,10 +162,6 @@ def _anchor_sql(dims: int, digits: int, first: bool) -> str:
             f"FROM (SELECT features, {ranked_sql('features', dims, digits, 'cur')} AS r FROM {{pts}})")
 
 
-def _at_anchor_sql() -> str:
-    return "SELECT c0 AS cid, d0 AS dist, sw0 AS sw, 0 AS crossed, features FROM {pts}"
-
-
 def _step_sql(dims: int, digits: int) -> str:
     """One step over the anchor ``{pts}``. ``:cur`` and ``:old`` are the centroids of this step and the previous one (JSON), ``:now`` and ``:was``
     how they have moved since the anchor, by cluster, so the text is the same from step to step. ``crossed`` counts the comparisons with all
@@ -187,10 +189,139 @@ def _moves(anchor: Centers, now: Centers) -> str:
                        for c, v in here.items()})
 
 
+ANCHOR_SCHEMA = "features binary, c0 long, d0 double, l0 double, sw0 long"   # features: the vector's doubles, one after the other
+PART_SCHEMA = "cid long, n long, sum_dist double, sw long, crossed long, sums array<double>"
+PIECE = 1 << 18   # elements of the vectors that numpy works on at once: 2 MB
+
+
+def _vectors(column: pa.Array, dims: int) -> np.ndarray:
+    """The rows of a list column as a matrix; a vector of another size, or with a null element, ends the run."""
+    sizes = column.value_lengths()
+    if column.null_count or (np.asarray(sizes) != dims).any():
+        odd = next(n for n in sizes.to_pylist() if n != dims)
+        raise ValueError(f"a vector has {'no' if odd is None else odd} elements, not {dims}")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector has an element that is null")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), dims)
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Rows times centroids. Differences first: the difference of squares would lose the places that are compared."""
+    out = np.empty((len(x), len(centers)))
+    for j, c in enumerate(centers):
+        diff = x - c
+        out[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
+
+
+def _least(dist: np.ndarray, digits: int) -> np.ndarray:
+    """Index of the nearest centroid by rounded distance, the first of equals; NaN is the farthest."""
+    key = np.round(dist, digits)
+    return np.where(np.isnan(key), np.inf, key).argmin(axis=1)
+
+
+def _pieces(n: int, dims: int) -> Iterator[slice]:
+    step = max(1, PIECE // max(1, dims))
+    return (slice(i, min(n, i + step)) for i in range(0, n, step))
+
+
+def _anchor_batches(cur: Centers, old: Centers | None, digits: int) -> Callable:
+    """The anchor rows (``ANCHOR_SCHEMA``) of batches of ``features``, as ``_anchor_sql``."""
+    dims = _dims(cur)
+    cids, centers = np.array([c for c, _ in cur], dtype=np.int64), np.array([v for _, v in cur], dtype=np.float64).reshape(len(cur), dims)
+    old_cids, before = ((np.array([c for c, _ in old], dtype=np.int64), np.array([v for _, v in old], dtype=np.float64).reshape(len(old), dims))
+                        if old is not None else (None, None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = _vectors(batch.column("features"), dims)
+            for piece in _pieces(len(every), dims):
+                x = np.ascontiguousarray(every[piece])
+                rows = np.arange(len(x))
+                dist = _distances(x, centers)
+                near = _least(dist, digits)
+                d0, l0 = dist[rows, near], np.full(len(x), np.inf)
+                if len(cids) > 1:
+                    rest = dist.copy()
+                    rest[rows, near] = np.inf
+                    l0 = rest.min(axis=1)   # NaN stays: such a point is compared with all centroids in every step
+                moved = np.ones(len(x), dtype=np.int64) if before is None else \
+                    (old_cids[_least(_distances(x, before), digits)] != cids[near]).astype(np.int64)
+                ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * dims)
+                packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+                yield pa.RecordBatch.from_arrays([packed, pa.array(cids[near]), pa.array(d0), pa.array(l0), pa.array(moved)],
+                                                 names=["features", "c0", "d0", "l0", "sw0"])
+    return run
+
+
+def _step_batches(cur: Centers, old: Centers | None, base: Centers, dims: int, digits: int, at_anchor: bool) -> Callable:
+    """One row (``PART_SCHEMA``) per cluster and part of the anchor: of the step that made the anchor (``at_anchor``), else as ``_step_sql``."""
+    moves = {} if at_anchor else {"now": json.loads(_moves(base, cur)), "was": json.loads(_moves(base, old))}
+    margin = 4 * 10.0 ** -digits
+
+    def table(centers: Centers) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([c for c, _ in centers], dtype=np.int64), np.array([v for _, v in centers], dtype=np.float64).reshape(len(centers), dims)
+
+    def step(x: np.ndarray, c0: np.ndarray, d0: np.ndarray, l0: np.ndarray) -> tuple[np.ndarray, ...]:
+        cids, centers = table(cur)
+        old_cids, before = table(old)
+        here = {c: i for i, c in enumerate(cids.tolist())}
+        labels, at = np.unique(c0, return_inverse=True)
+        # of the anchor's clusters: NaN where a cluster is gone, and nothing is sure of its points
+        pick = lambda which, name: np.array([moves[which].get(str(c), {}).get(name, np.nan) for c in labels.tolist()])
+        cid, own = c0.copy(), np.full(len(x), np.nan)
+        for i, c in enumerate(labels.tolist()):
+            if c in here:
+                mine = at == i
+                diff = x[mine] - centers[here[c]]
+                own[mine] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        sure = own + margin < l0 - pick("now", "slack")[at]
+        stayed = d0 + pick("was", "drift")[at] + margin < l0 - pick("was", "slack")[at]
+        dist, left = own, c0.copy()
+        if not sure.all():
+            far = _distances(x[~sure], centers)
+            near = _least(far, digits)
+            cid[~sure], dist[~sure] = cids[near], far[np.arange(len(far)), near]
+        if not stayed.all():
+            left[~stayed] = old_cids[_least(_distances(x[~stayed], before), digits)]
+        return cid, dist, left != cid, 2 - sure.astype(np.int64) - stayed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            packed = batch.column("features")
+            first, ends = 8 * dims * packed.offset, packed.buffers()[2]
+            every = np.frombuffer(ends, dtype=np.float64, count=len(packed) * dims, offset=first).reshape(len(packed), dims) \
+                if len(packed) and dims else np.empty((len(packed), dims))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("c0", "d0", "l0", "sw0")]
+            for piece in _pieces(len(every), dims):
+                x, (c0, d0, l0, sw0) = every[piece], (c[piece] for c in columns)
+                cid, dist, sw, crossed = (c0, d0, sw0, np.zeros(len(x), dtype=np.int64)) if at_anchor else step(x, c0, d0, l0)
+                order = np.argsort(cid, kind="stable")
+                labels, starts, counts = np.unique(cid[order], return_index=True, return_counts=True)
+                parts = [np.add.reduceat(v[order].astype(t), starts, axis=0) for v, t in
+                         ((dist, np.float64), (sw, np.int64), (crossed, np.int64), (x, np.float64))]
+                for i, c in enumerate(labels.tolist()):
+                    row = total.setdefault(c, [0, 0.0, 0, 0, np.zeros(dims)])
+                    for j, v in enumerate((int(counts[i]), *(p[i] for p in parts))):
+                        row[j] = row[j] + v
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int64()), *(pa.array([r[j] for r in total.values()], t) for j, t in
+                                                      enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))))],
+                names=["cid", "n", "sum_dist", "sw", "crossed", "sums"])
+    return run
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    """``PART_SCHEMA`` rows added up by cluster."""
+    return parts.groupBy("cid").agg(*[F.sum(c).alias(c) for c in ("n", "sum_dist", "sw", "crossed")], vector_sum("sums").alias("sums"))
+
+
 def _loop(points: DataFrame, cur: Centers, dims: int, max_steps: int, digits: int) -> KMeansResult:
-    spark = points.sparkSession
     prev: Centers | None = None
-    cores = spark.sparkContext.defaultParallelism
+    cores = points.sparkSession.sparkContext.defaultParallelism
     spread = points.select("features")
     if spread.rdd.getNumPartitions() < cores:   # a small input in few files: dealt out once per anchor, so every core has a part
         spread = spread.repartition(cores)
@@ -201,17 +332,14 @@ def _loop(points: DataFrame, cur: Centers, dims: int, max_steps: int, digits: in
     try:
         while True:
             k = len(cur)
-            args = {"cur": centers_json(cur)} | ({} if prev is None else {"old": centers_json(prev)})
             renewed = anchor is None or paid >= 2 * k * n
             if renewed:
                 if anchor is not None:
                     anchor.unpersist()
-                anchor = spark.sql(_anchor_sql(dims, digits, prev is None), args=args, pts=spread).persist(StorageLevel.MEMORY_AND_DISK)
+                anchor = spread.mapInArrow(_anchor_batches(cur, prev, digits), ANCHOR_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
                 base, fresh, paid = cur, None, 0
-                assigned = spark.sql(_at_anchor_sql(), pts=anchor)
-            else:
-                assigned = spark.sql(_step_sql(dims, digits), args=args | {"now": _moves(base, cur), "was": _moves(base, prev)}, pts=anchor)
-            rows = _step_aggregates(assigned).collect()   # at most k rows
+            parts = anchor.mapInArrow(_step_batches(cur, prev, base, dims, digits, renewed), PART_SCHEMA)
+            rows = _totals(parts).collect()   # at most k rows
             n = sum(r["n"] for r in rows)
             moved = sum(r["sw"] for r in rows)
             total = sum(r["sum_dist"] for r in rows)

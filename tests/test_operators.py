@@ -413,3 +413,38 @@ def test_files_with_lead_lines_are_written_without_a_shuffle(spark, monkeypatch,
     files = [f.read_text().splitlines() for f in (tmp_path / "lead").rglob("part-*.txt")]
     assert len(files) >= want.count() / 1000
     assert all(f[:4] == ["Undirected graph", "Nodes and edges", "From\tTo", "17\t4"] and 4 < len(f) <= 1004 for f in files)
+
+
+@pytest.mark.parametrize("old", [[(0, [0.5, 0.0]), (2, [4.0, 3.0]), (5, [9.0, 9.0])], [(0, [0.0, 0.0]), (2, [5.0, 3.0])]])
+def test_kmeans_steps_over_batches_as_in_sql(spark, old):
+    """Points that are sure, that are compared again, ties, and a cluster that is gone: each batch step gives the rows of the SQL step."""
+    from linkfold.functions.vectors import centers_json
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 4, (300, 2)), [[2.5, 1.5], [0.0, 0.0], [4.5, 6.0]]])
+    pts = spark.createDataFrame([([float(a) for a in v],) for v in x], "features array<double>").repartition(3).persist()
+    base, cur = [(0, [0.0, 0.0]), (2, [5.0, 3.0]), (5, [9.0, 9.0])], [(0, [0.25, 0.0]), (2, [4.5, 3.0])]
+    args = {"cur": centers_json(cur), "old": centers_json(old), "now": km._moves(base, cur), "was": km._moves(base, old)}
+    anchor_sql = spark.sql(km._anchor_sql(2, 9, False), args={"cur": centers_json(base), "old": centers_json(old)}, pts=pts)
+    anchor = pts.mapInArrow(km._anchor_batches(base, old, 9), km.ANCHOR_SCHEMA)
+    rounded = lambda df: sorted((r.c0, round(r.d0, 9), round(r.l0, 9), r.sw0) for r in df.collect())
+    assert rounded(anchor) == rounded(anchor_sql)
+    total = lambda df: {r.cid: (r.n, round(r.sum_dist, 6), r.sw, r.crossed, [round(v, 6) for v in r.sums]) for r in df.collect()}
+    want = total(km._step_aggregates(spark.sql(km._step_sql(2, 9), args=args, pts=anchor_sql)))
+    assert total(km._totals(anchor.mapInArrow(km._step_batches(cur, old, base, 2, 9, False), km.PART_SCHEMA))) == want
+    assert 0 < sum(r[3] for r in want.values()) < 2 * len(x)
+
+
+def test_kmeans_loop_evaluates_no_lambdas(spark, monkeypatch):
+    """No step of the loop computes distances in SQL, where each element of each vector is a lambda call."""
+    pts = embedding_vectors(spark, SF0001)
+    c0 = km.collect_centers(km.init_by_ids(pts, [0, 1, 2]))
+    plans = []
+    monkeypatch.setattr(km, "_totals", lambda df, t=km._totals: (plans.append(df._jdf.queryExecution().analyzed().toString()), t(df))[1])
+    assert km.kmeans(pts, c0).steps == len(plans) - 1
+    assert plans and not any("lambda" in p for p in plans)
+
+
+def test_a_null_element_ends_the_run(spark):
+    pts = spark.createDataFrame([(0, [0.0, 0.0], "a"), (1, [1.0, None], "a")], "id long, features array<double>, label string")
+    with pytest.raises(Exception, match="element that is null"):
+        km.kmeans(pts, [(0, [0.0, 0.0]), (1, [1.0, 1.0])])
