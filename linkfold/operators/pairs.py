@@ -40,8 +40,13 @@ def mirror_explode(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
 
 
 def mirror_distinct(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
-    """Set union of the pairs and their reverses (the map step under set semantics)."""
-    return mirror_union(df, a, b).distinct()
+    """Set union of the pairs and their reverses (the map step under set semantics).
+
+    Each pair is de-duplicated once, whichever way round it came, and mirrored afterwards: the hash tables of the
+    de-duplication, which are the largest memory of a task, and its shuffle hold one row for every two that leave. A null id is the least."""
+    swap = f"`{a}` > `{b}` or (`{b}` is null and `{a}` is not null)"
+    once = df.selectExpr(f"if({swap}, `{b}`, `{a}`) as `{a}`", f"if({swap}, `{a}`, `{b}`) as `{b}`").distinct()
+    return mirror_canonical(once, a, b)
 
 
 def canonical_pairs(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
@@ -53,7 +58,7 @@ def mirror_canonical(df: DataFrame, a: str = "n1", b: str = "n2") -> DataFrame:
     """The mirrored set of a canonical pair table in one scan: equal to
     ``mirror_distinct`` of the original edges (a self-loop appears once)."""
     fwd, back = _pair_struct(a, b, a, b), _pair_struct(a, b, b, a)
-    return df.selectExpr(f"inline(if(`{a}` <> `{b}`, array({fwd}, {back}), array({fwd})))")
+    return df.selectExpr(f"inline(if(`{a}` <=> `{b}`, array({fwd}), array({fwd}, {back})))")
 
 
 def dedup_pairs(df: DataFrame) -> DataFrame:

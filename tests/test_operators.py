@@ -448,3 +448,18 @@ def test_a_null_element_ends_the_run(spark):
     pts = spark.createDataFrame([(0, [0.0, 0.0], "a"), (1, [1.0, None], "a")], "id long, features array<double>, label string")
     with pytest.raises(Exception, match="element that is null"):
         km.kmeans(pts, [(0, [0.0, 0.0]), (1, [1.0, 1.0])])
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_mirror_distinct_holds_each_pair_once(spark, tmp_path, kind):
+    """Both directions of every pair, from one scan and one de-duplicated row a pair; loops once, null ids as in a plain union."""
+    from linkfold.operators.pairs import mirror_distinct, mirror_union
+    pairs = [(1, 2), (2, 1), (1, 2), (3, 3), (10, 9), (None, 1), (1, None), (None, None), (None, 5), (7, 1)]
+    spark.createDataFrame(pairs, "n1 long, n2 long").selectExpr(f"cast(n1 as {kind}) n1", f"cast(n2 as {kind}) n2").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    out = mirror_distinct(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, mirror_union(df).distinct().collect()), key=key)
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+    assert plan.index("Generate") < plan.index("HashAggregate")      # mirrored after the de-duplication
