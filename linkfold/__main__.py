@@ -49,7 +49,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--on-bad", choices=("fail", "drop"), default="fail",
                    help="rows with a missing field or one that is not of the id type")
     c.add_argument("--id-type", choices=("long", "string"), default="long")
-    c.add_argument("--strategy", choices=("join", "collect", "sorted", "window", "contract"), default="join")
+    c.add_argument("--strategy", choices=("join", "collect", "sorted", "window", "grouped", "contract"), default="join")
     c.add_argument("--resume", default=None, metavar="NAME",
                    help="name of the run: started again under it, a run goes on after its last finished round")
     c.add_argument("--include-roots", action="store_true")
@@ -84,8 +84,8 @@ def run_components(spark: SparkSession, a: argparse.Namespace) -> dict:
     source = {"sep": a.sep, "header": a.header, "id_type": a.id_type, "comment": a.comment, "skip_lines": a.skip_lines}
     edges = read_edges_csv(spark, a.input, on_bad=a.on_bad, **source)
     t0 = time.time()
-    if a.resume and a.strategy == "contract":
-        raise SystemExit("--resume needs a strategy of rounds, not contract")
+    if a.resume and a.strategy in ("grouped", "contract"):
+        raise SystemExit("--resume needs a strategy of rounds, not grouped or contract")
     resume = {"resume": a.resume} if a.resume else {}
     res = connected_components(edges, strategy=a.strategy, num_partitions=a.partitions, **resume)
     read = edge_report(spark, a.input, **source).first()

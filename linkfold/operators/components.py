@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkfold.operators import grouped
 from linkfold.operators.contraction import contract
 from linkfold.operators.keyed import DEFAULT_MAX_HOT_KEYS, DEFAULT_MIN_HOT_DEGREE, hot_threshold
 from linkfold.operators.pairs import as_pairs, canonical_pairs, mirror_canonical
@@ -92,21 +93,62 @@ def iterate(g: DataFrame, strategy: str = "join", max_rounds: int = 1000,
     """
     if resume and keep_states:
         raise ValueError("a run that keeps every state cannot be resumed")
+    if strategy == "grouped" and (resume or keep_states or rounds is not None):
+        raise ValueError("grouped rounds run to the fixpoint, without a name and without states")
     with scratch(g.sparkSession, keep=True):
+        if strategy == "grouped":
+            return _iterate_grouped(g, max_rounds, hot_degree, min_hot_degree, max_hot_keys, num_partitions)
         return _iterate(g, strategy, max_rounds, rounds, hot_degree, min_hot_degree, max_hot_keys, num_partitions, keep_states,
                         RunManifest(g.sparkSession, resume) if resume else None)
 
 
+def _iterate_grouped(g: DataFrame, max_rounds: int, hot_degree: int | None, min_hot_degree: int, max_hot_keys: int,
+                     num_partitions: int | None) -> ComponentsResult:
+    """The same rounds over pairs that stay grouped by their greater id (``grouped``)."""
+    spark = g.sparkSession
+    opts = {"hot_degree": hot_degree, "min_hot_degree": min_hot_degree, "max_hot_keys": max_hot_keys}
+    trace: list[list[int]] = []
+    path = new_scratch_path(spark, "cc-g0")
+    g, counts = grouped.group_pairs(g.select(F.greatest("n1", "n2").alias("n1"), F.least("n1", "n2").alias("n2")), path, num_partitions=num_partitions)
+    for r in range(1, max_rounds + 1):
+        if trace:
+            trace[-1][2] = counts["rows"]
+        if counts["most"] > hot_threshold(2 * counts["rows"], **opts):
+            # too many lesser neighbours of one node for a task: the rounds that spread them go on from here
+            return _iterate(g.select("n1", "n2"), "join", max_rounds, None, hot_degree, min_hot_degree, max_hot_keys, num_partitions,
+                            False, None, {"step": r - 1, "path": path, "trace": trace})
+        inner = grouped.inner_nodes(g).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            far, most, n_hot = grouped.inner_summary(inner)
+            new_pairs = counts["emitted"] - counts["heads"] + far
+            trace.append([r, new_pairs, counts["rows"]])
+            if new_pairs == 0 and r > 1:
+                return _result(g.select("n1", "n2"), trace, path, [], None)
+            threshold = grouped.HOT_DEGREE if n_hot <= grouped.MAX_HOT_KEYS else hot_threshold(
+                far, min_hot_degree=grouped.HOT_DEGREE, max_hot_keys=grouped.MAX_HOT_KEYS)
+            old, path = path, new_scratch_path(spark, f"cc-g{r}")
+            g, counts = grouped.group_pairs(grouped.grouped_output(g, inner, threshold, most > threshold), path,
+                                            counts["emitted"] + far, num_partitions)
+        finally:
+            inner.unpersist()
+        drop_path(spark, old)
+        if new_pairs == 0:
+            trace[-1][2] = counts["rows"]
+            return _result(g.select("n1", "n2"), trace, path, [], None)
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds; raise max_rounds")
+
+
 def _iterate(g: DataFrame, strategy: str, max_rounds: int, rounds: int | None, hot_degree: int | None, min_hot_degree: int,
-             max_hot_keys: int, num_partitions: int | None, keep_states: bool, run: RunManifest | None) -> ComponentsResult:
+             max_hot_keys: int, num_partitions: int | None, keep_states: bool, run: RunManifest | None,
+             done: dict | None = None) -> ComponentsResult:
     spark = g.sparkSession
     kept: list[tuple[int, str, DataFrame]] = []
     trace: list[list[int]] = []
     new_path = run.table_path if run else lambda tag: new_scratch_path(spark, tag)
-    done = run.last() if run else None
+    done = run.last() if run else done
     if done:
         prev_path, trace = done["path"], done["trace"]
-        g = spark.read.schema(canonical_pairs(g).schema).parquet(prev_path)
+        g = spark.read.schema(canonical_pairs(g).schema).parquet(prev_path)   # a grouped table's third column is left out
     else:
         # round 0: the input, de-duplicated as undirected edges and written once, so the
         # source is scanned once and every round's mirrored set is a narrow union of scans
@@ -169,7 +211,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     Rows with a null id are dropped. A node whose only edge is a self-loop is in no
     output row (it has no partner), as in the analysed algorithm.
 
-    ``strategy`` is one of the four of a round (``rounds``), or ``contract``: the edges shrink from round to round instead of being
+    ``strategy`` is one of the four of a round (``rounds``), or ``grouped``: the same rounds and trace with fewer rows moved
+    (``grouped``), or ``contract``: the edges shrink from round to round instead of being
     rewritten into stars (``contraction``). The membership is the same; its trace counts replaced nodes and edges left.
     """
     if strategy == "contract":

@@ -306,7 +306,7 @@ def _cc(g, strategy="join"):
 
 def _trace(g):
     def q(spark, sf):
-        return connected_components(edges(spark, sf, g)).trace_df(spark)
+        return connected_components(edges(spark, sf, g), strategy="grouped").trace_df(spark)
     return q
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphs import EXAMPLE, REPEATED, TWO_GRAPHS, chain, hub, membership_of, random_graph
+from linkfold.operators import grouped
 from linkfold.operators.components import connected_components, iterate
 from linkfold.operators.keyed import hot_threshold
 from linkfold.operators.pairs import as_pairs
@@ -216,6 +217,78 @@ def test_round_plan_shape_at_scale_settings(spark, tmp_path, hot):
     assert ("BroadcastHashJoin" in plan) == hot and plan.count("SortMergeJoin") == 1
 
 
+def labelled(edges):
+    return [(f"n{a:03d}", f"n{b:03d}") for a, b in edges]
+
+
+@pytest.mark.parametrize("edges, id_type", [
+    (EXAMPLE, "string"), (REPEATED, "string"), (TWO_GRAPHS, "long"), (chain(40), "int"), (random_graph(120, 110, 1), "long"),
+    (random_graph(60, 240, 2) + [(7, 7), (900, 900), (3, 3)], "long"), (labelled(hub(60) + random_graph(40, 30, 5)), "string")])
+@pytest.mark.parametrize("hot_degree", [1, 1_000])
+def test_grouped_rounds_have_the_same_trace_and_pairs(spark, monkeypatch, edges, id_type, hot_degree):
+    monkeypatch.setattr(grouped, "HOT_DEGREE", hot_degree)
+    want = connected_components(edges_df(spark, edges, id_type))
+    res = connected_components(edges_df(spark, edges, id_type), strategy="grouped")
+    assert res.trace == want.trace and trace2(res) == plain_rounds(edges)
+    assert rows(res.pairs, "n1", "n2") == rows(want.pairs, "n1", "n2")
+    res.release()
+    assert res.path is None
+
+
+def test_every_grouped_round_is_a_round(spark, tmp_path):
+    """Round for round the pairs of ``cc_round``, with the counts that the loop takes from the write."""
+    edges = random_graph(80, 160, 11) + [(5, 5)]
+    plain = as_pairs(edges_df(spark, edges))
+    g, counts = grouped.group_pairs(plain.select(F.greatest("n1", "n2").alias("n1"), F.least("n1", "n2").alias("n2")), str(tmp_path / "g0"))
+    for r in range(1, 4):
+        want = cc_round(plain, first_round=r == 1)
+        new = cc_round(plain, first_round=r == 1, dedup=False).count() - counts["heads"]
+        inner = grouped.inner_nodes(g)
+        far, most, _ = grouped.inner_summary(inner)
+        assert counts["emitted"] - counts["heads"] + far == new
+        nxt, counts = grouped.group_pairs(grouped.grouped_output(g, inner, 3, most > 3), str(tmp_path / f"g{r}"), num_partitions=3)
+        assert rows(nxt, "n1", "n2") == rows(want, "n1", "n2") and counts["rows"] == want.count()
+        least = {}
+        for a, b, mn in rows(nxt, "n1", "n2", "mn"):
+            assert mn <= b and least.setdefault(a, mn) == mn
+        g, plain = nxt, spark.createDataFrame(want.collect(), want.schema)
+
+
+def test_a_grouped_round_moves_a_pair_once_for_its_join(spark, tmp_path):
+    """With broadcasts off for data-sized sides no mirrored set is made, and besides the rows that look up the minimum of ``n2`` only node tables are shuffled."""
+    g, _ = grouped.group_pairs(spark.createDataFrame([(b, a) for a, b in chain(40)], "n1 long, n2 long"), str(tmp_path / "g"))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        inner = grouped.inner_nodes(g).persist()
+        plan = _live_plan(grouped.grouped_output(g, inner, 1_000, False)._jdf.queryExecution().executedPlan().toString())
+        inner.unpersist()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ShuffledHashJoin") == 1
+    assert "Generate" not in plan and "Sort" not in plan
+
+
+def test_grouped_rounds_leave_a_hub_of_lesser_neighbours_to_the_spread_rounds(spark):
+    e = [(1000, x) for x in range(1, 40)] + random_graph(40, 30, 5)
+    want = connected_components(edges_df(spark, e))
+    root = checkpoint_root(spark).replace("file:", "")
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    res = connected_components(edges_df(spark, e), strategy="grouped", min_hot_degree=8, max_hot_keys=1000)
+    assert res.trace == want.trace and rows(res.membership(), "node", "component") == membership_of(e)
+    res.release()
+    want.release()
+    assert set(os.listdir(root)) <= before
+    with pytest.raises(RuntimeError):
+        connected_components(edges_df(spark, chain(50)), strategy="grouped", max_rounds=2)
+    with pytest.raises(ValueError):
+        iterate(as_pairs(edges_df(spark, e)), strategy="grouped", rounds=2)
+    empty = connected_components(edges_df(spark, [(5, 5), (None, 4)]), strategy="grouped")
+    assert empty.pairs.count() == 0 and empty.trace == [(1, 0, 0)]
+
+
 @pytest.mark.parametrize("opts", [{}, {"min_hot_degree": 4, "max_hot_keys": 1000}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_contraction_against_union_find(spark, seed, opts):
