@@ -119,13 +119,11 @@ def _iterate_grouped(g: DataFrame, max_rounds: int, hot_degree: int | None, min_
                             False, None, {"step": r - 1, "path": path, "trace": trace})
         inner = grouped.inner_nodes(g).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            far, most, n_hot = grouped.inner_summary(inner)
+            far, most, threshold = grouped.inner_summary(inner)
             new_pairs = counts["emitted"] - counts["heads"] + far
             trace.append([r, new_pairs, counts["rows"]])
             if new_pairs == 0 and r > 1:
                 return _result(g.select("n1", "n2"), trace, path, [], None)
-            threshold = grouped.HOT_DEGREE if n_hot <= grouped.MAX_HOT_KEYS else hot_threshold(
-                far, min_hot_degree=grouped.HOT_DEGREE, max_hot_keys=grouped.MAX_HOT_KEYS)
             old, path = path, new_scratch_path(spark, f"cc-g{r}")
             g, counts = grouped.group_pairs(grouped.grouped_output(g, inner, threshold, most > threshold), path,
                                             counts["emitted"] + far, num_partitions)

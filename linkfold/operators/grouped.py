@@ -22,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from linkfold.operators.keyed import split_hot
+from linkfold.operators.keyed import hot_threshold, split_hot
 from linkfold.storage import write_table
 
 COMBINED_ROWS = 1_000_000   # rows of a task that are de-duplicated together before the shuffle
 TASK_ROWS = 1_500_000       # rows that one task sorts, about
-HOT_DEGREE = 1_000          # an n2 with more rows is matched map-side, if at most MAX_HOT_KEYS are; the growth of the shuffle stays even
-MAX_HOT_KEYS = 500_000
+HOT_DEGREE = 256            # an n2 with more rows is matched map-side; doubled until at most MAX_HOT_KEYS are
+MAX_HOT_KEYS = 500_000      # broadcast bound: a pair of ids each, 16 MB and its hash table
 
 
 def _once(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct rows in the order of their ids, in which a shuffle's blocks compress best."""
     rows = pa.Table.from_batches(batches)
-    yield from rows.group_by(rows.column_names, use_threads=False).aggregate([]).to_batches(max_chunksize=100_000)
+    once = rows.group_by(rows.column_names, use_threads=False).aggregate([])
+    yield from once.sort_by([("n2", "ascending"), ("n1", "ascending")]).to_batches(max_chunksize=100_000)
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,19 +80,23 @@ def inner_nodes(g: DataFrame) -> DataFrame:
 
 
 def inner_summary(inner: DataFrame) -> tuple[int, int, int]:
-    """``(rows of g that meet an inner node, most of them for one, nodes above HOT_DEGREE)`` in one action."""
-    row = inner.agg(F.sum("deg").alias("rows"), F.max("deg").alias("most"), F.count(F.when(F.col("deg") > HOT_DEGREE, 1)).alias("hot")).first()
-    return int(row["rows"] or 0), int(row["most"] or 0), row["hot"]
+    """``(rows of g that meet an inner node, most of them for one, degree above which a node is hot)`` in one action."""
+    steps = [HOT_DEGREE << i for i in range(8)]
+    row = inner.agg(F.sum("deg").alias("rows"), F.max("deg").alias("most"),
+                    *[F.count(F.when(F.col("deg") > s, 1)).alias(f"hot{s}") for s in steps]).first()
+    n_rows = int(row["rows"] or 0)
+    fits = [s for s in steps if row[f"hot{s}"] <= MAX_HOT_KEYS]
+    return n_rows, int(row["most"] or 0), fits[0] if fits else hot_threshold(n_rows, min_hot_degree=HOT_DEGREE, max_hot_keys=MAX_HOT_KEYS)
 
 
 def grouped_output(g: DataFrame, inner: DataFrame, threshold: int, any_hot: bool) -> DataFrame:
     """The pairs that a round on ``g`` emits, with repeats."""
     near = (g.where(F.col("mn") < F.col("n1"))
             .select(F.when(F.col("n2") == F.col("mn"), F.col("n1")).otherwise(F.col("n2")).alias("n1"), F.col("mn").alias("n2")))
-    rows = g.where(F.col("n1") != F.col("n2")).select("n1", "n2")
+    rows = g.where(F.col("n1") != F.col("n2"))
     if any_hot:
         hot_rows, rows = split_hot(rows, inner, "n2", threshold, ["m"])
-        near = near.union(hot_rows.select("n1", F.col("m").alias("n2")))
+        near = near.union(hot_rows.where(F.col("m") != F.col("mn")).select("n1", F.col("m").alias("n2")))   # (n1, mn) is there already
         inner = inner.where(F.col("deg") <= threshold)
-    far = rows.join(inner.select("n2", "m").hint("shuffle_hash"), "n2")
+    far = rows.select("n1", "n2").join(inner.select("n2", "m").hint("shuffle_hash"), "n2")
     return near.union(far.select("n1", F.col("m").alias("n2")))

@@ -271,6 +271,16 @@ def test_a_grouped_round_moves_a_pair_once_for_its_join(spark, tmp_path):
     assert "Generate" not in plan and "Sort" not in plan
 
 
+def test_a_hot_degree_grows_until_its_keys_fit(spark, monkeypatch):
+    inner = spark.createDataFrame([(i, 0, 300 if i < 20 else 2000) for i in range(30)], "n2 long, m long, deg long")
+    assert grouped.inner_summary(inner) == (26_000, 2000, 256)
+    monkeypatch.setattr(grouped, "MAX_HOT_KEYS", 10)
+    assert grouped.inner_summary(inner) == (26_000, 2000, 512)
+    monkeypatch.setattr(grouped, "HOT_DEGREE", 1)
+    monkeypatch.setattr(grouped, "MAX_HOT_KEYS", 5)
+    assert grouped.inner_summary(inner)[2] == 5200
+
+
 def test_grouped_rounds_leave_a_hub_of_lesser_neighbours_to_the_spread_rounds(spark):
     e = [(1000, x) for x in range(1, 40)] + random_graph(40, 30, 5)
     want = connected_components(edges_df(spark, e))
