@@ -31,7 +31,8 @@ from linkfold.llm.common import in_id_order, stored
 RESULT = ("doc_id string, n_chars long, edited_sha256 binary, size long, cells binary, edited_size long, edited_cells binary, "
           "near_edited double, near_next double")
 EDGES = "part int, first string, last string, last_id string"
-BATCH_CHARS = 1 << 23     # texts of so many characters are compared at once
+BATCH_CHARS = 1 << 20     # texts of so many characters are compared at once
+HELD_CELLS = 1 << 18      # cells of the sketches that are subtracted at once, if not of one text
 CELLS, HASHES = 15, 3     # cells of the least sketch, cells that a digest is added to
 LONG, LONGEST = 6, 16     # words of a line that stays whole, most words of a part
 _U = np.uint64
@@ -66,9 +67,9 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``(text number, digest)`` of every paragraph; a text's second, third, ... copy of one has a digest of its own."""
     h = xxhash.xxh3_64_intdigest
-    found = [[h(p.encode("utf-8", "surrogatepass")) for p in paragraphs(t)] for t in texts]
+    found = [np.array([h(p.encode("utf-8", "surrogatepass")) for p in paragraphs(t)], _U) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-    d = np.array([x for f in found for x in f], _U)
+    d = np.concatenate([np.zeros(0, _U), *found])
     order = np.lexsort((d, owner))
     owner, d = owner[order], d[order]
     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (d[1:] != d[:-1])])[:len(d)]
@@ -108,11 +109,17 @@ class Sketches:
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Take out what can be: ``(owner, digest, sign)`` of each, and which texts' sketches came out empty."""
+        """Take out what can be: ``(owner, digest, sign)`` of each, and which texts' sketches came out empty.
+
+        A cell of several digests may pass for one by chance (32 bits of checksum). It would be taken out and put back without end, so
+        a digest must belong to its cell, the rounds are as many as a text's cells (each round empties one for good), and a text
+        that gave a digest twice does not count as empty.
+        """
         got = []
-        while True:
+        for _ in range(self.cells):
             at = np.flatnonzero(np.abs(self.count) == 1)
             at = at[self.check(self.keys[at]) == self.sums[at]]
+            at = at[np.any([p == at for p in self._places(at // self.cells, self.keys[at])], axis=0)]
             if not len(at):
                 break
             owner, d, sign = at // self.cells, self.keys[at], self.count[at]
@@ -125,6 +132,9 @@ class Sketches:
         left = (self.count != 0) | (self.keys != 0) | (self.sums != 0)
         empty = ~left.reshape(self.n, self.cells).any(axis=1)
         parts = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)]
+        order = np.lexsort((parts[1], parts[0]))
+        owner, d = parts[0][order], parts[1][order]
+        empty[owner[1:][(owner[1:] == owner[:-1]) & (d[1:] == d[:-1])]] = False
         return *parts, empty
 
     def cells_of(self) -> list[bytes]:
@@ -137,19 +147,17 @@ class Sketches:
 
 def likeness(n: int, a: tuple, b: tuple) -> np.ndarray:
     """Jaccard similarity of the paragraphs of ``n`` pairs of texts, from subtracted and peeled sketches."""
-    (oa, da), (ob, db) = a, b
-    na, nb = np.bincount(oa, minlength=n), np.bincount(ob, minlength=n)
+    na, nb = np.bincount(a[0], minlength=n), np.bincount(b[0], minlength=n)
     only = np.zeros(n, np.int64)
     todo, cells = np.arange(n), CELLS
     while len(todo):
-        place = np.full(n, -1)
-        place[todo] = np.arange(len(todo))
-        ka, kb = place[oa] >= 0, place[ob] >= 0
-        diff = Sketches(len(todo), cells, place[oa[ka]], da[ka]).minus(Sketches(len(todo), cells, place[ob[kb]], db[kb]))
-        owner, _, sign, empty = diff.peel()
-        mine = np.bincount(owner[sign > 0], minlength=len(todo))
-        only[todo[empty]] = mine[empty]
-        todo, cells = todo[~empty], cells * 4
+        full = []
+        for some in np.array_split(todo, min(len(todo), -(-len(todo) * cells // HELD_CELLS))):
+            diff = Sketches(len(some), cells, *picked(a, some)).minus(Sketches(len(some), cells, *picked(b, some)))
+            owner, _, sign, empty = diff.peel()
+            only[some[empty]] = np.bincount(owner[sign > 0], minlength=len(some))[empty]
+            full.append(some[~empty])
+        todo, cells = np.concatenate(full), cells * 4
     both = na - only
     either = na + nb - both
     return np.where(either == 0, 1.0, both / np.maximum(either, 1))

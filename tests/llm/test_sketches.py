@@ -1,5 +1,7 @@
 import hashlib
 import random
+import signal
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -101,3 +103,41 @@ def test_long_texts_are_compared_a_few_at_a_time(spark, monkeypatch):
     want = {r["doc_id"]: r for r in S.fingerprint_edits(table(spark, rows)).collect()}
     monkeypatch.setattr(S, "BATCH_CHARS", 10_000)
     assert {r["doc_id"]: r for r in S.fingerprint_edits(table(spark, rows)).collect()} == want and len(want) == 40
+
+
+def test_a_cell_that_passes_for_one_digest_by_chance_ends_the_peeling():
+    d = np.array([123456789123456789], np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for at in range(15):      # one of three: where the digest belongs
+        sketch = S.Sketches(2, 15, *none)
+        sketch.count[at], sketch.keys[at], sketch.sums[at] = 1, d[0], sketch.check(d)[0]
+        before = signal.signal(signal.SIGALRM, lambda *_: pytest.fail("peeling does not end"))
+        signal.alarm(20)
+        try:
+            empty = sketch.peel()[3]
+        finally:
+            signal.alarm(0)
+            signal.signal(signal.SIGALRM, before)
+        assert list(empty) == [False, True]
+
+
+def test_a_batch_of_short_lines_needs_little_memory():
+    rng = random.Random(8)
+    line = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = ["\n".join(line() for _ in range(3000)) for _ in range(S.BATCH_CHARS // 21_000)]
+    tracemalloc.start()
+    try:
+        got = S.compare(list(range(len(texts))), texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6
+    assert np.allclose(got["near_next"], [jaccard(a, b) for a, b in zip(texts, texts[1:])])
+
+
+def test_likeness_does_not_depend_on_how_many_are_subtracted_at_once(monkeypatch):
+    texts = [r[1] for r in random_rows(60, seed=3, words=200)] + ["", "a b", "\n".join(map(str, range(900)))]
+    a, b = S.digests(texts), S.digests([S.edited(t, n) for t, n in zip(texts, texts[1:] + texts[:1])])
+    want = S.likeness(len(texts), a, b)
+    monkeypatch.setattr(S, "HELD_CELLS", 100)
+    assert (S.likeness(len(texts), a, b) == want).all()
